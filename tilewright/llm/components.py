@@ -1,0 +1,29 @@
+"""Connected components of an edge table, as DataFrames."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tilewright.session import checkpointed
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest node that each node of the edges (a, b) is connected to.
+
+    Each round every node takes the smallest label among its neighbours' labels, and then that label's
+    own label, so that chains halve. Minima combine before they are shuffled, which keeps the round's
+    cost to the number of edges, whatever the degree of a node. Labels are checkpointed each round.
+    """
+    both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = checkpointed(both.distinct())
+    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")))
+    while True:
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("low"))
+        taken = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "low").alias("label"))
+        jump = labels.select(F.col("node").alias("via"), F.col("label").alias("further"))
+        new = checkpointed(taken.join(jump, F.col("label") == F.col("via")).select("node", "old", F.least("label", "further").alias("label")))
+        changed = new.where("label <> old").limit(1).count()
+        labels = new.select("node", "label")
+        if not changed:
+            return labels
