@@ -103,11 +103,21 @@ def words(p: Piece, table: np.ndarray = WORD_BYTE) -> Words:
     return Words(begin, end, np.searchsorted(begin, p.starts))
 
 
+class SpanHash:
+    """Hashes of spans of bytes: a polynomial from prefix sums, then mixed."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        self.total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power_table(BASE, len(data) + 1)[: len(data)], out=self.total[1:])
+        self.inverse = _power_table(INVERSE, len(data) + 1)
+
+    def __call__(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.total[end] - self.total[begin]) * self.inverse[begin])
+
+
 def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes: a polynomial from prefix sums, then mixed."""
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power_table(BASE, len(data) + 1)[: len(data)], out=total[1:])
-    return mix((total[end] - total[begin]) * _power_table(INVERSE, len(data) + 1)[begin])
+    """A 64-bit hash of each span of bytes."""
+    return SpanHash(data)(begin, end)
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

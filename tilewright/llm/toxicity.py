@@ -15,7 +15,10 @@ from pyspark.sql import types as T
 from tilewright.llm import textkernels as tk
 
 #: Token hashes fall into this many buckets, whatever the vocabulary: the model is a vector of fixed size.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 21
+#: Beside the whole word, a token has its beginnings of so many bytes as features, so that forms of a
+#: word that were never seen get the log-odds of their stem.
+STEMS = (4, 5, 6, 7, 8)
 #: A table of labels of up to so many bytes is broadcast; a larger one meets its documents in a shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -25,7 +28,7 @@ class Settings:
     """Parameters of the model and of the search."""
 
     prior: float = 2.0  # weight of the Dirichlet prior of a token bucket, in tokens
-    caution: float = 1.0  # standard deviations taken off a token's log-odds
+    caution: float = 2.0  # standard deviations taken off a token's log-odds
     drift: float = 0.5  # taken off each token, so that chance passages lose score
     significance: float = 1e-3  # of a passage, by the extreme-value law
 
@@ -42,25 +45,52 @@ class Model:
     settings: Settings = field(default_factory=Settings)
 
 
-def _buckets(column: pa.Array) -> Iterator[tuple[tk.Piece, tk.Words, np.ndarray]]:
+def _features(column: pa.Array) -> Iterator[tuple[tk.Piece, tk.Words, Iterator[tuple[np.ndarray, np.ndarray]]]]:
+    """Of each piece: (tokens, buckets) of whole words, then of each stem length the tokens that are longer."""
+
+    def of(p: tk.Piece, w: tk.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        hashed = tk.SpanHash(p.data)
+        every = np.arange(len(w.begin))
+        for k in (0, *STEMS):
+            which = every if k == 0 else np.flatnonzero(w.end - w.begin > k)
+            begin = w.begin[which]
+            h = hashed(begin, begin + k if k else w.end) + np.uint64(k)
+            yield which, (tk.mix(h) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
     for p in tk.pieces(column, lower=True):
         w = tk.words(p)
-        yield p, w, (tk.span_hashes(p.data, w.begin, w.end) & np.uint64(BUCKETS - 1)).astype(np.int64)
+        yield p, w, of(p, w)
 
 
 def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of token buckets by label, summed over a task. Columns text and label come in."""
+    """Numbers of documents by token bucket and label, summed over a task. Columns text and label come in.
+
+    A document counts once a bucket: a long one repeats its own words, which says nothing of its label.
+    """
     totals = np.zeros((2, BUCKETS), np.int64)
     for b in batches:
         label = b.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
-        for p, w, bucket in _buckets(b.column("text")):
-            own = np.repeat(label[p.first : p.first + p.n], np.diff(w.first))
-            for k in (0, 1):
-                totals[k] += np.bincount(bucket[own == k], minlength=BUCKETS)
+        for p, w, features in _features(b.column("text")):
+            doc = tk.owners(w.first)
+            for which, bucket in features:
+                once = np.unique(doc[which] * BUCKETS + bucket)
+                own = label[p.first + once // BUCKETS]
+                for k in (0, 1):
+                    totals[k] += np.bincount(once[own == k] % BUCKETS, minlength=BUCKETS)
     used = np.flatnonzero(totals.any(axis=0))
     yield pa.record_batch({"bucket": pa.array(used, pa.int32()), "clean": pa.array(totals[0, used]), "toxic": pa.array(totals[1, used])})
 
 
+def _token_scores(column: pa.Array, m: Model) -> Iterator[tuple[tk.Piece, tk.Words, np.ndarray]]:
+    """Of each piece the scores of its tokens: the feature that says most, less the drift."""
+    for p, w, features in _features(column):
+        score = np.zeros(len(w.begin), np.float32)
+        for which, bucket in features:
+            x = m.weights[bucket]
+            score[which] = np.where(np.abs(x) > np.abs(score[which]), x, score[which])
+        yield p, w, score - np.float32(m.settings.drift)
+
+
 def token_weights(clean: np.ndarray, toxic: np.ndarray, s: Settings) -> np.ndarray:
     """Log-odds of each bucket, against those of all tokens, made cautious by their own error.
 
@@ -73,20 +103,20 @@ def token_weights(clean: np.ndarray, toxic: np.ndarray, s: Settings) -> np.ndarr
         odds = np.log(a / b) - np.log(rate / (1 - rate))
         error = np.sqrt(1 / a + 1 / b)
     cautious = np.sign(odds) * np.maximum(np.abs(odds) - s.caution * error, 0)
-    return (np.where(clean + toxic > 0, np.nan_to_num(cautious), 0) - s.drift).astype(np.float32)
+    return np.where(clean + toxic > 0, np.nan_to_num(cautious), 0).astype(np.float32)
 
 
-def karlin_lambda(weights: np.ndarray, frequency: np.ndarray) -> float:
-    """The positive root of sum(f * exp(l * w)) = 1 over the background's token frequencies, by bisection."""
+def karlin_lambda(scores: np.ndarray, frequency: np.ndarray) -> float:
+    """The positive root of sum(f * exp(l * score)) = 1 over the scores of clean tokens, by bisection."""
     f = frequency / max(frequency.sum(), 1e-300)
-    if not ((weights > 0) & (f > 0)).any() or (f * weights).sum() >= 0:
+    if not ((scores > 0) & (f > 0)).any() or (f * scores).sum() >= 0:
         return 1.0
     low, high = 0.0, 0.05
-    while (f * np.exp(np.minimum(high * weights, 500))).sum() < 1 and high < 100:
+    while (f * np.exp(np.minimum(high * scores, 500))).sum() < 1 and high < 100:
         low, high = high, 2 * high
     for _ in range(60):
         mid = (low + high) / 2
-        low, high = (mid, high) if (f * np.exp(np.minimum(mid * weights, 500))).sum() < 1 else (low, mid)
+        low, high = (mid, high) if (f * np.exp(np.minimum(mid * scores, 500))).sum() < 1 else (low, mid)
     return max((low + high) / 2, 1e-3)
 
 
@@ -117,35 +147,37 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(x[0], x[1], x[3] - x[2]) for x in stack]
 
 
-def evidence(bucket: np.ndarray, m: Model) -> tuple[float, float, list[tuple[int, int, float]]]:
-    """(largest bits, summed bits, significant passages) of one document's token buckets.
+def evidence(scores: np.ndarray, m: Model) -> tuple[float, float, list[tuple[int, int, float]]]:
+    """(best level, evidence, significant passages) of one document's token scores.
 
-    A passage of score S among n tokens is met by chance exp(lambda S - ln(K n)) times more rarely than
-    once; passages that are rarer than the significance count, with the natural log of that number.
+    The level of a passage of score S among n tokens is lambda S - ln(K n): by the extreme-value law,
+    chance gives exp(-level) such passages. The r best passages of a document together have the chance
+    exp(-t) t^(r-1) / (r! (r-1)!) of their summed level t; the evidence is the least such chance over r, as a
+    negative log, at the price of a halving for each further passage.
     """
-    found = maximal_segments(m.weights[bucket])
+    found = maximal_segments(scores)
     if not found:
-        return 0.0, 0.0, []
-    level = m.lam * np.array([x[2] for x in found]) - m.log_k - np.log(max(len(bucket), 1))
+        return float("nan"), 0.0, []
+    level = m.lam * np.array([x[2] for x in found]) - m.log_k - np.log(max(len(scores), 1))
+    r = np.arange(1, len(level) + 1)
+    log_factorial = np.cumsum(np.log(r))
+    t = np.cumsum(np.sort(level)[::-1]) + log_factorial
+    some = t > 0
+    chance = t[some] - (r[some] - 1) * np.log(t[some]) + log_factorial[some] + (log_factorial - np.log(r))[some] - (r[some] - 1) * np.log(2)
     sure = level >= -np.log(m.settings.significance)
     passages = [(*found[i][:2], float(level[i])) for i in np.flatnonzero(sure)]
-    return float(level.max()), float(level[sure].sum()), passages
-
-
-def _statistic(largest: float, summed: float) -> float:
-    return float(np.log1p(max(largest, 0.0)) + 0.5 * np.log1p(summed))
+    return float(level.max()), float(max(chance.max(initial=0.0), 0.0)), passages
 
 
 def score_texts(column: pa.Array, m: Model, passages: bool = False) -> tuple[np.ndarray, np.ndarray, list]:
-    """Per text: the statistic, lambda S - ln n of its best passage, and passages as byte spans if asked for."""
+    """Per text: the log of 1 + its evidence, the level of its best passage, and passages as byte spans if asked for."""
     out, best, spans = np.zeros(len(column)), np.full(len(column), np.nan), [[] for _ in range(len(column) if passages else 0)]
-    for p, w, bucket in _buckets(column):
-        hot = np.concatenate([[0], np.cumsum(m.weights[bucket] > 0)])
+    for p, w, scores in _token_scores(column, m):
+        hot = np.concatenate([[0], np.cumsum(scores > 0)])
         for d in np.flatnonzero(np.diff(hot[w.first])):
-            own = bucket[w.first[d] : w.first[d + 1]]
-            largest, summed, found = evidence(own, m)
-            out[p.first + d] = _statistic(largest, summed)
-            best[p.first + d] = largest + m.log_k
+            own = scores[w.first[d] : w.first[d + 1]]
+            best[p.first + d], sure, found = evidence(own, m)
+            out[p.first + d] = np.log1p(sure)
             if passages:
                 at = w.first[d]
                 spans[p.first + d] = [(int(w.begin[at + a] - p.starts[d]), int(w.end[at + b - 1] - p.starts[d]), level) for a, b, level in found]
@@ -183,41 +215,42 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, f
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:  # noqa: B008
     """A model of every labelled row. Counts and calibration go over all of them; what comes to the
-    driver has at most ``BUCKETS`` rows, or two histograms of 8192 bins, whatever the corpus."""
+    driver has at most ``BUCKETS`` rows, or histograms of 8192 bins a label, whatever the corpus."""
     train = _labelled(docs, labels)
     counts = train.mapInArrow(count_tokens, "bucket int, clean bigint, toxic bigint").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     got = counts.toArrow()
     clean, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
     at = got.column("bucket").to_numpy()
     clean[at], toxic[at] = got.column("clean").to_numpy(), got.column("toxic").to_numpy()
-    weights = token_weights(clean, toxic, settings)
-    m = Model(weights, karlin_lambda(weights, clean), settings=settings)
+    m = Model(token_weights(clean, toxic, settings), settings=settings)
     if not toxic.sum() or not clean.sum():
         m.slope, m.offset = 0.0, -4.0 if not toxic.sum() else 4.0
         return m
-    levels = _histogram(train.where("label = 0"), m, lambda best, _: best, -256.0, 16)
+    background = train.where("label = 0")
+    tokens = _histogram(background, m, lambda column, model: np.concatenate([np.zeros(0), *(x for _, _, x in _token_scores(column, model))]), -64.0, 64, per_row=False)
+    m.lam = karlin_lambda(tokens.value.to_numpy(float), tokens.n.to_numpy(float))
+    levels = _histogram(background, m, lambda column, model: score_texts(column, model)[1], -256.0, 16)
     if len(levels):
         # A Gumbel law of scale 1 has its mean at ln K plus Euler's constant.
         m.log_k = float((levels.value * levels.n).sum() / levels.n.sum() - 0.5772156649)
-    seen = _histogram(train, m, lambda _, x: x, 0.0, 256)
+    seen = _histogram(train, m, lambda column, model: score_texts(column, model)[0], 0.0, 256)
     m.slope, m.offset = _fit_logistic(seen.value.to_numpy(float), seen.label.to_numpy(float), seen.n.to_numpy(float))
     return m
 
 
-def _histogram(train: DataFrame, m: Model, pick: Callable[[np.ndarray, np.ndarray], np.ndarray], low: float, per_unit: int) -> pd.DataFrame:
-    """(label, value, n): counts over all rows of ``train`` of what ``pick`` takes of a text's best level
-    and its statistic, in 8192 bins of width 1 / per_unit from ``low``; texts of which it is NaN don't count."""
+def _histogram(train: DataFrame, m: Model, values: Callable[[pa.Array, Model], np.ndarray], low: float, per_unit: int, per_row: bool = True) -> pd.DataFrame:
+    """(label, value, n): counts over all rows of ``train`` of ``values`` of their texts, in 8192 bins of
+    width 1 / per_unit from ``low``; NaN doesn't count. Values that aren't one a row count under label 0."""
     shared = train.sparkSession.sparkContext.broadcast(m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, 8192), np.int64)
         for b in batches:
-            label = b.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
-            x, best, _ = score_texts(b.column("text"), shared.value)
-            value = pick(best, x)
+            value = values(b.column("text"), shared.value)
+            label = b.column("label").to_numpy(zero_copy_only=False).astype(np.int64) if per_row else np.zeros(len(value), np.int64)
             ok = ~np.isnan(value)
             at = np.clip(((value[ok] - low) * per_unit).round(), 0, 8191).astype(np.int64)
-            np.add.at(counts, (label[ok], at), 1)
+            counts += np.bincount(label[ok] * 8192 + at, minlength=2 * 8192).reshape(2, 8192)
         used = np.argwhere(counts)
         yield pa.record_batch({"label": pa.array(used[:, 0], pa.int32()), "bin": pa.array(used[:, 1], pa.int32()), "n": pa.array(counts[counts > 0])})
 
