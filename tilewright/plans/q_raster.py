@@ -185,7 +185,7 @@ def pooled_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Of the pooled histogram of all images, the number of levels up to given percentages, and the mean."""
     h = V.pixels(spark, d).groupBy(F.col("v1").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(Window.partitionBy().orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(Window.partitionBy())
-    c = h.select("v", "n", upto.alias("upto"), F.explode(F.array(*[F.lit(q) for q in (1, 5, 95, 99)])).alias("percent"))
+    c = h.select("v", "n", upto.alias("upto")).select("*", F.explode(F.array(*[F.lit(q) for q in (1, 5, 95, 99)])).alias("percent"))
     return c.groupBy("percent").agg(F.count_if(F.col("upto") <= F.col("percent") / 100.0).alias("levels"), F.round(F.sum(F.col("v") * F.col("n")) / F.sum("n"), 6).alias("mean"))
 
 
@@ -290,12 +290,12 @@ def dominant_hues(spark: SparkSession, d: str) -> DataFrame:
     return peaks.select("image", "hue", "n", F.row_number().over(_by().orderBy(F.desc("n"), "hue")).alias("rank"))
 
 
-@query(V.with_views("pixels", "SELECT x, y, round(sum(v1 * r), 3) AS r, round(sum(v1 * g), 3) AS g FROM (SELECT x, y, v1, v1 / nullif(sum(v1) OVER (PARTITION BY x, y), 0) * (image % 3) AS r, v1 / nullif(sum(v1) OVER (PARTITION BY x, y), 0) * (image % 2) AS g FROM pixels) GROUP BY x, y"))
+@query(V.with_views("pixels", "SELECT x, y, round(sum(v1 * r), 9) AS r, round(sum(v1 * g), 9) AS g FROM (SELECT x, y, v1, v1 / nullif(sum(v1) OVER (PARTITION BY x, y), 0) * (image % 3) AS r, v1 / nullif(sum(v1) OVER (PARTITION BY x, y), 0) * (image % 2) AS g FROM pixels) GROUP BY x, y"))
 def blended_colours(spark: SparkSession, d: str) -> DataFrame:
     """Colours of images laid over each other, each in proportion to its part of the pixel's sum."""
     part = F.try_divide(F.col("v1").cast("double"), F.sum("v1").over(Window.partitionBy("x", "y")).cast("double"))
     p = V.pixels(spark, d).select("x", "y", "v1", (part * (F.col("image") % 3)).alias("r"), (part * (F.col("image") % 2)).alias("g"))
-    return p.groupBy("x", "y").agg(F.round(F.sum(F.col("v1") * F.col("r")), 3).alias("r"), F.round(F.sum(F.col("v1") * F.col("g")), 3).alias("g"))
+    return p.groupBy("x", "y").agg(F.round(F.sum(F.col("v1") * F.col("r")), 9).alias("r"), F.round(F.sum(F.col("v1") * F.col("g")), 9).alias("g"))
 
 
 @query(V.with_views("pixels", "SELECT image, arg_min((x, y)::VARCHAR, (v1 + v2, y, x)) AS at, min(v1 + v2) AS darkest FROM pixels GROUP BY image"))
