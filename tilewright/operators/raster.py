@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.session import checkpointed
+from tilewright.operators.components import connected_components
 
 EPS = 2.220446049250313e-16
 
@@ -23,24 +23,14 @@ def rescale(value: Column, by: Column) -> Column:
 
 
 def components(mask: DataFrame) -> DataFrame:
-    """(image, x, y, comp): 8-connected components of a mask, named by their least y * 2^20 + x.
-
-    Each round a pixel takes the least name around it, and then the name of the pixel that this names,
-    so names cross a component in few rounds.
-    """
-    own = F.col("y").cast("long") * (1 << 20) + F.col("x")
-    labels = checkpointed(mask.select("image", "x", "y").distinct().withColumn("id", own).withColumn("comp", own))
-    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("s")
-    while True:
-        near = labels.select("image", "x", "y", "comp", steps).select("image", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"), "comp")
-        least = near.groupBy("image", "x", "y").agg(F.min("comp").alias("least"))
-        taken = labels.join(least, ["image", "x", "y"])
-        via = labels.select("image", F.col("id").alias("least"), F.col("comp").alias("further"))
-        new = checkpointed(taken.join(via, ["image", "least"]).select("image", "x", "y", "id", F.col("comp").alias("old"), F.least("least", "further").alias("comp")))
-        moved = new.where("comp <> old").limit(1).count()
-        labels = new.drop("old")
-        if not moved:
-            return labels.drop("id")
+    """(image, x, y, comp): 8-connected components of a mask, named by their least y * 2^20 + x."""
+    node = F.col("image").cast("long") * (1 << 40) + F.col("y").cast("long") * (1 << 20) + F.col("x")
+    p = mask.select("image", "x", "y").distinct().withColumn("node", node)
+    steps = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (-1, 1), (0, 1), (1, 1))])).alias("s")
+    near = p.select("image", F.col("node").alias("a"), "x", "y", steps).select("image", "a", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"))
+    edges = near.join(p, ["image", "x", "y"]).select("a", F.col("node").alias("b"))
+    labels = connected_components(edges).withColumnRenamed("label", "least")
+    return p.join(labels, "node", "left").select("image", "x", "y", (F.coalesce("least", "node") % (1 << 40)).alias("comp"))
 
 
 def combine_masks(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
