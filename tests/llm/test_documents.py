@@ -10,7 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tilewright.llm import chat_format, components, decontam, langid, line_dedup, mixing, ngram_join, quality, queries, suffix_dedup, textkernels, toxicity
+from tilewright.llm import chat_format, decontam, langid, line_dedup, mixing, ngram_join, quality, queries, suffix_dedup, textkernels, toxicity
+from tilewright.operators import components
 from tilewright.session import table
 
 LONG = "The quick brown fox jumps over the lazy dog while seven wizards brew potent coffee beside an old stone bridge near the quiet river bank at dawn. "
