@@ -122,13 +122,13 @@ def mask_component_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     _recursive(
-        COMP_SQL.format(mask="SELECT image, x, y FROM pixels WHERE v1 > 60 OR v2 > 230") + """, both_ AS (SELECT image, x, y FROM pixels WHERE v1 > 60 AND v2 > 230),
+        COMP_SQL.format(mask="SELECT image, x, y FROM pixels WHERE v1 > 60 OR v2 > 130") + """, both_ AS (SELECT image, x, y FROM pixels WHERE v1 > 60 AND v2 > 130),
 seeds AS (SELECT DISTINCT image, comp FROM comp JOIN both_ USING (image, x, y)) SELECT image, x, y, comp FROM comp JOIN seeds USING (image, comp)"""
     )
 )
 def mask_hysteresis(spark: SparkSession, d: str) -> DataFrame:
     p = V.pixels(spark, d)
-    masks = p.where("v1 > 60").select("image", "x", "y").unionAll(p.where("v2 > 230").select("image", "x", "y"))
+    masks = p.where("v1 > 60").select("image", "x", "y").unionAll(p.where("v2 > 130").select("image", "x", "y"))
     return P.hysteresis(masks, 2).select("image", "x", "y", "comp")
 
 
