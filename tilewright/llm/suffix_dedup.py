@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ PERIOD = 57
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)
 OTHER_BASE = 0xD1342543DE82EF95
 UNIT = 4 << 20
-BUCKET_BYTES = 6 << 20
+BUCKET_ENTRIES = 500_000
 
 ENTRY = "bucket int, unit bigint, docs binary, keys binary, at binary"
 KEY = np.dtype([("a", "<u8"), ("b", "<u4")])
@@ -43,6 +44,22 @@ AT = np.dtype([("doc", "<u2"), ("at", "<u4")])
 DOC = np.dtype([("id", "<i8"), ("t1", "<i8")])
 
 
+def pack(at: np.ndarray) -> bytes:
+    """Sorted places as compressed differences, byte by byte."""
+    x = np.sort((at["doc"].astype(np.uint64) << np.uint64(32)) | at["at"])
+    planes = np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(at).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    x = np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    out = np.empty(n, AT)
+    out["doc"], out["at"] = x >> np.uint64(32), x & np.uint64(0xFFFFFFFF)
+    return out
+
+
 class Prefix:
     """Hashes of spans of one piece's bytes, from prefix sums of two polynomials."""
 
@@ -101,9 +118,9 @@ def _before(docs: np.ndarray, at: np.ndarray) -> tuple:
 
 
 def _send(docs: np.ndarray, keys: np.ndarray, at: np.ndarray, buckets: int, ordered: bool) -> Iterator[tuple]:
-    """Rows of entries by bucket, of one unit. A hash that the unit has twice is sent once, and what the
-    unit alone tells comes in a row of bucket -1: of repeated hashes all places or, if ``ordered``, all
-    but the first in the order of the corpus. A row of bucket -2 has the documents."""
+    """Rows of entries by bucket, of one unit. A hash that the unit has twice is sent once. What the unit
+    alone tells comes in a row of negative bucket, with its documents: of repeated hashes all places or,
+    if ``ordered``, all but the first in the order of the corpus."""
     unit = int.from_bytes(hashlib.blake2b(docs.tobytes(), digest_size=8).digest(), "little", signed=True)
     lead = keys["a"] if keys.dtype == KEY else keys
     order = np.argsort(lead, kind="stable")
@@ -115,10 +132,9 @@ def _send(docs: np.ndarray, keys: np.ndarray, at: np.ndarray, buckets: int, orde
     several = again | np.concatenate([again[1:], [False]])[: len(again)]
     known = order[again] if ordered else order[several]
     sent = np.sort(order[~again])
-    yield -2, unit, docs.tobytes(), b"", b""
-    if len(known):
-        yield -1, unit, b"", b"", at[known].tobytes()
-    bucket = ((lead[sent] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    told = -1 - unit % buckets
+    yield told, unit, docs.tobytes(), b"", pack(at[known])
+    bucket = ((lead[sent] >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
     for k in range(buckets):
@@ -129,8 +145,8 @@ def _send(docs: np.ndarray, keys: np.ndarray, at: np.ndarray, buckets: int, orde
         if ordered:
             used, places["doc"] = np.unique(places["doc"], return_inverse=True)
             table = used.astype("<u2").tobytes() + docs[used].tobytes()
-        packed = keys[own].tobytes() if keys.dtype == KEY else keys[own].view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
-        yield k, unit, table, packed, places.tobytes()
+        packed = keys[own].tobytes() if keys.dtype == KEY else keys[own].astype("<u4").tobytes()
+        yield k, unit, table, packed, pack(places)
 
 
 def _table(rows: Iterator[tuple]) -> pa.RecordBatch:
@@ -140,31 +156,31 @@ def _table(rows: Iterator[tuple]) -> pa.RecordBatch:
 
 
 def _repeated(t: pa.Table) -> pa.Table:
-    """Of one bucket's entries, the places of names that more than one unit has."""
-    n = [len(x) // 6 for x in t.column("keys").to_pylist()]
-    raw = np.frombuffer(b"".join(t.column("keys").to_pylist()), np.uint8).reshape(-1, 6)
-    keys = np.zeros((len(raw), 8), np.uint8)
-    keys[:, 2:] = raw
-    keys = keys.view(np.uint64).ravel()
+    """Of one bucket's entries, the places of names that more than one unit has.
+
+    32 bits of a name tell it from the others of its bucket, of which the size is bounded: the few that
+    are shared by chance only cost work."""
+    raw = t.column("keys").to_pylist()
+    keys = np.frombuffer(b"".join(raw), "<u4")
     order = np.argsort(keys, kind="stable")
     same = np.concatenate([[False], keys[order][1:] == keys[order][:-1], [False]])
     flagged = np.zeros(len(keys), bool)
     flagged[order] = same[:-1] | same[1:]
-    return _flags(t, n, flagged, None)
+    return _flags(t, [unpack(x) for x in t.column("at").to_pylist()], flagged, None)
 
 
 def _later(t: pa.Table) -> pa.Table:
     """Of one bucket's entries, all but the first one, in the order of the corpus, of each string."""
-    n = [len(x) // KEY.itemsize for x in t.column("keys").to_pylist()]
     keys = np.frombuffer(b"".join(t.column("keys").to_pylist()), KEY)
-    at = np.frombuffer(b"".join(t.column("at").to_pylist()), AT)
+    places = [unpack(x) for x in t.column("at").to_pylist()]
+    at = np.concatenate(places)
     docs, locals_ = [], []
     for table in t.column("docs").to_pylist():
         k = len(table) // (2 + DOC.itemsize)
         locals_.append(np.frombuffer(table, "<u2", k))
         docs.append(np.frombuffer(table, DOC, k, 2 * k))
     base = np.cumsum([0, *map(len, docs)])[:-1]
-    doc = np.concatenate(docs)[at["doc"].astype(np.int64) + np.repeat(base, n)]
+    doc = np.concatenate(docs)[at["doc"].astype(np.int64) + np.repeat(base, [len(x) for x in places])]
     order = np.argsort(keys["a"], kind="stable")
     same = (keys["a"][order][1:] == keys["a"][order][:-1]) & (keys["b"][order][1:] == keys["b"][order][:-1])
     same = np.concatenate([[False], same, [False]])
@@ -173,27 +189,26 @@ def _later(t: pa.Table) -> pa.Table:
     again = np.concatenate([[False], (keys["a"][some][1:] == keys["a"][some][:-1]) & (keys["b"][some][1:] == keys["b"][some][:-1])])[: len(some)]
     flagged = np.zeros(len(keys), bool)
     flagged[some[again]] = True
-    return _flags(t, n, flagged, locals_)
+    return _flags(t, places, flagged, locals_)
 
 
-def _flags(t: pa.Table, n: list[int], flagged: np.ndarray, locals_: list[np.ndarray] | None) -> pa.Table:
-    units, places, to = [], [], 0
-    for i, (unit, raw) in enumerate(zip(t.column("unit").to_pylist(), t.column("at").to_pylist(), strict=True)):
-        own = np.frombuffer(raw, AT)[flagged[to : to + n[i]]].copy()
-        to += n[i]
+def _flags(t: pa.Table, places: list[np.ndarray], flagged: np.ndarray, locals_: list[np.ndarray] | None) -> pa.Table:
+    units, out, to = [], [], 0
+    for i, (unit, at) in enumerate(zip(t.column("unit").to_pylist(), places, strict=True)):
+        own = at[flagged[to : to + len(at)]]
+        to += len(at)
         if len(own):
             if locals_ is not None:
                 own["doc"] = locals_[i][own["doc"]]
             units.append(unit)
-            places.append(own.tobytes())
-    return pa.table({"unit": pa.array(units, pa.int64()), "docs": pa.nulls(len(units), pa.binary()), "at": pa.array(places, pa.binary())})
+            out.append(pack(own))
+    return pa.table({"unit": pa.array(units, pa.int64()), "docs": pa.array([b""] * len(units), pa.binary()), "at": pa.array(out, pa.binary())})
 
 
 def _by_document(t: pa.Table) -> pa.Table:
     """The flagged places of one unit, by document."""
-    docs, at = [x for x in t.column("docs").to_pylist() if x], [x for x in t.column("at").to_pylist() if x]
-    table = np.frombuffer(docs[0], DOC) if docs else np.zeros(0, DOC)
-    places = np.frombuffer(b"".join(at), AT)
+    table = np.frombuffer(next(x for x in t.column("docs").to_pylist() if x), DOC)
+    places = np.concatenate([unpack(x) for x in t.column("at").to_pylist()])
     places = places[np.lexsort((places["at"], places["doc"]))]
     used, first = np.unique(places["doc"], return_index=True)
     parts = [x["at"].tobytes() for x in np.split(places, first[1:])] if len(used) else []
@@ -202,14 +217,26 @@ def _by_document(t: pa.Table) -> pa.Table:
 
 def _resolve(entries: DataFrame, ordered: bool) -> DataFrame:
     """(doc_id, t1, places): the flagged places of each document that has one, as packed 32-bit offsets."""
-    found = entries.where("bucket >= 0").groupBy("bucket").applyInArrow(_later if ordered else _repeated, "unit bigint, docs binary, at binary")
-    told = entries.where("bucket < 0").select("unit", "docs", "at")
-    out = checkpointed(told.unionByName(found).groupBy("unit").applyInArrow(_by_document, "doc_id bigint, t1 bigint, places binary"))
-    # Shuffle files of a finished step go once the driver has collected what refers to them.
-    del found, told, entries
-    gc.collect()
-    out.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    tell = _later if ordered else _repeated
+
+    def run(t: pa.Table) -> pa.Table:
+        return t.select(["unit", "docs", "at"]) if t.column("bucket")[0].as_py() < 0 else tell(t)
+
+    found = entries.groupBy("bucket").applyInArrow(run, "unit bigint, docs binary, at binary")
+    flagged = found.groupBy("unit").applyInArrow(_by_document, "doc_id bigint, t1 bigint, places binary")
+    return checkpointed(flagged)
+
+
+def _release(done: DataFrame) -> None:
+    """Lets go of the shuffle files of a finished step, of which ``done`` is the result: they stay until the
+    driver's garbage, which refers to them, is collected, and the scheduler refers to its last job until the next one."""
+    done.limit(1).count()
+    spark = done.sparkSession
+    spark.range(1).count()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def _spread(places: np.ndarray, n: int, length: int) -> np.ndarray:
@@ -248,7 +275,7 @@ def _names(length: int) -> Callable:
         doc, offset = sampled(p, length)
         begin = p.starts[doc] + offset
         name = Prefix(p.data).first(begin, begin + tuple_bytes(length))
-        return name & ~np.uint64(0xFFFF), doc, offset  # 48 bits are sent: a name shared by chance only costs work
+        return name, doc, offset
 
     return make
 
@@ -334,15 +361,18 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_bytes: bool = False)
     base = base.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit("second"), "text")})
     firsts = checkpointed(base.where(F.octet_length("text") >= length).groupBy("t1", "t2").agg(F.min("doc_id").alias("doc_id"), F.max(F.octet_length("text")).alias("n")).select("doc_id", "t1", "n"))
     total = firsts.agg(F.sum("n")).first()[0] or 0
-    buckets = max(4, int(total * len(COVER) / PERIOD * 12 / BUCKET_BYTES))
+    buckets = max(4, int(total * len(COVER) / PERIOD / BUCKET_ENTRIES))
     key = ["doc_id", "t1"]
     texts = base.select("doc_id", "t1", "text")
     unique = texts.join(firsts.select(*key), key).dropDuplicates(key)
     named = _resolve(_step(unique, _names(length), [], buckets, ordered=False), ordered=False)
+    _release(named)
     near = texts.join(named.withColumnRenamed("places", "near"), key).dropDuplicates(key)
     settled = _resolve(_step(near, _surroundings(length), ["near"], buckets, ordered=True), ordered=True)
+    _release(settled)
     open_ = near.join(settled.withColumnRenamed("places", "settled"), key, "left")
     later = _resolve(_step(open_, _suffixes(length), ["near", "settled"], buckets, ordered=True), ordered=True)
+    _release(later)
     marks = firsts.select(*key, F.lit(True).alias("first")).join(settled.withColumnRenamed("places", "settled"), key, "left").join(later.withColumnRenamed("places", "later"), key, "left")
     whole = base.select("orig", *key, "text").join(marks, key, "left").select(F.col("orig").alias("doc_id"), "text", "first", "settled", "later")
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep_bytes
