@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilewright.llm import textkernels as tk
+from tilewright.session import checkpointed
 
 #: Features of a text: counts of byte trigrams in so many buckets.
 BUCKETS = 1 << 11
@@ -97,16 +98,22 @@ def group_families(means: dict[str, np.ndarray], apart: float) -> list[list[str]
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:  # noqa: B008
     """A model of the text and lang of ``docs``, from a bounded sample.
 
-    The sample takes the same number of rows of each language, those with the smallest hash of the
-    text; texts without a word and rows without a language don't count. Without any there is no language.
+    The sample takes the same number of texts of each language, those with the smallest hash, each
+    once however many copies it has; texts without a letter and rows without a language don't count. Without any there is no language.
     """
     known = docs.select(F.col("text"), F.col("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    n_langs = max(known.select("lang").distinct().count(), 1)
-    by = Window.partitionBy("lang").orderBy("order", "size")
+    counts = checkpointed(known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))
+    share = max(settings.sample // max(counts.count(), 1), 2)
+    # Rows come from a range of hashes that holds four times as many as are taken, or all of a small
+    # language, so that what is ranked doesn't grow with the corpus.
+    reach = F.lit(4.0 * share) / F.col("rows")
     few = (
-        known.select("lang", "text", F.xxhash64("text").alias("order"), F.length("text").alias("size"))
-        .withColumn("rank", F.row_number().over(by))
-        .where(F.col("rank") <= max(settings.sample // n_langs, 2))
+        known.join(F.broadcast(counts) if counts.count() <= 10_000 else counts, "lang")
+        .select("lang", "text", F.shiftrightunsigned(F.xxhash64("text"), 11).alias("order"), F.length("text").alias("size"), reach.alias("reach"))
+        .where(F.col("order") < F.col("reach") * float(1 << 53))
+        .dropDuplicates(["lang", "order", "size"])
+        .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "size")))
+        .where(F.col("rank") <= share)
     )
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
