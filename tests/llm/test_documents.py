@@ -194,6 +194,12 @@ def test_language_id(spark, odd):
     assert langid.predict(empty(odd), m).count() == 0
 
 
+def test_a_language_of_many_copies_is_learned(spark):
+    rows = [(f"{w} {w}{k % 3}", lang) for lang, w in (("a", "abab"), ("b", "cdcd"), ("c", "efef"), ("d", "ghgh")) for k in range(3000)]
+    m = langid.fit(spark.createDataFrame(rows, "text string, lang string"), langid.Settings(sample=40))
+    assert sorted(x for f in m.families for x in f) == ["a", "b", "c", "d"]
+
+
 def test_maximal_segments_against_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(200):

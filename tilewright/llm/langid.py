@@ -102,15 +102,15 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:  # noqa: B00
     once however many copies it has; texts without a letter and rows without a language don't count. Without any there is no language.
     """
     known = docs.select(F.col("text"), F.col("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = checkpointed(known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))
+    known = known.select("lang", "text", F.shiftrightunsigned(F.xxhash64("text"), 11).alias("order"), F.length("text").alias("size"))
+    counts = checkpointed(known.groupBy("lang").agg(F.count_distinct("order", "size").alias("texts")))
     share = max(settings.sample // max(counts.count(), 1), 2)
-    # Rows come from a range of hashes that holds four times as many as are taken, or all of a small
-    # language, so that what is ranked doesn't grow with the corpus.
-    reach = F.lit(4.0 * share) / F.col("rows")
+    # Rows come from a range of hashes that holds over four times as many different texts as are taken, or
+    # all of a small language, so that what is ranked doesn't grow with the corpus, and is never too little.
+    reach = F.lit(4.0 * share + 64) / F.col("texts")
     few = (
         known.join(F.broadcast(counts) if counts.count() <= 10_000 else counts, "lang")
-        .select("lang", "text", F.shiftrightunsigned(F.xxhash64("text"), 11).alias("order"), F.length("text").alias("size"), reach.alias("reach"))
-        .where(F.col("order") < F.col("reach") * float(1 << 53))
+        .where(F.col("order") < reach * float(1 << 53))
         .dropDuplicates(["lang", "order", "size"])
         .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "size")))
         .where(F.col("rank") <= share)
