@@ -12,6 +12,9 @@ from tilewright.operators import raster as P
 from tilewright.operators import tiles as T
 from tilewright.plans import views as V
 from tilewright.plans.registrar import Registrar, register_function
+from tilewright.plans import q_tiles, q_warp  # noqa: F401
+from tilewright.plans.registry import QUERIES
+from tilewright.session import table
 from tilewright.sources import readers as S
 from tilewright.streaming import points as ST
 
@@ -125,3 +128,11 @@ def test_streams(spark, tmp_path):
 def test_ransac_operator_passes_small_pairs(spark):
     m = spark.createDataFrame([(0, 1, i, i, float(i), 0.0, float(i), 9.0 * i) for i in range(3)], "image1 int, image2 int, i int, j int, x1 double, y1 double, x2 double, y2 double")
     assert G.ransac_filter(m).count() == 3
+
+
+def test_queries_over_all_slides(spark, sf_dir):
+    names = table(spark, sf_dir, "supplier").count()
+    slides = table(spark, sf_dir, "part").count()
+    rows = {"natural_order_all": names, "affine_decompose_all": slides, "affine_scaled_all": slides, "affine_inverse_all": slides, "warped_area_all": 5 * slides, "warped_canvas_all": slides, "warp_geojson_all": 15 * slides}
+    for name, n in rows.items():
+        assert QUERIES[name](spark, sf_dir).count() == n, name

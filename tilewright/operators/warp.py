@@ -68,7 +68,7 @@ def warped_canvas(sizes: DataFrame) -> DataFrame:
     c = sizes.select("slide", F.explode(A.corners(F.col("w"), F.col("h"))).alias("c"), "m")
     c = c.select("slide", A.warp_rigid(F.col("m"), F.col("c.x"), F.col("c.y")).alias("p"))
     ends = c.groupBy("slide").agg(*[f(f"p.{k}").alias(f"{n}_{k}") for n, f in (("min", F.min), ("max", F.max)) for k in ("x", "y")])
-    size = lambda k: F.ceil(F.greatest(F.col(f"max_{k}"), F.lit(0.0)) - F.least(F.col(f"min_{k}"), F.lit(0.0)))
+    size = lambda k: F.ceil(F.round(F.greatest(F.col(f"max_{k}"), F.lit(0.0)) - F.least(F.col(f"min_{k}"), F.lit(0.0)), 6))
     return ends.select("slide", size("x").alias("out_w"), size("y").alias("out_h"))
 
 

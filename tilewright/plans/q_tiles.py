@@ -58,6 +58,13 @@ def natural_order(spark: SparkSession, d: str) -> DataFrame:
     return s.select("s_suppkey", F.row_number().over(Window.orderBy("key")).alias("place"))
 
 
+@query("SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey)::INT AS place FROM supplier")
+def natural_order_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same over all names."""
+    s = table(spark, d, "supplier").select("s_suppkey", N.natural_key(F.concat(F.lit("slide_"), F.col("s_suppkey").cast("string"), F.lit(".tif"))).alias("key"))
+    return s.select("s_suppkey", F.row_number().over(Window.orderBy("key")).alias("place"))
+
+
 @query("SELECT p_partkey, p_name || CASE WHEN n > 1 THEN '_' || lpad((k - 1)::VARCHAR, length(n::VARCHAR)::INT, '0') ELSE '' END AS name FROM (SELECT p_partkey, p_brand AS p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k, count(*) OVER (PARTITION BY p_brand) AS n FROM part)")
 def duplicate_names(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("p_brand")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import affine as A
 from tilewright.operators import warp as W
 from tilewright.plans import views as V
-from tilewright.plans.registry import query
+from tilewright.plans.registry import ORACLE_SQL, QUERIES, Query, query
 
 R = lambda c, n=6: F.round(F.col(c), n).alias(c)
 INV = "((a*(x-tx) + b*(y-ty)) / (a*a+b*b))", "((-b*(x-tx) + a*(y-ty)) / (a*a+b*b))"
@@ -68,20 +70,20 @@ def warp_points_non_rigid(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(V.with_views("transforms", "SELECT slide, round(tx, 6) AS tx, round(ty, 6) AS ty, round(atan2(b, a), 6) AS rotation, round(sqrt(a*a+b*b), 6) AS scale_x, round(sqrt(a*a+b*b), 6) AS scale_y, round(atan2(b, a) - atan2(b, a), 6) + 0.0 AS shear FROM transforms"))
-def affine_decompose(spark: SparkSession, d: str) -> DataFrame:
-    p = V.transforms(spark, d).select("slide", A.decompose(F.col("m")).alias("p")).select("slide", "p.*")
+def affine_decompose(spark: SparkSession, d: str, transforms: Query = V.transforms) -> DataFrame:
+    p = transforms(spark, d).select("slide", A.decompose(F.col("m")).alias("p")).select("slide", "p.*")
     return p.select("slide", *[(F.round(c, 6) + 0.0).alias(c) for c in ("tx", "ty", "rotation", "scale_x", "scale_y", "shear")])
 
 
 @query(V.with_views("transforms", "SELECT slide, round(a, 6) AS m00, round(-b * 2.0 / 3.0, 6) + 0.0 AS m01, round(tx * 2.0, 6) AS m02, round(b * 3.0 / 2.0, 6) AS m10, round(a, 6) AS m11, round(ty * 3.0, 6) AS m12 FROM transforms"))
-def affine_scaled(spark: SparkSession, d: str) -> DataFrame:
-    m = V.transforms(spark, d).select("slide", A.scaled(F.col("m"), F.lit(2.0), F.lit(3.0)).alias("m"))
+def affine_scaled(spark: SparkSession, d: str, transforms: Query = V.transforms) -> DataFrame:
+    m = transforms(spark, d).select("slide", A.scaled(F.col("m"), F.lit(2.0), F.lit(3.0)).alias("m"))
     return m.select("slide", *[(F.round(F.get("m", F.lit(3 * r + c)), 6) + 0.0).alias(f"m{r}{c}") for r in (0, 1) for c in (0, 1, 2)])
 
 
 @query(V.with_views("transforms", "SELECT slide, round(a / (a*a+b*b), 6) AS m00, round(b / (a*a+b*b), 6) AS m01, round(-(a*tx + b*ty) / (a*a+b*b), 6) AS m02, round(-b / (a*a+b*b), 6) + 0.0 AS m10, round(a / (a*a+b*b), 6) AS m11, round((b*tx - a*ty) / (a*a+b*b), 6) AS m12 FROM transforms"))
-def affine_inverse(spark: SparkSession, d: str) -> DataFrame:
-    m = V.transforms(spark, d).select("slide", A.inverse(F.col("m")).alias("m"))
+def affine_inverse(spark: SparkSession, d: str, transforms: Query = V.transforms) -> DataFrame:
+    m = transforms(spark, d).select("slide", A.inverse(F.col("m")).alias("m"))
     return m.select("slide", *[(F.round(F.get("m", F.lit(3 * r + c)), 6) + 0.0).alias(f"m{r}{c}") for r in (0, 1) for c in (0, 1, 2)])
 
 
@@ -108,9 +110,9 @@ def affine_builders(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(V.with_views("transforms slide_levels", "SELECT slide, level, round((w::DOUBLE * h) / (a*a+b*b), 3) AS area FROM slide_levels JOIN transforms USING (slide)"))
-def warped_area(spark: SparkSession, d: str) -> DataFrame:
+def warped_area(spark: SparkSession, d: str, transforms: Query = V.transforms) -> DataFrame:
     """Area of a slide's outline in the registered frame."""
-    s = V.slide_levels(spark, d).join(V.transforms(spark, d).select("slide", "m"), "slide")
+    s = V.slide_levels(spark, d).join(transforms(spark, d).select("slide", "m"), "slide")
     area = A.polygon_area(A.let(A.inverse(F.col("m")), lambda inv: F.transform(A.corners(F.col("w"), F.col("h")), lambda p: A.apply_xy(inv, p["x"], p["y"]))))
     return s.select("slide", "level", F.round(area, 3).alias("area"))
 
@@ -123,8 +125,8 @@ q AS (SELECT slide, {INV[0]} AS px, {INV[1]} AS py FROM c)
 SELECT slide, ceil(round(greatest(max(px), 0) - least(min(px), 0), 6))::BIGINT AS out_w, ceil(round(greatest(max(py), 0) - least(min(py), 0), 6))::BIGINT AS out_h FROM q GROUP BY slide""",
     )
 )
-def warped_canvas(spark: SparkSession, d: str) -> DataFrame:
-    s = V.slide_levels(spark, d).where("level = 0").join(V.transforms(spark, d).select("slide", "m"), "slide")
+def warped_canvas(spark: SparkSession, d: str, transforms: Query = V.transforms) -> DataFrame:
+    s = V.slide_levels(spark, d).where("level = 0").join(transforms(spark, d).select("slide", "m"), "slide")
     return W.warped_canvas(s)
 
 
@@ -148,8 +150,8 @@ w AS (SELECT slide, k, o, round({INV[0]}, 3) + 0.0 AS px, round({INV[1]}, 3) + 0
 SELECT slide, k::INT AS feature, o::INT AS vertex, px, py, 'roi ' || k AS label FROM w""",
     )
 )
-def warp_geojson(spark: SparkSession, d: str) -> DataFrame:
-    t = V.transforms(spark, d)
+def warp_geojson(spark: SparkSession, d: str, transforms: Query = V.transforms) -> DataFrame:
+    t = transforms(spark, d)
     xs, ys = (0, 10, 10, 0, 0), (0, 0, 8, 8, 0)
     ring = F.array(*[F.array(F.lit(float(x)) + 5 * F.col("k"), F.lit(float(y)) + F.col("slide")) for x, y in zip(xs, ys, strict=True)])
     geometry = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
@@ -224,3 +226,9 @@ def crop_boxes(spark: SparkSession, d: str) -> DataFrame:
     s = V.slide_levels(spark, d).withColumn("crop", kind)
     side = lambda k: pick(F.col(k), F.expr(f"ceil({k} * 0.8)"), F.expr(f"ceil({k} * 1.25)")).alias(k)
     return s.select("slide", "level", "crop", pick(F.lit(0), F.expr("floor(w * 0.1)"), F.lit(0)).alias("x"), side("w"), side("h"))
+
+
+# The same over the transforms of all slides.
+for _f in (affine_decompose, affine_scaled, affine_inverse, warped_area, warped_canvas, warp_geojson):
+    QUERIES[f"{_f.__name__}_all"] = functools.partial(_f, transforms=V.all_transforms)
+    ORACLE_SQL[f"{_f.__name__}_all"] = ORACLE_SQL[_f.__name__].replace(V.SQL["transforms"], V.SQL["all_transforms"])

@@ -44,6 +44,21 @@ def transforms(spark: SparkSession, d: str) -> DataFrame:
     return t.selectExpr("*", "array(a, -b, tx, b, a, ty, 0.0D, 0.0D, 1.0D) as m")
 
 
+def all_transforms(spark: SparkSession, d: str) -> DataFrame:
+    """(slide, a, b, tx, ty, m): a similarity transform of every slide of ``slide_levels``, by the suppliers in turn."""
+    s = table(spark, d, "supplier").select(F.row_number().over(Window.orderBy("s_suppkey")).alias("turn"), "s_suppkey", "s_nationkey", "s_acctbal")
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("slide"))
+    n = table(spark, d, "supplier").agg(F.count(F.lit(1)).alias("n"))
+    t = p.crossJoin(F.broadcast(n)).withColumn("turn", F.col("slide") % F.col("n") + 1).drop("n").join(s, "turn").selectExpr(
+        "slide",
+        "cos(0.1 * s_suppkey) * (1 + s_nationkey / 100.0D) as a",
+        "sin(0.1 * s_suppkey) * (1 + s_nationkey / 100.0D) as b",
+        "s_acctbal / 100 as tx",
+        "10.0D * s_nationkey as ty",
+    )
+    return t.selectExpr("*", "array(a, -b, tx, b, a, ty, 0.0D, 0.0D, 1.0D) as m")
+
+
 def points(spark: SparkSession, d: str) -> DataFrame:
     """(slide, x, y): points on slides."""
     return table(spark, d, "lineitem").selectExpr("cast(l_suppkey % 8 as int) as slide", "l_extendedprice / 100 as x", "20 * l_quantity as y")
@@ -71,6 +86,9 @@ SQL = {
       floor(value)::INT % 256 AS v1, (user_id % 256)::INT AS v2 FROM events)""",
     "transforms": """transforms AS (SELECT s_suppkey::INT AS slide, cos(0.1 * s_suppkey) * (1 + s_nationkey / 100.0::DOUBLE) AS a,
       sin(0.1 * s_suppkey) * (1 + s_nationkey / 100.0::DOUBLE) AS b, s_acctbal / 100 AS tx, 10.0::DOUBLE * s_nationkey AS ty FROM supplier WHERE s_suppkey < 8)""",
+    "all_transforms": """transforms AS (SELECT p_partkey AS slide, cos(0.1 * s_suppkey) * (1 + s_nationkey / 100.0::DOUBLE) AS a,
+      sin(0.1 * s_suppkey) * (1 + s_nationkey / 100.0::DOUBLE) AS b, s_acctbal / 100 AS tx, 10.0::DOUBLE * s_nationkey AS ty
+      FROM part JOIN (SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS turn FROM supplier) ON turn = p_partkey % (SELECT count(*) FROM supplier))""",
     "points": "points AS (SELECT (l_suppkey % 8)::INT AS slide, l_extendedprice / 100 AS x, 20 * l_quantity AS y FROM lineitem)",
     "slide_levels": """slide_levels AS (SELECT slide, level, floor(w0 / pow(2, level))::INT AS w, floor(h0 / pow(2, level))::INT AS h FROM
       (SELECT p_partkey AS slide, 1000 + 100 * p_size AS w0, (1000 + p_partkey % 3000)::INT AS h0, unnest(range(0, 5))::INT AS level FROM part))""",
