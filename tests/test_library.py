@@ -136,3 +136,10 @@ def test_queries_over_all_slides(spark, sf_dir):
     rows = {"natural_order_all": names, "affine_decompose_all": slides, "affine_scaled_all": slides, "affine_inverse_all": slides, "warped_area_all": 5 * slides, "warped_canvas_all": slides, "warp_geojson_all": 15 * slides}
     for name, n in rows.items():
         assert QUERIES[name](spark, sf_dir).count() == n, name
+
+
+def test_queries_over_whole_images(spark, sf_dir):
+    p = V.pixels(spark, sf_dir)
+    assert QUERIES["stitched_tiles_all"](spark, sf_dir).count() == p.count()
+    frames = p.groupBy("image").agg(((F.max("x") + 1) * (F.max("y") + 1)).alias("n")).agg(F.sum("n")).first()[0]
+    assert QUERIES["warp_raster_nearest_all"](spark, sf_dir).count() == frames

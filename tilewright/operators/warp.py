@@ -53,10 +53,12 @@ def displace(points: DataFrame, field: DataFrame, cell: float) -> DataFrame:
     return j.select(*points.columns, (F.col("x") + F.coalesce(mixed("dx"), F.lit(0.0))).alias("wx"), (F.col("y") + F.coalesce(mixed("dy"), F.lit(0.0))).alias("wy"))
 
 
-def warp_raster_nearest(pixels: DataFrame, m: Column, w: int, h: int, bands: list[str], fill: int = 0) -> DataFrame:
-    """Images under ``m``, destination to source: each output pixel takes its nearest source pixel, or ``fill``."""
-    images = pixels.select("image").distinct()
-    out = images.select("image", F.explode(F.sequence(F.lit(0), F.lit(w - 1))).alias("x")).select("image", "x", F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("y"))
+def warp_raster_nearest(pixels: DataFrame, m: Column, w: int | None, h: int | None, bands: list[str], fill: int = 0) -> DataFrame:
+    """Images under ``m``, destination to source: each output pixel takes its nearest source pixel, or ``fill``.
+
+    The output has ``w`` x ``h`` pixels; None is the image's own extent."""
+    images = pixels.groupBy("image").agg((F.max("x") if w is None else F.lit(w - 1)).alias("w"), (F.max("y") if h is None else F.lit(h - 1)).alias("h"))
+    out = images.select("image", F.explode(F.sequence(F.lit(0), F.col("w"))).alias("x"), "h").select("image", "x", F.explode(F.sequence(F.lit(0), F.col("h"))).alias("y"))
     s = out.withColumn("s", A.apply_xy(m, F.col("x").cast("double"), F.col("y").cast("double")))
     s = s.select("image", "x", "y", F.floor(F.col("s.x") + 0.5).cast("int").alias("sx"), F.floor(F.col("s.y") + 0.5).cast("int").alias("sy"))
     src = pixels.select("image", F.col("x").alias("sx"), F.col("y").alias("sy"), *bands)

@@ -224,6 +224,27 @@ def stitched_tiles(spark: SparkSession, d: str) -> DataFrame:
     return T.stitch(t).select("image", "x", "y", F.round("v", 6).alias("v"))
 
 
+@query(
+    V.with_views(
+        "pixels",
+        """AND e AS (SELECT image, max(x) + 1 AS w, max(y) + 1 AS h FROM pixels GROUP BY image),
+c AS (SELECT image, x, y, v1, w, h, x // 12 - p AS i, y // 16 - q AS j FROM pixels JOIN e USING (image), (VALUES (0), (1)) a(p), (VALUES (0), (1)) b(q)),
+t AS (SELECT image, x, y, v1 + i + j AS v, x - 12 * i AS px, y - 16 * j AS py, least(16, w - 12 * i) AS tw, least(20, h - 16 * j) AS th FROM c
+  WHERE i >= 0 AND j >= 0 AND x < 12 * i + 16 AND y < 16 * j + 20 AND (i = 0 OR 12 * i + 4 < w) AND (j = 0 OR 16 * j + 4 < h)),
+g AS (SELECT image, x, y, v, least(least(px, tw - 1 - px), least(py, th - 1 - py)) + 1 AS weight FROM t)
+SELECT image, x, y, round(sum(weight * v) / sum(weight), 6) AS v FROM g GROUP BY image, x, y""",
+    )
+)
+def stitched_tiles_all(spark: SparkSession, d: str) -> DataFrame:
+    """Whole images from tiles of 16 x 20 pixels that share 4 with the next; the last ones end with the image."""
+    p = V.pixels(spark, d)
+    p = p.join(F.broadcast(p.groupBy("image").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))), "image")
+    near = lambda c, n: F.explode(F.array(F.expr(f"cast({c} div {n} as int)"), F.expr(f"cast({c} div {n} as int) - 1")))
+    p = p.withColumn("i", near("x", 12)).withColumn("j", near("y", 16)).where("i >= 0 AND j >= 0 AND x < 12 * i + 16 AND y < 16 * j + 20 AND (i = 0 OR 12 * i + 4 < w) AND (j = 0 OR 16 * j + 4 < h)")
+    t = p.selectExpr("image", "struct(i, j) as tile", "12 * i as tx", "16 * j as ty", "least(16, w - 12 * i) as tw", "least(20, h - 16 * j) as th", "x", "y", "v1 + i + j as v")
+    return T.stitch(t).select("image", "x", "y", F.round("v", 6).alias("v"))
+
+
 @query(V.with_views("transforms", "AND v AS (SELECT slide, k, a * k AS x, b * k * k AS y FROM transforms, (SELECT unnest(range(0, 12)) AS k)), s AS (SELECT slide, k // 4 AS win, k, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py FROM v WINDOW w AS (PARTITION BY slide, k // 4 ORDER BY k)), g AS (SELECT slide, win, sum(sqrt(pow(x - px, 2) + pow(y - py, 2))) AS len, sqrt(pow(arg_max(x, k) - arg_min(x, k), 2) + pow(arg_max(y, k) - arg_min(y, k), 2)) AS chord FROM s GROUP BY ALL) SELECT slide, round((count(*) - 1) / sum(len) * sum(len / chord - 1), 6) AS tortuosity FROM g GROUP BY slide"))
 def polygon_tortuosity(spark: SparkSession, d: str) -> DataFrame:
     """How much longer a line is than the chords of its windows of four vertices."""

@@ -228,6 +228,19 @@ def crop_boxes(spark: SparkSession, d: str) -> DataFrame:
     return s.select("slide", "level", "crop", pick(F.lit(0), F.expr("floor(w * 0.1)"), F.lit(0)).alias("x"), side("w"), side("h"))
 
 
+@query(
+    V.with_views(
+        "pixels",
+        """AND img AS (SELECT image, max(x) AS w, max(y) AS h FROM pixels GROUP BY image), o AS (SELECT image, unnest(range(0, w + 1))::INT AS x, h FROM img), q AS (SELECT image, x, unnest(range(0, h + 1))::INT AS y FROM o),
+g AS (SELECT image, x, y, floor(cos(0.1::DOUBLE)*x - sin(0.1::DOUBLE)*y + 1.5 + 0.5)::INT AS sx, floor(sin(0.1::DOUBLE)*x + cos(0.1::DOUBLE)*y - 0.75 + 0.5)::INT AS sy FROM q)
+SELECT g.image, g.x, g.y, coalesce(p.v1, 0) AS v1, coalesce(p.v2, 0) AS v2 FROM g LEFT JOIN pixels p ON p.image = g.image AND p.x = g.sx AND p.y = g.sy""",
+    )
+)
+def warp_raster_nearest_all(spark: SparkSession, d: str) -> DataFrame:
+    """Whole images, in frames of their own size."""
+    return W.warp_raster_nearest(V.pixels(spark, d), A.similarity(F.lit(0.1), F.lit(1.0), F.lit(1.5), F.lit(-0.75)), None, None, ["v1", "v2"])
+
+
 # The same over the transforms of all slides.
 for _f in (affine_decompose, affine_scaled, affine_inverse, warped_area, warped_canvas, warp_geojson):
     QUERIES[f"{_f.__name__}_all"] = functools.partial(_f, transforms=V.all_transforms)
