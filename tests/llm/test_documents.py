@@ -260,6 +260,14 @@ def test_decontamination(spark, sf_dir, odd):
     assert decontam.find_contaminated(odd, nulls).count() == 0
 
 
+def test_items_of_sixteen_words_with_an_end_changed(spark):
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(16))) for k in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(2 * k + e, "pre " + (f"zz {t.split(' ', 1)[1]}" if e else f"{t.rsplit(' ', 1)[0]} zz") + " post") for k, t in items for e in (0, 1)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.find_contaminated(docs, bench).collect()}
+    assert got == {(2 * k + e, k) for k in range(40) for e in (0, 1)}
+
+
 def test_hamming_blocks_are_exact():
     rng = np.random.default_rng(5)
     words = [f"w{i}" for i in range(400)]

@@ -80,7 +80,8 @@ class Matcher:
 
     An item's windows have the largest of the given sizes that fits in twice with a word between: a
     copy with one word changed, added or left out then still holds an unchanged window, which has the
-    same fingerprint. Shorter items have the largest size that fits, or their own.
+    same fingerprint. Shorter items have the largest size below their own, so that a change of the first or
+    last word leaves one, or their own.
     """
 
     def __init__(self, ids: list[int], texts: list[str], s: Settings) -> None:
@@ -97,7 +98,7 @@ class Matcher:
         self.weights = [Counter(self._shingles(h).tolist()) for h in self.hashes]
         by_size: dict[int, list[int]] = {}
         for i, h in enumerate(self.hashes):
-            fit = [n for n in s.sizes if 2 * n < len(h)] or [n for n in s.sizes if n <= len(h)]
+            fit = [n for n in s.sizes if 2 * n < len(h)] or [n for n in s.sizes if n < len(h)] or [n for n in s.sizes if n <= len(h)]
             by_size.setdefault(fit[-1] if fit else len(h), []).append(i)
         self.indexes = [self._index(n, items) for n, items in sorted(by_size.items())]
 
