@@ -61,25 +61,39 @@ def _metrics(body: Column, words: Column) -> dict[str, Column]:
 
 
 #: Words in a 3-word window that the text has twice or more, from ``windows``: sorted longs of which
-#: the low ``bits`` bits are a window's position and the others its hash.
+#: the low ``bits`` bits are a window's position and the others its hash. Windows of equal hash are repeats
+#: only if their words are equal too.
 REPEAT_WORDS = """
 size(array_distinct(flatten(transform(
-  filter(windows, (x, k) ->
-    coalesce(shiftright(x ^ get(windows, k - 1), bits) = 0, false) OR coalesce(shiftright(x ^ get(windows, k + 1), bits) = 0, false)),
+  filter(windows, (x, k) -> {before} OR {after}),
   x -> array(x & (shiftleft(1L, bits) - 1L), (x & (shiftleft(1L, bits) - 1L)) + 1L, (x & (shiftleft(1L, bits) - 1L)) + 2L)))))
 """
 
 
+def _same(other: str) -> str:
+    """SQL for whether window ``x`` has the hash and the words of its neighbour."""
+    at = lambda v, d: f"get(words, int({v} & (shiftleft(1L, bits) - 1L)) + {d})"
+    words = " AND ".join(f"{at('x', d)} = {at(other, d)}" for d in range(3))
+    return f"coalesce(shiftright(x ^ {other}, bits) = 0 AND {words}, false)"
+
+
+REPEAT_WORDS = REPEAT_WORDS.format(before=_same("get(windows, k - 1)"), after=_same("get(windows, k + 1)"))
+
+
 def quality_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The columns of ``docs`` in a struct ``row``, with the counts that rules are made of.
 
     Words are runs of characters other than space and tab to carriage return; null has none. Windows
-    of three words are compared by a 64-bit hash of which the position takes the low bits that a text
-    of this many words needs; sorting these longs brings equal windows side by side, so a text is
-    counted in n log n steps whatever it repeats.
+    of three words are sorted by a 64-bit hash of which the position takes the low bits that a text
+    of this many words needs. That brings equal windows side by side, so a text is counted in n log n steps
+    whatever it repeats. Neighbours of equal hash are compared word by word, so a text of any length has no
+    false repeats; one is missed only where an unlike window of the same hash lies between two equal ones
+    and none beside them (at ten million words 40 bits are left: some 50 pairs of unlike windows share a
+    hash, and a repeat has a chance of 1 in 100,000 to lie around one).
     """
     body = F.coalesce(F.col("row").getField(text_col), F.lit(""))
-    words = F.filter(F.split(body, SPACE + "+", -1), lambda w: w != "")
+    bare = F.btrim(body, F.lit(" \t\n\x0b\f\r"))
+    words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE + "+", -1))
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     # A generator keeps the array of words from being computed again in each expression.
     base = base.select("row", F.explode(F.array(words)).alias("words"))
