@@ -7,7 +7,11 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.session import checkpointed
+
 WHITE = " \t\n\x0b\f\r"
+#: Up to so many frequent lines (two longs each) are broadcast; more are joined by a shuffle.
+BROADCAST_LINES = 1 << 20
 
 
 def line_key(line: Column) -> Column:
@@ -36,7 +40,7 @@ def frequent_lines(docs: DataFrame, min_docs: int) -> DataFrame:
     return once.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text", broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """All columns of ``docs``, with repeated lines taken out of the text, and n_lines and n_dropped.
 
     A line goes from every document if its key (see ``line_key``) has at least one code point and is
@@ -45,25 +49,32 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", tex
     repeat an id count as one document and each give a row; all null ids count as one document.
     n_lines and n_dropped replace columns of these names; an empty table gives no rows.
 
-    Only hashes and positions are shuffled by hash. Dropped positions come back to their document as
-    bit masks of 64 lines each, so that a text with very many dropped lines stays linear.
+    Only hashes and positions are shuffled by hash. The frequent hashes are written and counted: up to
+    ``BROADCAST_LINES`` meet the lines where these are; beyond, both sides are shuffled as they are, and as
+    neither is aggregated in that stage, a hash that a large part of all lines has is split over tasks.
+    Dropped positions come back to their document as bit masks of 64 lines each, in an array without gaps,
+    so that a text with very many dropped lines stays linear. A document's lines are in one task, as they
+    are one row.
     """
     src = docs.drop("n_lines", "n_dropped")
     wide = src.select(F.struct(*[F.col(f"`{c}`") for c in src.columns]).alias("row"))
     doc, text = F.col("row").getField(id_col), F.coalesce(F.col("row").getField(text_col), F.lit(""))
     keyed = docs.select(F.col(f"`{id_col}`").alias("doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("body"))
     keyed = keyed.withColumn("th", F.xxhash64("body"))
+    frequent = checkpointed(frequent_lines(keyed, min_docs).select("h1", "h2"))
+    if frequent.count() <= broadcast_lines:
+        frequent = F.broadcast(frequent)
     gone = (
         _lines(keyed)
-        .join(frequent_lines(keyed, min_docs).select("h1", "h2"), ["h1", "h2"], "left_semi")
+        .join(frequent, ["h1", "h2"], "left_semi")
         .groupBy("doc", "th", F.expr("pos div 64").cast("int").alias("block"))
         .agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("mask"))
         .groupBy("doc", "th")
-        .agg(F.map_from_entries(F.collect_list(F.struct("block", "mask"))).alias("by_block"))
+        .agg(F.sort_array(F.collect_list(F.struct("block", "mask"))).alias("by_block"))
         .select(
             F.col("doc").alias("gone_doc"),
             F.col("th").alias("gone_th"),
-            F.expr("transform(sequence(0, array_max(map_keys(by_block))), b -> coalesce(by_block[b], 0L))").alias("masks"),
+            F.expr("flatten(transform(by_block, (b, i) -> concat(array_repeat(0L, b.block - coalesce(get(by_block, i - 1).block, -1) - 1), array(b.mask))))").alias("masks"),
         )
     )
     joined = wide.withColumn("th", F.xxhash64(text)).join(gone, doc.eqNullSafe(F.col("gone_doc")) & (F.col("th") == F.col("gone_th")), "left")
