@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,19 +14,22 @@ from pyspark.sql import types as T
 
 from tilewright.llm import textkernels as tk
 
-#: An index of up to so many words of benchmark text goes to each worker; a larger benchmark is taken
-#: in parts of this size, each of which meets all documents.
-PART_WORDS = 1 << 20
+#: Benchmark text of up to so many bytes makes up one index on each worker; a larger benchmark is taken in
+#: parts of about this size, each of which meets all documents.
+PART_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Parameters of the search. A fingerprint has 64 bits in ``radius + 1`` blocks."""
+    """Parameters of the search. A fingerprint has 64 bits in four blocks."""
 
     width: int = 5  # words of a shingle
     similarity: float = 0.8  # weighted Jaccard similarity of shingles from which a document is contaminated
-    radius: int = 3
-    sizes: tuple[int, ...] = (8, 16, 32, 64, 128)  # words of a window, by the size of an item: see Matcher
+    radius: int = 7  # bits in which the fingerprints of a window and of an item's may differ
+    growth: float = 1.1  # between two sizes of windows
+
+
+BLOCKS, BLOCK_BITS = 4, 16
 
 
 @dataclass
@@ -34,10 +37,13 @@ class Index:
     """The windows of items of one size, and their fingerprints by block."""
 
     size: int
+    need: int  # word pairs of the benchmark that a window of this size has at least, if its span is similar enough
     fingerprints: np.ndarray
     item: np.ndarray  # index into items
     offset: np.ndarray  # of the window in its item, in words
-    flags: np.ndarray  # (blocks, 65536): some fingerprint has this block
+    order: list[np.ndarray]  # by block: windows sorted by their key
+    keys: list[np.ndarray]  # by block: their keys, sorted
+    flags: np.ndarray  # (blocks, 65536): some fingerprint's block is within reach of this key
 
 
 def fingerprints(features: np.ndarray, n: int) -> np.ndarray:
@@ -56,167 +62,216 @@ def fingerprints(features: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(most, axis=1).view(np.uint64).ravel()
 
 
-def _features(hashes: np.ndarray) -> np.ndarray:
-    """A feature for each pair of neighbouring words: common words alone would make all windows alike."""
+def _pairs(hashes: np.ndarray) -> np.ndarray:
+    """A hash of each word and the next one."""
     return tk.mix(hashes[:-1] * np.uint64(tk.BASE) + hashes[1:])
 
 
-def _blocks(radius: int) -> list[tuple[int, int]]:
-    """(shift, bits) of ``radius + 1`` blocks of a fingerprint. If two differ in ``radius`` bits at
-    most, one block of the two is equal. Blocks have 16 bits at most to index a table of flags."""
-    n = radius + 1
-    if n < 4:
-        raise ValueError("a radius under 3 needs blocks of over 16 bits")
-    edges = [64 * k // n for k in range(n + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+def _flips(radius: int) -> np.ndarray:
+    """What a block's key may be changed by: of fingerprints that differ in ``radius`` bits at most, one
+    block of the four differs in a fourth of them at most."""
+    ones = [0]
+    for _ in range(radius // BLOCKS):
+        ones = sorted({x ^ (1 << b) for x in ones for b in range(BLOCK_BITS)} | set(ones))
+    return np.array(ones, np.int64)
+
 
+def _keys(h: np.ndarray, block: int) -> np.ndarray:
+    return ((h >> np.uint64(BLOCK_BITS * block)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
 
-def _keys(h: np.ndarray, block: tuple[int, int]) -> np.ndarray:
-    return ((h >> np.uint64(block[0])) & np.uint64((1 << block[1]) - 1)).astype(np.int64)
+
+def window_words(n: int, s: Settings) -> int:
+    """Words of the windows of an item of ``n`` words: as many as the least span has that can be similar
+    enough to the item, or the next smaller size of a series that grows by ``growth``."""
+    most = n if n <= s.width else max(int(np.ceil(s.similarity * (n - s.width + 1) - 1e-9)) + s.width - 1, 1)
+    size = 1
+    while (next_ := max(size + 1, int(size * s.growth))) <= most:
+        size = next_
+    return size
 
 
 class Matcher:
-    """Finds the items that a document holds. Built from item ids and texts on each worker.
+    """Finds the items that a document holds. Built from the texts of items on each worker.
 
-    An item's windows have the largest of the given sizes that fits in twice with a word between: a
-    copy with one word changed, added or left out then still holds an unchanged window, which has the
-    same fingerprint. Shorter items have the largest size below their own, so that a change of the first or
-    last word leaves one, or their own.
+    An item's windows are sized by the item (see ``window_words``): a span that is similar enough holds a whole
+    one, and where the copy differs from the item in a word at an end, one that doesn't reach it.
     """
 
-    def __init__(self, ids: list[int], texts: list[str], s: Settings) -> None:
-        self.s, self.blocks = s, _blocks(s.radius)
-        self.ids: list[int] = []
+    def __init__(self, texts: pa.Array, s: Settings) -> None:
+        self.s, self.flips = s, _flips(s.radius)
+        self.rows: list[int] = []  # of each item: its row in texts
         self.hashes: list[np.ndarray] = []
-        for p in tk.pieces(pa.array(texts, pa.large_string()), lower=True):
+        for p in tk.pieces(texts, lower=True):
             w = tk.words(p)
             h = tk.span_hashes(p.data, w.begin, w.end)
             for d in range(p.n):
                 if w.first[d + 1] > w.first[d]:
-                    self.ids.append(ids[p.first + d])
+                    self.rows.append(p.first + d)
                     self.hashes.append(h[w.first[d] : w.first[d + 1]])
-        self.weights = [Counter(self._shingles(h).tolist()) for h in self.hashes]
+        self.shingles = [np.unique(self._shingles(h), return_counts=True) for h in self.hashes]
         by_size: dict[int, list[int]] = {}
         for i, h in enumerate(self.hashes):
-            fit = [n for n in s.sizes if 2 * n < len(h)] or [n for n in s.sizes if n < len(h)] or [n for n in s.sizes if n <= len(h)]
-            by_size.setdefault(fit[-1] if fit else len(h), []).append(i)
+            by_size.setdefault(window_words(len(h), s), []).append(i)
         self.indexes = [self._index(n, items) for n, items in sorted(by_size.items())]
+        pairs = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_pairs(h) for h in self.hashes)]))
+        self.shift = np.uint64(64 - min(max(int(len(pairs) * 16).bit_length(), 16), 26))
+        self.known = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.known[(pairs >> self.shift).astype(np.int64)] = True
 
     def _shingles(self, h: np.ndarray) -> np.ndarray:
         return tk.shingles(h, np.array([0, len(h)]), self.s.width)[0]
 
-    def _windows(self, h: np.ndarray, size: int) -> np.ndarray:
-        """Fingerprints of all windows of ``size`` words; a single word is its own fingerprint."""
-        return h if size == 1 else fingerprints(_features(h), size - 1)
-
     def _index(self, size: int, items: list[int]) -> Index:
-        prints = [self._windows(self.hashes[i], size) for i in items]
-        all_prints = np.concatenate(prints)
-        flags = np.zeros((len(self.blocks), 1 << 16), bool)
-        for k, block in enumerate(self.blocks):
-            flags[k, _keys(all_prints, block)] = True
-        order = np.repeat(items, [len(x) for x in prints])
-        return Index(size, all_prints, order, np.concatenate([np.arange(len(x)) for x in prints]), flags)
+        prints = [fingerprints(self.hashes[i], size) for i in items]
+        whole = np.concatenate(prints)
+        # A span that is similar enough shares so many shingles with its item, each of which begins with a
+        # pair of words of the item; the words of the span that the window leaves out can begin as many.
+        least = [int(np.ceil(self.s.similarity * max(len(self.hashes[i]) - self.s.width + 1, 1) - 1e-9)) - (len(self.hashes[i]) - size) for i in items]
+        need = 0 if size < 2 or min(len(self.hashes[i]) for i in items) < 2 else max(min(least), 0)
+        flags = np.zeros((BLOCKS, 1 << BLOCK_BITS), bool)
+        order, keys = [], []
+        for k in range(BLOCKS):
+            own = _keys(whole, k)
+            order.append(np.argsort(own, kind="stable"))
+            keys.append(own[order[-1]])
+            flags[k, (own[:, None] ^ self.flips[None]).ravel()] = True
+        item = np.repeat(items, [len(x) for x in prints])
+        return Index(size, min(need, size - 1), whole, item, np.concatenate([np.arange(len(x)) for x in prints]), order, keys, flags)
 
     def _near(self, h: np.ndarray, ix: Index) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs (window of h, window of the index) of which the fingerprints differ in ``radius`` bits at most."""
-        left, right = [], []
-        for k, block in enumerate(self.blocks):
-            keys = _keys(h, block)
-            at = np.flatnonzero(ix.flags[k, keys])
-            if not len(at):
-                continue
-            own = _keys(ix.fingerprints, block)
-            order = np.argsort(own, kind="stable")
-            lo, hi = np.searchsorted(own[order], keys[at], "left"), np.searchsorted(own[order], keys[at], "right")
-            n = hi - lo
-            i = np.repeat(at, n)
-            j = order[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-            close = np.bitwise_count(h[i] ^ ix.fingerprints[j]) <= self.s.radius
-            left.append(i[close])
-            right.append(j[close])
-        return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
+        """All pairs (fingerprint of h, window of the index) that differ in ``radius`` bits at most."""
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(BLOCKS):
+            own = _keys(h, k)
+            at = np.flatnonzero(ix.flags[k, own])
+            for flip in self.flips if len(at) else ():
+                lo, hi = np.searchsorted(ix.keys[k], own[at] ^ flip, "left"), np.searchsorted(ix.keys[k], own[at] ^ flip, "right")
+                n = hi - lo
+                i = np.repeat(at, n)
+                j = ix.order[k][np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+                close = np.bitwise_count(h[i] ^ ix.fingerprints[j]) <= self.s.radius
+                left.append(i[close])
+                right.append(j[close])
+        return np.concatenate(left), np.concatenate(right)
 
     def similarity(self, item: int, span: np.ndarray) -> float:
         """Weighted Jaccard similarity: shingles count as often as they occur."""
-        own, other = self.weights[item], Counter(self._shingles(span).tolist())
-        both = sum(min(n, other[x]) for x, n in own.items())
-        return both / (own.total() + other.total() - both)
+        own, n = self.shingles[item]
+        other, m = np.unique(self._shingles(span), return_counts=True)
+        _, a, b = np.intersect1d(own, other, assume_unique=True, return_indices=True)
+        both = int(np.minimum(n[a], m[b]).sum())
+        return both / (int(n.sum()) + int(m.sum()) - both)
 
     def search(self, h: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], tuple[float, int]]:
         """(document, item) -> (similarity, first word of the span) of the best span, where that is similar enough.
 
-        ``h`` are the word hashes of some documents, ``first`` the index of each document's first word.
-        A window can reach over the end of its document; its span is cut to the document before it is compared.
+        ``h`` are the word hashes of some documents, ``first`` the index of each document's first word. Windows
+        with too few pairs of words that any item has are passed over: their spans can't be similar enough.
         """
         best: dict[tuple[int, int], tuple[float, int]] = {}
+        if not len(h) or not self.indexes:
+            return best
+        known = np.zeros(len(h) + 1, np.int32)
+        np.cumsum(self.known[(_pairs(h) >> self.shift).astype(np.int64)], out=known[1 : len(h)])
+        known[len(h)] = known[max(len(h) - 1, 0)]
+        doc_of = np.repeat(np.arange(len(first) - 1), np.diff(first)).astype(np.int32)
         tried: set[tuple[int, int, int]] = set()
         for ix in self.indexes:
             if len(h) < ix.size:
                 continue
-            i, j = self._near(self._windows(h, ix.size), ix)
-            doc = np.searchsorted(first, i, "right") - 1
-            for d, begin, item in zip(doc.tolist(), (i - ix.offset[j]).tolist(), ix.item[j].tolist(), strict=True):
-                if (d, item, begin) in tried:
+            last = len(h) - ix.size + 1
+            some = doc_of[:last] == doc_of[ix.size - 1 :]
+            if ix.need:
+                some &= known[ix.size - 1 : ix.size - 1 + last] - known[:last] >= ix.need
+            at = np.flatnonzero(some)
+            for run in np.split(at, np.flatnonzero(np.diff(at) > ix.size) + 1):  # places near each other share their sums
+                if not len(run):
                     continue
-                tried.add((d, item, begin))
-                lo, hi = max(begin, int(first[d])), min(begin + len(self.hashes[item]), int(first[d + 1]))
-                x = self.similarity(item, h[lo:hi]) if hi > lo else 0.0
-                if x >= self.s.similarity - 1e-12 and x > best.get((d, item), (0.0, 0))[0]:
-                    best[d, item] = (x, lo - int(first[d]))
+                prints = fingerprints(h[run[0] : run[-1] + ix.size], ix.size)[run - run[0]]
+                i, j = self._near(prints, ix)
+                i = run[i]
+                begin = i - ix.offset[j]
+                for d, start, item in zip(doc_of[i].tolist(), begin.tolist(), ix.item[j].tolist(), strict=True):
+                    if (d, item, start) in tried:
+                        continue
+                    tried.add((d, item, start))
+                    lo, hi = max(start, int(first[d])), min(start + len(self.hashes[item]), int(first[d + 1]))
+                    x = self.similarity(item, h[lo:hi]) if hi > lo else 0.0
+                    old = best.get((d, item), (0.0, 0))
+                    if x >= self.s.similarity - 1e-12 and (x, -(lo - int(first[d]))) > (old[0], -old[1]):
+                        best[d, item] = (x, lo - int(first[d]))
         return best
 
 
-def _parts(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's items in parts of bounded size; one part is on the driver at a time."""
-    part, size = [], 0
-    for row in benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct().toLocalIterator():
-        n = row.text.count(" ") + 1
-        if part and size + n > PART_WORDS:
-            yield part
-            part, size = [], 0
-        part.append((row.item_id, row.text))
-        size += n
-    yield part
+def _parts(benchmark: DataFrame) -> Iterator[pa.Table]:
+    """(item_id, text): the benchmark's items in parts of bounded size; one part is on the driver at a time."""
+    items = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-max(size, 1) // PART_BYTES)
+    for k in range(n):
+        yield items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).orderBy("item_id", "text").toArrow()
+
+
+def _searched(column: pa.Array, m: Matcher) -> Iterator[tuple[int, int, float, int]]:
+    """(row of the column, row of the benchmark, similarity, first word) of all that is found."""
+    for p in tk.pieces(column, lower=True, size=tk.PIECE // 2):
+        w = tk.words(p)
+        for (d, item), (x, k) in m.search(tk.span_hashes(p.data, w.begin, w.end), w.first).items():
+            yield p.first + d, m.rows[item], x, k
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """(doc_id, item_id, similarity, word_at) of each document and benchmark item that it holds.
 
     Words are runs of letters and digits, lower-cased. A document holds an item if a span of as many
-    words as the item has a weighted Jaccard similarity of ``settings.similarity`` or more in shingles
-    of ``settings.width`` words, and a window of that span and of the item at the same place differ
-    in ``settings.radius`` bits of their SimHash at most. word_at is the number of words before the
-    best span (the first one of equals). Items with fewer words than a shingle are one shingle.
-    Null or empty texts and items hold nothing. Rows that repeat an id give one row an item, the best.
-    Other columns are ignored. Without items or documents there are no rows.
+    words as the item has (fewer at the ends of the document) has a weighted Jaccard similarity of
+    ``settings.similarity`` or more in shingles of ``settings.width`` words, and a window of that span and of
+    the item at the same place differ in ``settings.radius`` bits of their SimHash at most. word_at is the
+    number of words before the best span (the first one of equals). Items with fewer words than a shingle
+    are one shingle. Null or empty texts and items hold nothing. Rows that repeat an id give one row an
+    item, the best; so do items that repeat an id. Ids may have any type. Other columns are ignored.
+    Without items or documents there are no rows.
     """
     spark = docs.sparkSession
     schema = T.StructType([docs.schema["doc_id"], T.StructField("item_id", benchmark.schema["item_id"].dataType), T.StructField("similarity", T.DoubleType()), T.StructField("word_at", T.LongType())])
-    item_type = pa.int64() if schema["item_id"].dataType == T.LongType() else pa.int32()
 
-    def search(part: list[tuple[int, str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(sorted(part))
+    def search(part: pa.Table) -> DataFrame:
+        shared = spark.sparkContext.broadcast(part.combine_chunks())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = Matcher([x[0] for x in shared.value], [x[1] for x in shared.value], settings)
+            items = shared.value
+            m = Matcher(items.column("text").combine_chunks(), settings)
             for b in batches:
-                rows, items, how, at = [], [], [], []
-                for p in tk.pieces(b.column("text"), lower=True, size=tk.PIECE // 2):
-                    w = tk.words(p)
-                    for (d, item), (x, k) in m.search(tk.span_hashes(p.data, w.begin, w.end), w.first).items():
-                        rows.append(p.first + d)
-                        items.append(m.ids[item])
-                        how.append(x)
-                        at.append(k)
-                ids = b.column("doc_id").take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(items, item_type), pa.array(how, pa.float64()), pa.array(at, pa.int64())], ["doc_id", "item_id", "similarity", "word_at"])
+                found = list(zip(*_searched(b.column("text"), m), strict=True)) or [(), (), (), ()]
+                ids = b.column("doc_id").take(pa.array(found[0], pa.int64()))
+                of = items.column("item_id").combine_chunks().take(pa.array(found[1], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, of, pa.array(found[2], pa.float64()), pa.array(found[3], pa.int64())], ["doc_id", "item_id", "similarity", "word_at"])
 
         return docs.select("doc_id", "text").mapInArrow(run, schema)
 
-    found = None
-    for part in _parts(benchmark):
-        one = search(part)
-        found = one if found is None else found.unionByName(one)
+    found = functools.reduce(DataFrame.unionByName, map(search, _parts(benchmark)))
     best = F.max(F.struct("similarity", (-F.col("word_at")).alias("back"))).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.round("best.similarity", 9).alias("similarity"), (-F.col("best.back")).alias("word_at"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), text_col: str = "text") -> DataFrame:  # noqa: B008
+    """The rows of ``docs`` of which the text holds no benchmark item, as ``find_contaminated`` tells.
+
+    Each row is judged by its own text and nothing is shuffled, so null ids and rows that repeat an id are
+    rows like all others.
+    """
+    spark = docs.sparkSession
+
+    def clean(rest: DataFrame, part: pa.Table) -> DataFrame:
+        shared = spark.sparkContext.broadcast(part.column("text").combine_chunks())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = Matcher(shared.value, settings)
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                keep[[d for d, *_ in _searched(b.column(text_col), m)]] = False
+                yield b.filter(pa.array(keep))
+
+        return rest.mapInArrow(run, rest.schema)
+
+    return functools.reduce(clean, _parts(benchmark), docs)
