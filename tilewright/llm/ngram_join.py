@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tilewright.llm import textkernels as tk
 from tilewright.operators.components import connected_components
@@ -23,7 +25,8 @@ class Settings:
     similarity: float = 0.8  # Jaccard similarity of n-gram sets from which two texts are linked
     recall: float = 0.9999  # of pairs at just that similarity, by which bands and rows are chosen
     hashes: int = 128  # at most, over all bands
-    block: int = 512  # texts of one side of a checked block, and of a task with small components
+    block: int = 512  # texts of one side of a block that is compared at once
+    part_bytes: int = 16 << 20  # text of one side of a task; smaller groups share a task
 
 
 def choose_bands(similarity: float, recall: float, hashes: int) -> tuple[int, int]:
@@ -68,20 +71,31 @@ def signatures(column: pa.Array, s: Settings) -> tuple[np.ndarray, np.ndarray, n
     return n_words, t1, t2, out
 
 
+def text_key() -> Column:
+    """A hash of the raw text, which tells rows of one doc_id apart; null is empty."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def sketch(docs: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, t1, t2, bands) of all texts with a word."""
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t1 bigint, t2 bigint, bands array<bigint>"
+    """(doc_id, th, t1, t2, size, bands) of all rows with a word; ``size`` is the text's in bytes."""
+    schema = T.StructType([docs.schema["doc_id"]])
+    for name in ("th", "t1", "t2", "size"):
+        schema = schema.add(name, "long")
+    schema = schema.add("bands", T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, t1, t2, bands = signatures(b.column("text"), s)
             has = np.flatnonzero(n)
+            at = pa.array(has)
             rows = bands[has]
             offsets = np.arange(len(has) + 1, dtype=np.int32) * rows.shape[1]
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tk.as_signed(rows.ravel())))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(has)), pa.array(tk.as_signed(t1[has])), pa.array(tk.as_signed(t2[has])), lists], ["doc_id", "t1", "t2", "bands"])
+            size = pc.binary_length(b.column("text").take(at)).cast(pa.int64())
+            columns = [b.column("doc_id").take(at), b.column("th").take(at), pa.array(tk.as_signed(t1[has])), pa.array(tk.as_signed(t2[has])), size, lists]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", text_key().alias("th")).mapInArrow(run, schema)
 
 
 def _sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,134 +111,196 @@ def _sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
 
 
-def linked(grams: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether each text of ``left`` and each of ``right`` are similar enough, as a matrix of booleans.
+def intersections(rows: tuple[np.ndarray, np.ndarray], grams: tuple[np.ndarray, np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+    """How many n-grams each text of one side has in common with each of the other.
 
-    Sizes of intersections come from products of 0/1 matrices, over columns of n-grams that both sides have.
+    ``rows`` and ``grams`` are, for both sides, the text of each n-gram, and the n-grams in order. One that few texts
+    have is counted pair by pair, others by products of 0/1 matrices: whichever is less work.
     """
-    sizes = np.diff(first)
-    take = lambda side: np.concatenate([grams[first[i] : first[i + 1]] for i in side]) if len(side) else np.zeros(0, np.uint64)
-    a, b = take(left), take(right)
-    common = np.intersect1d(a, b)
-    if left is right:
-        values, times = np.unique(a, return_counts=True)
-        common = values[times > 1]
-    row_a, row_b = np.repeat(np.arange(len(left)), sizes[left]), np.repeat(np.arange(len(right)), sizes[right])
-    inter = np.zeros((len(left), len(right)), np.float32)
-    if len(common):
-        col_a, col_b = np.searchsorted(common, a), np.searchsorted(common, b)
-        ok_a, ok_b = common[np.minimum(col_a, len(common) - 1)] == a, common[np.minimum(col_b, len(common) - 1)] == b
-        row_a, col_a, row_b, col_b = row_a[ok_a], col_a[ok_a], row_b[ok_b], col_b[ok_b]
-        for lo in range(0, len(common), 4096):
-            n = min(4096, len(common) - lo)
-            x, y = np.zeros((len(left), n), np.float32), np.zeros((len(right), n), np.float32)
-            m = (col_a >= lo) & (col_a < lo + n)
-            x[row_a[m], col_a[m] - lo] = 1
-            m = (col_b >= lo) & (col_b < lo + n)
-            y[row_b[m], col_b[m] - lo] = 1
-            inter += x @ y.T
-    union = sizes[left][:, None] + sizes[right][None, :] - inter
-    return (inter >= threshold * union - 1e-6) & (union > 0)
-
-
-def _check(s: Settings):  # noqa: ANN202
-    """Of a table of texts (comp, side, within, rep, text): numbers of links, and edges of a spanning forest.
-
-    Texts of a component are compared with each other if ``within``, or else those of one side with those of the other.
+    inter = np.zeros(shape, np.float32)
+    common = np.intersect1d(*grams)
+    if not len(common):
+        return inter
+    lo = [np.searchsorted(g, common, "left") for g in grams]
+    n = [np.searchsorted(g, common, "right") - x for g, x in zip(grams, lo, strict=True)]
+    rare = n[0] * n[1] * 128 < shape[0] * shape[1]
+    if rare.any():
+        times, width = n[0][rare] * n[1][rare], n[1][rare]
+        k = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        width = np.repeat(width, times)
+        i, j = rows[0][np.repeat(lo[0][rare], times) + k // width], rows[1][np.repeat(lo[1][rare], times) + k % width]
+        inter += np.bincount(i * shape[1] + j, minlength=shape[0] * shape[1]).reshape(shape)
+    often = np.flatnonzero(~rare)
+    for at in range(0, len(often), 4096):
+        part = often[at : at + 4096]
+        sides = []
+        for side in (0, 1):
+            x = np.zeros((shape[side], len(part)), np.float32)
+            count = n[side][part]
+            place = np.repeat(lo[side][part] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            x[rows[side][place], np.repeat(np.arange(len(part)), count)] = 1
+            sides.append(x)
+        inter += sides[0] @ sides[1].T
+    return inter
+
+
+class _Forest:
+    """Sets of texts that links join."""
+
+    def __init__(self, n: int) -> None:
+        self.up = np.arange(n)
+
+    def root(self, x: np.ndarray) -> np.ndarray:
+        while True:
+            above = self.up[x]
+            if (above == x).all():
+                return x
+            self.up[x] = self.up[above]
+            x = self.up[x]
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            a, b = self.root(a), self.root(b)
+            apart = a != b
+            a, b = np.maximum(a[apart], b[apart]), np.minimum(a[apart], b[apart])
+            self.up[a] = b  # of several the last one holds; the others are joined in the next turn
+
+
+def _check(s: Settings) -> Callable[[pa.Table], pa.Table]:
+    """Of a task's texts (unit, side, uid, text): numbers of links, and a text that each is joined to.
+
+    Texts of side 0 and those of side 1 of a unit are compared; if there is no side 1, those of side 0 with each other.
     """
 
-    def compare(left: np.ndarray, right: np.ndarray, reps: np.ndarray, grams: np.ndarray, first: np.ndarray, out: tuple[list, list, list]) -> None:
-        near = linked(grams, first, left, right, s.similarity)
-        if left is right:
-            np.fill_diagonal(near, False)
-        counted = [(left, near.sum(axis=1))] + ([] if left is right else [(right, near.sum(axis=0))])
-        for side, n in counted:
-            out[0].append(reps[side])
-            out[1].append(n)
-            out[2].append(reps[side])
-        # All links of a text count, but components need only a spanning forest of the block.
-        seen_left, seen_right = np.zeros(len(left), bool), np.zeros(len(right), bool)
-        for start in np.flatnonzero(near.any(axis=1)).tolist():
-            todo = [] if seen_left[start] else [start]
-            seen_left[start] = True
-            while todo:
-                i = todo.pop()
-                across = np.flatnonzero(near[i] & ~seen_right)
-                seen_right[across] = True
-                back = np.flatnonzero(near[:, across].any(axis=1) & ~seen_left)
-                seen_left[back] = True
-                todo.extend(back.tolist())
-                via = across[near[np.ix_(back, across)].argmax(axis=1)] if len(back) else back
-                out[0].extend([np.repeat(reps[left[i]], len(across)), reps[left[back]]])
-                out[1].append(np.zeros(len(across) + len(back), np.int64))
-                out[2].extend([reps[right[across]], reps[right[via]]])
-
     def run(t: pa.Table) -> pa.Table:
-        comp, side, reps, within = (t.column(c).to_numpy() for c in ("comp", "side", "rep", "within"))
+        unit, side, uid = (t.column(c).to_numpy() for c in ("unit", "side", "uid"))
+        order = np.lexsort((uid, side, unit))
+        if len(order):  # rows that repeat an id and its text
+            order = order[np.concatenate([[True], (np.diff(unit[order]) != 0) | (np.diff(side[order]) != 0) | (np.diff(uid[order]) != 0)])]
         grams, first = _sets(t.column("text"), s.width)
-        out: tuple[list, list, list] = ([], [], [])
-        order = np.lexsort((reps, side, comp))
-        new = np.concatenate([[True], (np.diff(comp[order]) != 0) | (np.diff(reps[order]) != 0)]) if len(order) else np.zeros(0, bool)
-        order = order[new]
-        for group in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
-            if not len(group):
+        sizes = np.diff(first)
+        links, forest = np.zeros(len(t), np.int64), _Forest(len(t))
+
+        def entries(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            row = np.repeat(np.arange(len(some)), sizes[some])
+            own = np.concatenate([grams[first[i] : first[i + 1]] for i in some])
+            by = np.argsort(own, kind="stable")
+            return row[by], own[by]
+
+        for group in np.split(order, np.flatnonzero(np.diff(unit[order])) + 1):
+            both = [group[side[group] == k] for k in (0, 1)]
+            within = not len(both[1])
+            # By size, so that blocks of which the sizes can't be similar enough are passed over.
+            left, right = (x[np.argsort(sizes[x], kind="stable")] for x in (both[0], both[0] if within else both[1]))
+            if not len(left) or not len(right):
                 continue
-            if within[group[0]]:
-                compare(group, group, reps, grams, first, out)
-            else:
-                low = side[group] == side[group].min()
-                if not low.all():
-                    compare(group[low], group[~low], reps, grams, first, out)
-        cat = lambda x: pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64))
-        return pa.table({"rep": cat(out[0]), "links": cat(out[1]), "other": cat(out[2])})
+            cache = {}
+            for a in range(0, len(left), s.block):
+                p = left[a : a + s.block]
+                mine = entries(p)
+                for b in range(a if within else 0, len(right), s.block):
+                    q = right[b : b + s.block]
+                    if sizes[q[0]] * s.similarity > sizes[p[-1]] + 1e-6 or sizes[p[0]] * s.similarity > sizes[q[-1]] + 1e-6:
+                        continue
+                    if b not in cache:
+                        cache[b] = entries(q)
+                    inter = intersections((mine[0], cache[b][0]), (mine[1], cache[b][1]), (len(p), len(q)))
+                    union = sizes[p][:, None] + sizes[q][None, :] - inter
+                    near = inter >= s.similarity * union - 1e-6
+                    if within and a == b:
+                        np.fill_diagonal(near, False)
+                    links[p] += near.sum(axis=1)
+                    if not within or a != b:
+                        links[q] += near.sum(axis=0)
+                    i, j = np.nonzero(near)
+                    forest.join(p[i], q[j])
+        root = forest.root(np.arange(len(t)))
+        some = order[links[order] > 0]
+        return pa.table({"uid": uid[some], "links": links[some], "other": uid[root[some]]})
 
     return run
 
 
-def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """(doc_id, rep_id, class_id, n_copies, n_links), one row for each row of ``docs`` with a doc_id.
-
-    Words are runs of letters and digits, lower-cased. Documents with the same words are copies: rep_id
-    is the smallest doc_id among them, and n_copies counts their rows. Two representatives are linked
-    if the Jaccard similarity of their sets of n-grams is ``settings.similarity`` or more; a text of
-    fewer words than an n-gram is one n-gram. n_links counts the representatives linked to a
-    document's own; class_id is the smallest doc_id that links lead to. A text without a word, null
-    too, has no link and no copy. doc_id must be an integer; rows without one are left out.
-
-    Bands find candidates: each representative is tied to the smallest one of every band it shares, so
-    a band that many share costs as many rows, not pairs. Full sets are then compared exactly within
-    the components of these ties, in blocks of ``settings.block`` texts, so a large group is dealt out over many
-    tasks; only counts and a spanning forest leave a block.
-    """
-    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sketches = checkpointed(sketch(docs, settings))
-    classes = sketches.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"))
-    member = checkpointed(sketches.select("doc_id", "t1", "t2").join(classes, ["t1", "t2"]).select("doc_id", "rep", "n_copies"))
-    reps = sketches.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    bands = reps.select(F.col("doc_id").alias("rep"), F.explode(F.array_distinct("bands")).alias("band"))
-    hubs = bands.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    ties = bands.join(hubs, "band").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    comps = connected_components(ties).select(F.col("node").alias("rep"), F.col("label").alias("comp"))
-
-    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).withColumn("parts", F.ceil(F.col("size") / settings.block).cast("int"))
-    at = comps.join(sizes, "comp").withColumn("part", F.expr("cast(pmod(xxhash64(rep), parts) as int)"))
-    texts = docs.join(at, F.col("doc_id") == F.col("rep")).select("comp", "rep", "parts", "part", "text")
-    bins = comps.count() // settings.block + 1
+def _classes(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, t1, t2) of all rows with a word, and of each text (t1, t2) its smallest doc_id ``rep``, n_copies,
+    n_links and, of the texts that links lead to, the first row's id ``class_id`` and text ``class_th``."""
+    rows = checkpointed(sketch(docs, s))
+    first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "th")
+    own = rows.groupBy("t1", "t2").agg(F.min(first).alias("row"), F.count(F.lit(1)).alias("n_copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    # Numbers of texts: unlike doc_ids they are unique, and unlike hashes they never collide.
+    texts = checkpointed(own.withColumn("uid", F.monotonically_increasing_id()))
+    bands = texts.select("uid", F.explode(F.array_distinct("bands")).alias("band"))
+    # Written before the join: what a join reads straight from a shuffle is split where a band is hot.
+    hubs = checkpointed(bands.groupBy("band").agg(F.min("uid").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"))
+    ties = bands.join(hubs, "band").where("uid <> hub").select(F.col("uid").alias("a"), F.col("hub").alias("b")).distinct()
+    comps = connected_components(ties).select(F.col("node").alias("uid"), F.col("label").alias("comp"))
+
+    known = comps.join(texts.select("uid", "size", F.col("row.doc_id").alias("doc_id"), F.col("row.th").alias("th")), "uid")
+    at = checkpointed(known)
+    sizes = at.groupBy("comp").agg(F.sum("size").alias("bytes")).select("comp", F.ceil(F.col("bytes") / s.part_bytes).cast("int").alias("parts"))
+    at = at.join(checkpointed(sizes), "comp").withColumn("part", F.expr("cast(pmod(xxhash64(uid), parts) as int)"))
+    bins = max(int((at.agg(F.sum("size")).first()[0] or 0) // s.part_bytes), 0) + 1
     # A pair of parts (i, j) of a large component is a task of its own; small components share one.
     pairs = F.expr("transform(sequence(0, parts - 1), k -> named_struct('i', least(k, part), 'j', greatest(k, part)))")
-    dealt = texts.withColumn("pair", F.explode(pairs)).select(
+    dealt = at.withColumn("pair", F.explode(pairs)).select(
+        "doc_id", "th", "uid",
         F.when(F.col("parts") > 1, F.xxhash64("comp", "pair.i", "pair.j")).otherwise(F.pmod(F.xxhash64("comp"), F.lit(bins))).alias("task"),
-        "comp",
-        F.col("part").alias("side"),
-        (F.col("pair.i") == F.col("pair.j")).alias("within"),
-        "rep",
-        "text",
-    )
-    links = checkpointed(dealt.groupBy("task").applyInArrow(_check(settings), "rep bigint, links bigint, other bigint"))
-    labels = connected_components(links.where("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    counts = links.groupBy("rep").agg(F.sum("links").alias("n_links"))
-    found = member.join(counts, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    found = found.select("doc_id", F.col("rep").alias("rep_id"), F.coalesce("label", "rep").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        F.when(F.col("parts") > 1, F.xxhash64("comp", "pair.i", "pair.j")).otherwise(F.col("comp")).alias("unit"),
+        F.when(F.col("part") == F.col("pair.i"), 0).otherwise(1).alias("side"),
+    )
+    whole = docs.select("doc_id", text_key().alias("th"), "text").alias("w")
+    dealt = dealt.alias("d").join(whole, F.expr("d.doc_id <=> w.doc_id AND d.th = w.th")).select("task", "unit", "side", "uid", "text")
+    links = checkpointed(dealt.groupBy("task").applyInArrow(_check(s), "uid bigint, links bigint, other bigint"))
+    labels = connected_components(links.where("uid <> other").select(F.col("uid").alias("a"), F.col("other").alias("b")))
+    joined = checkpointed(labels.join(texts.select(F.col("uid").alias("node"), "row"), "node"))
+    heads = checkpointed(joined.groupBy("label").agg(F.min("row").alias("head")))
+    classed = joined.join(heads, "label").select(F.col("node").alias("uid"), "head")
+    counts = links.groupBy("uid").agg(F.sum("links").alias("n_links"))
+    out = texts.join(counts, "uid", "left").join(classed, "uid", "left").withColumn("head", F.coalesce("head", "row"))
+    known = out.select("t1", "t2", F.col("row.doc_id").alias("rep"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("head.doc_id").alias("class_id"), F.col("head.th").alias("class_th"))
+    return rows.select("doc_id", "th", "t1", "t2"), checkpointed(known)
+
+
+def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
+    """(doc_id, rep_id, class_id, n_copies, n_links), one row for each row of ``docs``.
+
+    Words are runs of letters and digits, lower-cased. Rows with the same words are copies: rep_id is the
+    smallest doc_id among them, and n_copies counts them. Two texts are linked if the Jaccard similarity of
+    their sets of n-grams is ``settings.similarity`` or more; a text of fewer words than an n-gram is one
+    n-gram. n_links counts the different texts linked to a document's own; class_id is the smallest doc_id
+    that links lead to. A text without a word, null too, has no link and no copy. doc_id may have any type
+    that has an order, may repeat (texts of one id are told apart by themselves), and null ids come after all others, so
+    rep_id and class_id are null only where no row of the text, or of the class, has an id. Other columns are ignored.
+
+    Bands find candidates: each text is tied to the first one of every band it shares, so a band that many
+    share costs as many rows, not pairs. Full sets are then compared exactly within the components of these
+    ties: a component of over ``settings.part_bytes`` of text is cut in parts of about that size, and each pair of
+    parts is a task, in which texts meet in blocks. So a text is sent as often as its component has parts,
+    and a component of 50,000 texts of 2 KB has seven; only counts and a spanning forest leave a task.
+    """
+    docs = docs.select("doc_id", "text")
+    rows, texts = _classes(docs, settings)
+    found = rows.join(texts, ["t1", "t2"]).select("doc_id", F.col("rep").alias("rep_id"), "class_id", "n_copies", "n_links")
     bare = ~F.coalesce(F.lower("text"), F.lit("")).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")
     alone = docs.where(bare).select("doc_id", F.col("doc_id").alias("rep_id"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
     return found.unionByName(alone)
+
+
+def drop_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
+    """The rows of ``docs``, of each class of ``near_duplicates`` one: that of the smallest doc_id (null ids come
+    last), of texts of that id the one of the smallest hash, and of rows with that id and text the smallest one.
+
+    Texts without a word have no copies: their rows all stay. All columns must have an order.
+    """
+    rows, texts = _classes(docs.select("doc_id", "text"), settings)
+    fate = rows.join(texts, ["t1", "t2"]).withColumn("head", F.expr("doc_id <=> class_id AND th = class_th"))
+    fate = checkpointed(fate.groupBy("doc_id", "th").agg(F.bool_or("head").alias("head"), F.count(F.lit(1)).alias("k")).where("NOT head OR k > 1"))
+    at = F.expr("w.doc_id <=> f.doc_id AND w.th = f.th")
+    whole = docs.select("doc_id", text_key().alias("th"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).alias("w")
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    once = whole.join(fate.alias("f"), at, "left_anti").select(*own)
+    again = fate.where("head")
+    if not again.limit(1).count():
+        return once
+    several = whole.join(again.alias("f"), at).groupBy("f.doc_id", "f.th").agg(F.min("row").alias("row")).select(*own)
+    return once.unionByName(several)
