@@ -26,7 +26,6 @@ class Settings:
     sample: int = 8000
     cost: float = 1.0
     rounds: int = 200
-    apart: float = 0.35  # cosine distance of mean profiles above which languages are in different families
 
 
 @dataclass
@@ -83,16 +82,26 @@ def train_svm(x: np.ndarray, y: np.ndarray, s: Settings) -> np.ndarray:
     return w
 
 
-def group_families(means: dict[str, np.ndarray], apart: float) -> list[list[str]]:
-    """Single-linkage groups of languages of which the mean profiles are near."""
+def group_families(means: dict[str, np.ndarray]) -> list[list[str]]:
+    """Families of languages: the tree of their mean profiles, cut where it is clearest.
+
+    The two nearest groups join, by the mean cosine distance of their members, until one is left (the first
+    of equals, in alphabetical order). Of the cuts that leave two groups at least, one of them with
+    several languages, the one is taken at which the distance of the next merge differs most from that of the last
+    one; of equals the one with more groups. Two languages or one are a single family.
+    """
     names = sorted(means)
-    label = {a: i for i, a in enumerate(names)}
-    for a, b in combinations(names, 2):
-        norm = np.linalg.norm(means[a]) * np.linalg.norm(means[b])
-        if norm and 1 - float(means[a] @ means[b]) / norm < apart:
-            old, new = max(label[a], label[b]), min(label[a], label[b])
-            label = {k: new if v == old else v for k, v in label.items()}
-    return [[a for a in names if label[a] == g] for g in sorted(set(label.values()))]
+    if len(names) < 3:
+        return [names] if names else []
+    unit = np.stack([means[a] / max(float(np.linalg.norm(means[a])), 1e-12) for a in names])
+    gap = 1 - unit @ unit.T
+    groups, steps = [[i] for i in range(len(names))], []
+    while len(groups) > 1:
+        height, i, j = min((float(gap[np.ix_(groups[i], groups[j])].mean()), i, j) for i, j in combinations(range(len(groups)), 2))
+        groups = [sorted(groups[i] + groups[j]), *(g for k, g in enumerate(groups) if k not in (i, j))]
+        steps.append((height, groups))
+    cuts = [(steps[k + 1][0] - steps[k][0], -k) for k in range(len(steps) - 1)]
+    return sorted([names[i] for i in g] for g in steps[-max(cuts)[1]][1])
 
 
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:  # noqa: B008
@@ -100,6 +109,10 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:  # noqa: B00
 
     The sample takes the same number of texts of each language, those with the smallest hash, each
     once however many copies it has; texts without a letter and rows without a language don't count. Without any there is no language.
+
+    Only hashes are ranked, and of these only a range of each language that holds some four times as many as are
+    taken, so what meets in a language's task is bounded by ``settings.sample``. The hashes that are taken, as many at
+    most, then pick their texts where these are.
     """
     known = docs.select(F.col("text"), F.col("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     known = known.select("lang", "text", F.shiftrightunsigned(F.xxhash64("text"), 11).alias("order"), F.length("text").alias("size"))
@@ -108,13 +121,18 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:  # noqa: B00
     # Rows come from a range of hashes that holds over four times as many different texts as are taken, or
     # all of a small language, so that what is ranked doesn't grow with the corpus, and is never too little.
     reach = F.lit(4.0 * share + 64) / F.col("texts")
-    few = (
-        known.join(F.broadcast(counts) if counts.count() <= 10_000 else counts, "lang")
+    ranked = (
+        known.select("lang", "order", "size")
+        .join(F.broadcast(counts) if counts.count() <= 10_000 else counts, "lang")
         .where(F.col("order") < reach * float(1 << 53))
-        .dropDuplicates(["lang", "order", "size"])
+        .select("lang", "order", "size")
+        .distinct()
         .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "size")))
         .where(F.col("rank") <= share)
+        .drop("rank")
     )
+    taken = checkpointed(ranked)
+    few = known.join(F.broadcast(taken) if taken.count() <= 1 << 20 else taken, ["lang", "order", "size"]).groupBy("lang", "order", "size").agg(F.first("text").alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -127,7 +145,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:  # noqa: B00
     if not len(lang):
         return m
     x = np.stack([np.frombuffer(r, np.uint16) for r in got.column("x").to_pylist()]).astype(np.float32) / 65535
-    m.families = group_families({a: x[lang == a].mean(axis=0) for a in sorted(set(lang))}, settings.apart)
+    m.families = group_families({a: x[lang == a].mean(axis=0) for a in sorted(set(lang))})
     home = {a: i for i, f in enumerate(m.families) for a in f}
     family = np.array([home[a] for a in lang])
     for i, j in combinations(range(len(m.families)), 2):
@@ -141,7 +159,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:  # noqa: B00
 
 
 def _vote(x: np.ndarray, names: list, machines: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(index into names, probability) by the summed probabilities of all machines between two of them."""
+    """(index into names, probability) by the summed probabilities of all machines between two of them; the first of equals."""
     if len(names) == 1:
         return np.zeros(len(x), int), np.ones(len(x))
     share = np.zeros((len(x), len(names)))
@@ -159,7 +177,7 @@ def predict(docs: DataFrame, m: Model, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with lang_pred and score (0 to 1).
 
     The family is predicted first, then the language within it; the score is the product of both
-    votes' probabilities. `und` and 0 for null, a text without a letter, or a model without languages.
+    votes' probabilities. Ties go to the first family or language, in alphabetical order. Texts are taken whole. `und` and 0 for null, a text without a letter, or a model without languages.
     Columns of these names are replaced; rows don't depend on each other.
     """
     src = docs.drop("lang_pred", "score")
