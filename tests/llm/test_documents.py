@@ -79,40 +79,73 @@ def test_suffix_dedup(spark, sf_dir, odd):
 
 
 def brute_classes(rows):
-    sets = {}
-    for d, t in rows:
-        w = re.findall(r"[^\W_]+", (t or "").lower())
-        sets[d] = (tuple(w), frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else None)
-    first = {}
-    for d in sorted(sets):
-        first.setdefault(sets[d][0] or d, d)
-    rep = {d: first[sets[d][0] or d] for d in sets}
-    links, root = Counter(), {d: d for d in sets}
+    """Of each row: (rep_id, class_id, n_copies, n_links, class), with a class of its own for a text without a word."""
+    texts = defaultdict(list)
+    for k, (d, t) in enumerate(rows):
+        w = tuple(re.findall(r"[^\W_]+", (t or "").lower()))
+        texts[w or k].append(d)
+    sets = {w: frozenset(w[i : i + 5] for i in range(max(1, len(w) - 4))) for w in texts if isinstance(w, tuple)}
+    links, root = Counter(), {w: w for w in texts}
+    least = lambda ds: min((d for d in ds if d is not None), default=None)
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a, b in itertools.combinations(sorted(set(rep.values())), 2):
-        x, y = sets[a][1], sets[b][1]
-        if x and y and len(x & y) >= 0.8 * len(x | y) - 1e-9:
+    for a, b in itertools.combinations(sets, 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
             links[a] += 1
             links[b] += 1
-            root[max(find(a), find(b))] = min(find(a), find(b))
-    return {d: (rep[d], find(rep[d]), links[rep[d]]) for d in sets}
+            root[find(a)] = find(b)
+    members = defaultdict(list)
+    for w, ds in texts.items():
+        members[find(w)] += ds
+    out = []
+    for k, (_, t) in enumerate(rows):
+        w = tuple(re.findall(r"[^\W_]+", (t or "").lower())) or k
+        out.append((least(texts[w]), least(members[find(w)]), len(texts[w]), links[w], find(w)))
+    return out
 
 
 def test_ngram_join(spark, sf_dir, odd):
     near = [(100 + k, (LONG * 3).replace("seven", f"w{k}", 1), "en", "s", 1, 0.0, "", 0) for k in range(40)]
-    for docs, block in ((odd.union(spark.createDataFrame(near, odd.schema)), 8), (table(spark, sf_dir, "documents"), 512)):
-        rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect() if r.doc_id is not None]
+    # Ids that repeat with other texts, near copies of both, and near copies without an id.
+    near += [(60, LONG * 2 + "one", "en", "s", 1, 0.0, "", 0), (60, own_words(1), "en", "s", 1, 0.0, "", 0), (61, LONG * 2 + "two", "en", "s", 1, 0.0, "", 0), (62, own_words(1) + " x", "en", "s", 1, 0.0, "", 0)]
+    near += [(None, own_words(1) + " y", "en", "s", 1, 0.0, "", 0), (None, own_words(2), "en", "s", 1, 0.0, "", 0), (None, own_words(2) + " z", "en", "s", 1, 0.0, "", 0), (63, own_words(3), "en", "s", 1, 0.0, "", 0), (63, own_words(3), "en", "t", 1, 0.0, "", 0)]
+    for docs, settings in (
+        (odd.union(spark.createDataFrame(near, odd.schema)), ngram_join.Settings(block=8, part_bytes=2000)),
+        (table(spark, sf_dir, "documents"), ngram_join.Settings()),
+        (table(spark, sf_dir, "documents").selectExpr("cast(doc_id as string) doc_id", "text"), ngram_join.Settings(block=2, part_bytes=1000)),
+    ):
+        rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
         want = brute_classes(rows)
-        got = ngram_join.near_duplicates(docs, ngram_join.Settings(block=block)).collect()
-        assert Counter(r.doc_id for r in got) == Counter(d for d, _ in rows)
-        for r in got:
-            assert (r.rep_id, r.class_id, r.n_links) == want[r.doc_id], r
-    assert ngram_join.near_duplicates(empty(odd)).count() == 0
+        got = ngram_join.near_duplicates(docs, settings).collect()
+        key = lambda x: tuple((v is None, str(v)) for v in x)
+        assert sorted(map(key, ((d, *w[:4]) for (d, _), w in zip(rows, want, strict=True)))) == sorted(map(key, ((r.doc_id, r.rep_id, r.class_id, r.n_copies, r.n_links) for r in got)))
+        kept = ngram_join.drop_duplicates(docs, settings)
+        assert kept.columns == docs.columns
+        left = [(r.doc_id, r.text) for r in kept.collect()]
+        class_of = {(d, t): w[4] for (d, t), w in zip(rows, want, strict=True) if isinstance(w[4], tuple)}
+        assert Counter(class_of[x] for x in left if x in class_of) == Counter(dict.fromkeys(class_of.values(), 1))
+        assert Counter(x for x in left if x not in class_of) == Counter(x for x in rows if x not in class_of)
+        head = {w[4]: w[1] for w in want}
+        assert all(d == head[class_of[d, t]] for d, t in left if (d, t) in class_of)
+    assert ngram_join.near_duplicates(empty(odd)).count() == 0 and ngram_join.drop_duplicates(empty(odd)).count() == 0
+
+
+def own_words(k, n=60):
+    return " ".join(f"o{k}x{i}" for i in range(n))
+
+
+def test_intersections_against_sets():
+    rng = np.random.default_rng(2)
+    for n, m, words in ((3, 5, 10), (40, 60, 2000), (64, 64, 50)):
+        a, b = ([np.unique(rng.integers(0, words, 30)) for _ in range(k)] for k in (n, m))
+        flat = lambda x: (np.repeat(np.arange(len(x)), [len(v) for v in x]), np.concatenate(x))
+        rows, grams = zip(*((r[o], g[o]) for r, g in map(flat, (a, b)) for o in [np.argsort(g, kind="stable")]), strict=True)
+        got = ngram_join.intersections(rows, grams, (n, m))
+        assert (got == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
 
 
 def test_bands_reach_the_recall():
@@ -185,7 +218,16 @@ def test_language_id(spark, odd):
     own = [truth[r.doc_id] == r.lang_pred for r in got if r.held_out]
     assert sum(own) / len(own) > 0.97
     m = langid.fit(docs)
-    assert sorted(map(sorted, m.families)) and sum(map(len, m.families)) == 4
+    large = [f for f in m.families if len(f) > 1]
+    assert sorted(sum(m.families, [])) == ["de", "en", "es", "fr"] and len(m.families) > 1 and large
+    assert set(m.within) == {p for f in m.families for p in itertools.combinations(f, 2)} and set(m.between) == set(itertools.combinations(range(len(m.families)), 2))
+    # Both levels decide: with a level's machines turned round, other languages come out.
+    held_docs = docs.where("crc32(encode(cast(doc_id as string), 'UTF-8')) % 4 = 2")
+    for level in ("between", "within"):
+        wrong = langid.Model(m.families, m.between, m.within)
+        setattr(wrong, level, {k: -w for k, w in getattr(m, level).items()})
+        hits = [truth[r.doc_id] == r.lang_pred for r in langid.predict(held_docs, wrong).collect() if level == "between" or truth[r.doc_id] in large[0]]
+        assert len(hits) > 50 and sum(hits) < 0.03 * len(hits)
     for r in langid.predict(odd, m).collect():
         bare = not any(c.isalpha() for c in r.text or "")
         assert (r.lang_pred == "und") == bare
@@ -194,6 +236,23 @@ def test_language_id(spark, odd):
     assert langid.predict(empty(odd), m).count() == 0
 
 
+def test_families():
+    point = lambda *x: np.array(x, float)
+    assert langid.group_families({}) == [] and langid.group_families({"a": point(1, 0)}) == [["a"]] and langid.group_families({"b": point(1, 0), "a": point(0, 1)}) == [["a", "b"]]
+    four = {"a": point(1, 0, 0.1), "b": point(0, 1, 0), "c": point(1, 0.1, 0), "d": point(0.1, 1, 0.1), "e": point(0, 0, 1)}
+    assert langid.group_families(four) == [["a", "c"], ["b", "d"], ["e"]]
+    same = {k: point(1, 1) for k in "abc"}
+    assert sorted(sum(langid.group_families(same), [])) == ["a", "b", "c"]
+
+
+def test_a_very_long_text_has_a_language(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang")
+    m = langid.fit(docs)
+    row = docs.where("lang = 'fr'").orderBy("doc_id").first()
+    long = spark.createDataFrame([(1, row.text * (3_000_000 // len(row.text)))], "doc_id long, text string")
+    assert langid.predict(long, m).first().lang_pred == "fr"
+
+
 def test_a_language_of_many_copies_is_learned(spark):
     rows = [(f"{w} {w}{k % 3}", lang) for lang, w in (("a", "abab"), ("b", "cdcd"), ("c", "efef"), ("d", "ghgh")) for k in range(3000)]
     m = langid.fit(spark.createDataFrame(rows, "text string, lang string"), langid.Settings(sample=40))
@@ -232,34 +291,95 @@ def test_toxicity(spark, odd):
     assert toxicity.score(empty(odd), m).count() == 0
 
 
+def brute_contaminated(docs, bench):
+    """{(row, item): best similarity, first word} over all spans, and with each item's other lengths at a document's ends."""
+    gram = lambda w: Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+    out = {}
+    for row, text in enumerate(docs):
+        w = re.findall(r"[^\W_]+", (text or "").lower())
+        own = set(gram(w)) if w else set()
+        for item, n, grams in bench:
+            if n >= 5 and not own & set(grams):  # without a common shingle the similarity of every span is 0
+                continue
+            for at in range(-n + 1, len(w)):
+                other = gram(w[max(at, 0) : at + n])
+                both = sum((grams & other).values())
+                x = both / (grams.total() + other.total() - both)
+                if x >= 0.8 - 1e-12 and x > out.get((row, item), (0, 0))[0]:
+                    out[row, item] = (x, max(at, 0))
+    return out
+
+
+def bench_items(rows):
+    out = []
+    for i, t in rows:
+        w = re.findall(r"[^\W_]+", t.lower())
+        out.append((i, len(w), Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))))
+    return out
+
+
 def test_decontamination(spark, sf_dir, odd):
     bench = table(spark, sf_dir, "benchmark")
-    items = {r.item_id: re.findall(r"[^\W_]+", r.text.lower()) for r in bench.collect()}
+    rows = bench.collect()
     docs = table(spark, sf_dir, "documents")
-    want = set()
-    for r in docs.collect():
-        w = re.findall(r"[^\W_]+", r.text.lower())
-        for i, item in items.items():
-            own = Counter(tuple(item[k : k + 5]) for k in range(max(1, len(item) - 4)))
-            n = len(item)
-            for at in range(max(1, len(w) - n + 1)) if set(item[:3]) & set(w) else ():
-                if w[at : at + n] and item[n // 2] in w[at : at + n]:
-                    other = Counter(tuple(w[at : at + n][k : k + 5]) for k in range(max(1, len(w[at : at + n]) - 4)))
-                    both = sum((own & other).values())
-                    if both >= 0.8 * (sum(own.values()) + sum(other.values()) - both):
-                        want.add((r.doc_id, i))
-                        break
-    assert {(r.doc_id, r.item_id) for r in decontam.find_contaminated(docs, bench).collect()} == want and want
-    item = max(items.values(), key=len)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    ids = list(texts)
+    want = {(ids[d], i): x for (d, i), x in brute_contaminated(texts.values(), bench_items([(r.item_id, r.text) for r in rows])).items()}
+    got = {(r.doc_id, r.item_id): (r.similarity, r.word_at) for r in decontam.find_contaminated(docs, bench).collect()}
+    assert set(got) == set(want) and want
+    assert all(abs(got[k][0] - want[k][0]) < 1e-6 and got[k][1] == want[k][1] for k in want)
+    left = decontam.drop_contaminated(docs, bench)
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == set(ids) - {d for d, _ in want}
+    item = max((re.findall(r"[^\W_]+", r.text.lower()) for r in rows), key=len)
     changed = [*item[:25], "zzz", *item[26:]] if len(item) >= 49 else item
     plant = spark.createDataFrame([(900, "pre words " + " ".join(changed) + " post words"), (901, " ".join(item)), (901, " ".join(item)), (None, " ".join(item)), (902, None), (903, "")], "doc_id long, text string")
     got = {(r.doc_id, round(r.similarity, 3) == 1, r.word_at) for r in decontam.find_contaminated(plant, bench).collect()}
     assert (901, True, 0) in got and (None, True, 0) in got and any(d == 900 and at == 2 for d, _, at in got)
+    assert sorted(str(r.doc_id) for r in decontam.drop_contaminated(plant, bench).collect()) == ["902", "903"]
     assert decontam.find_contaminated(odd, empty(bench)).count() == 0 and decontam.find_contaminated(empty(odd), bench).count() == 0
+    assert decontam.drop_contaminated(odd, empty(bench)).count() == len(ODD)
     nulls = spark.createDataFrame([(None, "a b c"), (1, None), (2, "")], "item_id long, text string")
     assert decontam.find_contaminated(odd, nulls).count() == 0
 
 
+def test_items_with_ids_of_any_type_and_clashing_columns(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    for kind, one in (("string", "a"), ("int", 1), ("smallint", 1), ("double", 0.5)):
+        bench = spark.createDataFrame([(one, text, 7, "x")], f"item_id {kind}, text string, similarity int, doc_id string")
+        docs = spark.createDataFrame([("d", f"pre {text}", 1, 2)], "doc_id string, text string, item_id int, word_at int")
+        assert [(r.doc_id, r.item_id, r.similarity, r.word_at) for r in decontam.find_contaminated(docs, bench).collect()] == [("d", one, 1.0, 1)]
+        assert decontam.drop_contaminated(docs, bench).count() == 0
+
+
+def test_edited_items_are_found(spark):
+    """Copies with spread edits, of a similarity of 0.8 and more, of items of 15 to 600 words, in long texts."""
+    rng = np.random.default_rng(11)
+    word = lambda: f"v{int(rng.zipf(1.3)) % 5000}"
+    items = [(k, [word() for _ in range(n)]) for k, n in enumerate([15, 17, 20, 25, 30, 40, 50, 60, 90, 150, 300, 600] * 6)]
+    grams = {i: g for i, _, g in bench_items([(i, " ".join(w)) for i, w in items])}
+    docs, want = [], set()
+    for i, w in items:
+        for e in range(4):
+            c = list(w)
+            for _ in range(1 + int(len(w) * 0.02)):
+                at = int(rng.integers(0, len(c))) if len(w) >= 50 else int(rng.choice([0, len(c) - 1]))
+                if e % 3 == 0:
+                    c[at] = "zz"
+                elif e % 3 == 1:
+                    del c[at]
+                else:
+                    c.insert(at, "zz")
+            doc = [word() for _ in range(200)] + c + [word() for _ in range(200 * (e % 2))]
+            docs.append((len(docs), " ".join(doc)))
+            spans = (Counter(tuple(s[k : k + 5]) for k in range(len(s) - 4)) for s in (doc[200 + d : 200 + d + len(w)] for d in range(-3, 4)))
+            best = max(sum((grams[i] & s).values()) / (grams[i].total() + s.total() - sum((grams[i] & s).values())) for s in spans)
+            if best >= 0.8:
+                want.add((len(docs) - 1, i))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.find_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert len(want) > 150 and len(got & want) >= 0.99 * len(want) and all(d // 4 == i for d, i in got)
+
+
 def test_items_of_sixteen_words_with_an_end_changed(spark):
     items = [(k, " ".join(f"i{k}w{j}" for j in range(16))) for k in range(40)]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -271,12 +391,13 @@ def test_items_of_sixteen_words_with_an_end_changed(spark):
 def test_hamming_blocks_are_exact():
     rng = np.random.default_rng(5)
     words = [f"w{i}" for i in range(400)]
-    m = decontam.Matcher([1], [" ".join(words[:20])], decontam.Settings())
-    ix = m.indexes[0]
-    h = np.concatenate([ix.fingerprints[:1] ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, k, replace=False))) for k in range(7) for _ in range(50)])
-    i, j = m._near(h, ix)
-    want = {(a, b) for a in range(len(h)) for b in range(len(ix.fingerprints)) if bin(int(h[a]) ^ int(ix.fingerprints[b])).count("1") <= 3}
-    assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
+    for radius in (3, 7):
+        m = decontam.Matcher(pa.array([" ".join(words[:20])]), decontam.Settings(radius=radius))
+        ix = m.indexes[0]
+        h = np.concatenate([ix.fingerprints[:1] ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, k, replace=False))) for k in range(11) for _ in range(50)])
+        i, j = m._near(h, ix)
+        want = {(a, b) for a in range(len(h)) for b in range(len(ix.fingerprints)) if bin(int(h[a]) ^ int(ix.fingerprints[b])).count("1") <= radius}
+        assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
 
 
 def test_mixing(spark, odd):
@@ -323,3 +444,5 @@ def test_chat_format(spark):
     assert got[3].n_copies == 2 and got[3].rendered == "<|user|>\nhi\n<|assistant|>\nyo\n<|user|>\nmore\n" and got[6].n_turns == 2
     assert got[9].n_turns == 600 and got[9].rendered.endswith("t598\n<|user|>\nt599\n")
     assert chat_format.collapse_snapshots(df.where("false")).count() == 0
+    nul = spark.createDataFrame([(1, 0, None, "a"), (2, 0, "\x00", "a"), (3, 0, "a", None), (4, 0, "a", "\x00"), (5, 0, None, "a")], "conv_id long, turn long, role string, text string")
+    assert {(r.conv_id, r.n_copies) for r in chat_format.collapse_snapshots(nul).collect()} == {(1, 2), (2, 1), (3, 1), (4, 1)}
