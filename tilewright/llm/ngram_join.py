@@ -26,7 +26,8 @@ class Settings:
     recall: float = 0.9999  # of pairs at just that similarity, by which bands and rows are chosen
     hashes: int = 128  # at most, over all bands
     block: int = 512  # texts of one side of a block that is compared at once
-    part_bytes: int = 16 << 20  # text of one side of a task; smaller groups share a task
+    part_bytes: int = 16 << 20  # text of one side of a task at most, about; smaller groups share a task
+    part_texts: int = 1 << 14  # texts of one side of a task at most, about
 
 
 def choose_bands(similarity: float, recall: float, hashes: int) -> tuple[int, int]:
@@ -237,14 +238,15 @@ def _classes(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
 
     known = comps.join(texts.select("uid", "size", F.col("row.doc_id").alias("doc_id"), F.col("row.th").alias("th")), "uid")
     at = checkpointed(known)
-    sizes = at.groupBy("comp").agg(F.sum("size").alias("bytes")).select("comp", F.ceil(F.col("bytes") / s.part_bytes).cast("int").alias("parts"))
+    size, k = F.sum("size"), F.count(F.lit(1))
+    sizes = at.groupBy("comp").agg(F.greatest(F.ceil(size / s.part_bytes), F.ceil(k / s.part_texts)).cast("int").alias("parts"))
     at = at.join(checkpointed(sizes), "comp").withColumn("part", F.expr("cast(pmod(xxhash64(uid), parts) as int)"))
-    bins = max(int((at.agg(F.sum("size")).first()[0] or 0) // s.part_bytes), 0) + 1
+    bins = at.agg(F.greatest(F.coalesce(size, F.lit(0)) / s.part_bytes, k / s.part_texts)).first()[0] // 1 + 1
     # A pair of parts (i, j) of a large component is a task of its own; small components share one.
     pairs = F.expr("transform(sequence(0, parts - 1), k -> named_struct('i', least(k, part), 'j', greatest(k, part)))")
     dealt = at.withColumn("pair", F.explode(pairs)).select(
         "doc_id", "th", "uid",
-        F.when(F.col("parts") > 1, F.xxhash64("comp", "pair.i", "pair.j")).otherwise(F.pmod(F.xxhash64("comp"), F.lit(bins))).alias("task"),
+        F.when(F.col("parts") > 1, F.xxhash64("comp", "pair.i", "pair.j")).otherwise(F.pmod(F.xxhash64("comp"), F.lit(int(bins)))).alias("task"),
         F.when(F.col("parts") > 1, F.xxhash64("comp", "pair.i", "pair.j")).otherwise(F.col("comp")).alias("unit"),
         F.when(F.col("part") == F.col("pair.i"), 0).otherwise(1).alias("side"),
     )
@@ -274,9 +276,9 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 
     Bands find candidates: each text is tied to the first one of every band it shares, so a band that many
     share costs as many rows, not pairs. Full sets are then compared exactly within the components of these
-    ties: a component of over ``settings.part_bytes`` of text is cut in parts of about that size, and each pair of
-    parts is a task, in which texts meet in blocks. So a text is sent as often as its component has parts,
-    and a component of 50,000 texts of 2 KB has seven; only counts and a spanning forest leave a task.
+    ties: a component of over ``settings.part_bytes`` of text, or ``part_texts`` texts, is cut in parts of about
+    that size, and each pair of parts is a task, in which texts meet in blocks. So a text is sent as often as its
+    component has parts, and one of 50,000 texts of 2 KB has seven; only counts and a spanning forest leave a task.
     """
     docs = docs.select("doc_id", "text")
     rows, texts = _classes(docs, settings)
