@@ -13,15 +13,17 @@ one round of names is enough:
    neighbours compared.
 
 What is shuffled are blocks of packed hashes, dealt out by hash; no task gets more than its range of them,
-and a task sends each of its own repeated hashes once.
+and a task sends each of its own repeated hashes once. A unit of text writes ``COARSE`` blocks at most. A corpus
+that needs more ranges than that is dealt in two rounds: the blocks of a coarse range and of a bounded number of units
+meet first, tell what repeats among them, and go on as larger blocks of fine ranges; so a string that all
+units hold goes on once for each such meeting.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +39,16 @@ COVER = (0, 1, 3, 13, 32, 36, 43, 52)
 OTHER_BASE = 0xD1342543DE82EF95
 UNIT = 4 << 20
 BUCKET_ENTRIES = 500_000
+COARSE = 512
+MEETING_BYTES = 64 << 20
 
 ENTRY = "bucket int, unit bigint, docs binary, keys binary, at binary"
 KEY = np.dtype([("a", "<u8"), ("b", "<u4")])
 AT = np.dtype([("doc", "<u2"), ("at", "<u4")])
 DOC = np.dtype([("id", "<i8"), ("t1", "<i8")])
+#: Entries of fine ranges, as they are sent in the second round.
+NAMED = np.dtype([("key", "<u4"), ("unit", "<i8"), ("at", AT)])
+STRING = np.dtype([("key", KEY), ("unit", "<i8"), ("at", AT), ("row", DOC)])
 
 
 def pack(at: np.ndarray) -> bytes:
@@ -60,6 +67,22 @@ def unpack(raw: bytes) -> np.ndarray:
     return out
 
 
+@dataclass(frozen=True)
+class Deal:
+    """How entries are dealt out by hash: coarse ranges, fine ones of each, and the meetings of units of a coarse one."""
+
+    coarse: int
+    fine: int = 1
+    meetings: int = 1
+
+    @classmethod
+    def of(cls, entries: int) -> Deal:
+        buckets = max(4, entries // BUCKET_ENTRIES)
+        if buckets <= COARSE:
+            return cls(buckets)
+        return cls(COARSE, -(-buckets // COARSE), -(-entries * (KEY.itemsize + AT.itemsize) // (COARSE * MEETING_BYTES)))
+
+
 class Prefix:
     """Hashes of spans of one piece's bytes, from prefix sums of two polynomials."""
 
@@ -117,7 +140,7 @@ def _before(docs: np.ndarray, at: np.ndarray) -> tuple:
     return at["at"], docs["t1"][at["doc"]], docs["id"][at["doc"]]
 
 
-def _send(docs: np.ndarray, keys: np.ndarray, at: np.ndarray, buckets: int, ordered: bool) -> Iterator[tuple]:
+def _send(docs: np.ndarray, keys: np.ndarray, at: np.ndarray, deal: Deal, ordered: bool) -> Iterator[tuple]:
     """Rows of entries by bucket, of one unit. A hash that the unit has twice is sent once. What the unit
     alone tells comes in a row of negative bucket, with its documents: of repeated hashes all places or,
     if ``ordered``, all but the first in the order of the corpus."""
@@ -132,6 +155,7 @@ def _send(docs: np.ndarray, keys: np.ndarray, at: np.ndarray, buckets: int, orde
     several = again | np.concatenate([again[1:], [False]])[: len(again)]
     known = order[again] if ordered else order[several]
     sent = np.sort(order[~again])
+    buckets = deal.coarse
     told = -1 - unit % buckets
     yield told, unit, docs.tobytes(), b"", pack(at[known])
     bucket = ((lead[sent] >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
@@ -145,7 +169,7 @@ def _send(docs: np.ndarray, keys: np.ndarray, at: np.ndarray, buckets: int, orde
         if ordered:
             used, places["doc"] = np.unique(places["doc"], return_inverse=True)
             table = used.astype("<u2").tobytes() + docs[used].tobytes()
-        packed = keys[own].tobytes() if keys.dtype == KEY else keys[own].astype("<u4").tobytes()
+        packed = keys[own].tobytes() if keys.dtype == KEY or deal.fine > 1 else keys[own].astype("<u4").tobytes()
         yield k, unit, table, packed, pack(places)
 
 
@@ -155,32 +179,38 @@ def _table(rows: Iterator[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "unit", "docs", "keys", "at"])
 
 
-def _repeated(t: pa.Table) -> pa.Table:
-    """Of one bucket's entries, the places of names that more than one unit has.
+def _entries(t: pa.Table, ordered: bool, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Keys of packed rows, the unit of each, its place with the document's index in its unit, and if ``ordered`` its document."""
+    raw = b"".join(t.column("keys").to_pylist())
+    places = [unpack(x) for x in t.column("at").to_pylist()]
+    n = [len(x) for x in places]
+    at, unit = np.concatenate(places), np.repeat(t.column("unit").to_numpy(), n)
+    if not ordered:
+        return np.frombuffer(raw, "<u8" if wide else "<u4"), unit, at, None
+    docs, own = [], []
+    for table in t.column("docs").to_pylist():
+        k = len(table) // (2 + DOC.itemsize)
+        own.append(np.frombuffer(table, "<u2", k))
+        docs.append(np.frombuffer(table, DOC, k, 2 * k))
+    index = at["doc"].astype(np.int64) + np.repeat(np.cumsum([0, *map(len, docs)])[:-1], n)
+    at["doc"] = np.concatenate(own)[index]
+    return np.frombuffer(raw, KEY), unit, at, np.concatenate(docs)[index]
+
 
-    32 bits of a name tell it from the others of its bucket, of which the size is bounded: the few that
-    are shared by chance only cost work."""
-    raw = t.column("keys").to_pylist()
-    keys = np.frombuffer(b"".join(raw), "<u4")
+def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which names are there more than once, and which are the first of their kind.
+
+    Within a bucket 32 bits of a name tell it from the others, as its size is bounded: the few that are
+    shared by chance only cost work."""
     order = np.argsort(keys, kind="stable")
     same = np.concatenate([[False], keys[order][1:] == keys[order][:-1], [False]])
-    flagged = np.zeros(len(keys), bool)
-    flagged[order] = same[:-1] | same[1:]
-    return _flags(t, [unpack(x) for x in t.column("at").to_pylist()], flagged, None)
+    several, first = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+    several[order], first[order] = same[:-1] | same[1:], ~same[:-1]
+    return several, first
 
 
-def _later(t: pa.Table) -> pa.Table:
-    """Of one bucket's entries, all but the first one, in the order of the corpus, of each string."""
-    keys = np.frombuffer(b"".join(t.column("keys").to_pylist()), KEY)
-    places = [unpack(x) for x in t.column("at").to_pylist()]
-    at = np.concatenate(places)
-    docs, locals_ = [], []
-    for table in t.column("docs").to_pylist():
-        k = len(table) // (2 + DOC.itemsize)
-        locals_.append(np.frombuffer(table, "<u2", k))
-        docs.append(np.frombuffer(table, DOC, k, 2 * k))
-    base = np.cumsum([0, *map(len, docs)])[:-1]
-    doc = np.concatenate(docs)[at["doc"].astype(np.int64) + np.repeat(base, [len(x) for x in places])]
+def _later(keys: np.ndarray, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which strings also start earlier, in the order of the corpus, and which don't."""
     order = np.argsort(keys["a"], kind="stable")
     same = (keys["a"][order][1:] == keys["a"][order][:-1]) & (keys["b"][order][1:] == keys["b"][order][:-1])
     same = np.concatenate([[False], same, [False]])
@@ -189,20 +219,57 @@ def _later(t: pa.Table) -> pa.Table:
     again = np.concatenate([[False], (keys["a"][some][1:] == keys["a"][some][:-1]) & (keys["b"][some][1:] == keys["b"][some][:-1])])[: len(some)]
     flagged = np.zeros(len(keys), bool)
     flagged[some[again]] = True
-    return _flags(t, places, flagged, locals_)
-
-
-def _flags(t: pa.Table, places: list[np.ndarray], flagged: np.ndarray, locals_: list[np.ndarray] | None) -> pa.Table:
-    units, out, to = [], [], 0
-    for i, (unit, at) in enumerate(zip(t.column("unit").to_pylist(), places, strict=True)):
-        own = at[flagged[to : to + len(at)]]
-        to += len(at)
-        if len(own):
-            if locals_ is not None:
-                own["doc"] = locals_[i][own["doc"]]
-            units.append(unit)
-            out.append(pack(own))
-    return pa.table({"unit": pa.array(units, pa.int64()), "docs": pa.array([b""] * len(units), pa.binary()), "at": pa.array(out, pa.binary())})
+    return flagged, ~flagged
+
+
+def _by_unit(unit: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Units, and the packed places of each."""
+    order = np.argsort(unit, kind="stable")
+    first = np.flatnonzero(np.diff(unit[order], prepend=unit[order][:1] - 1)) if len(order) else np.zeros(0, np.int64)
+    return unit[order][first], [pack(x) for x in np.split(at[order], first[1:])] if len(first) else []
+
+
+def _told(t: pa.Table, ordered: bool, raw: bool) -> pa.Table:
+    """(unit, docs, at) of what a bucket tells; ``raw`` entries are those of a second round."""
+    if t.column("bucket")[0].as_py() < 0:
+        return t.select(["unit", "docs", "at"])
+    if raw:
+        x = np.frombuffer(b"".join(t.column("keys").to_pylist()), STRING if ordered else NAMED)
+        keys, unit, at, doc = x["key"], x["unit"], x["at"], x["row"] if ordered else None
+    else:
+        keys, unit, at, doc = _entries(t, ordered, wide=False)
+    flagged, _ = _later(keys, at, doc) if ordered else _repeated(keys)
+    units, places = _by_unit(unit[flagged], at[flagged])
+    return pa.table({"unit": pa.array(units, pa.int64()), "docs": pa.array([b""] * len(units), pa.binary()), "at": pa.array(places, pa.binary())})
+
+
+def _meet(t: pa.Table, ordered: bool, deal: Deal) -> pa.Table:
+    """The entries of a coarse range and some units, as rows by fine range; what they tell of each other comes in rows of negative bucket."""
+    bucket = t.column("bucket")[0].as_py()
+    if bucket < 0:
+        return t.select(["bucket", "unit", "docs", "keys", "at"])
+    keys, unit, at, doc = _entries(t, ordered, wide=True)
+    flagged, on = _later(keys, at, doc) if ordered else _repeated(keys)
+    units, places = _by_unit(unit[flagged], at[flagged])
+    lead = keys["a"] if ordered else keys
+    fine = ((lead >> np.uint64(33)) % np.uint64(deal.coarse * deal.fine)).astype(np.int64)
+    on = np.flatnonzero(on)
+    on = on[np.argsort(fine[on], kind="stable")]
+    out = np.empty(len(on), STRING if ordered else NAMED)
+    out["unit"], out["at"] = unit[on], at[on]
+    out["key"] = keys[on] if ordered else keys[on].astype("<u4")
+    if ordered:
+        out["row"] = doc[on]
+    first = np.flatnonzero(np.diff(fine[on], prepend=-1))
+    rows = [x.tobytes() for x in np.split(out, first[1:])] if len(first) else []
+    n, m = len(units), len(rows)
+    return pa.table({
+        "bucket": pa.array([*(-1 - int(u) % deal.coarse for u in units), *fine[on][first].tolist()], pa.int32()),
+        "unit": pa.array([*units.tolist(), *[0] * m], pa.int64()),
+        "docs": pa.array([b""] * (n + m), pa.binary()),
+        "keys": pa.array([*[b""] * n, *rows], pa.binary()),
+        "at": pa.array([*places, *[b""] * m], pa.binary()),
+    })
 
 
 def _by_document(t: pa.Table) -> pa.Table:
@@ -215,30 +282,16 @@ def _by_document(t: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(table["id"][used], pa.int64()), "t1": pa.array(table["t1"][used], pa.int64()), "places": pa.array(parts, pa.binary())})
 
 
-def _resolve(entries: DataFrame, ordered: bool) -> DataFrame:
+def _resolve(entries: DataFrame, deal: Deal, ordered: bool) -> DataFrame:
     """(doc_id, t1, places): the flagged places of each document that has one, as packed 32-bit offsets."""
-    tell = _later if ordered else _repeated
-
-    def run(t: pa.Table) -> pa.Table:
-        return t.select(["unit", "docs", "at"]) if t.column("bucket")[0].as_py() < 0 else tell(t)
-
-    found = entries.groupBy("bucket").applyInArrow(run, "unit bigint, docs binary, at binary")
+    two = deal.fine > 1
+    if two:
+        entries = entries.withColumn("meeting", F.pmod("unit", F.lit(deal.meetings))).groupBy("bucket", "meeting").applyInArrow(lambda t: _meet(t, ordered, deal), ENTRY)
+    found = entries.groupBy("bucket").applyInArrow(lambda t: _told(t, ordered, two), "unit bigint, docs binary, at binary")
     flagged = found.groupBy("unit").applyInArrow(_by_document, "doc_id bigint, t1 bigint, places binary")
     return checkpointed(flagged)
 
 
-def _release(done: DataFrame) -> None:
-    """Lets go of the shuffle files of a finished step, of which ``done`` is the result: they stay until the
-    driver's garbage, which refers to them, is collected, and the scheduler refers to its last job until the next one."""
-    done.limit(1).count()
-    spark = done.sparkSession
-    spark.range(1).count()
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
-
-
 def _spread(places: np.ndarray, n: int, length: int) -> np.ndarray:
     """Which of a document's strings (by start) are within reach of the sampled ``places``."""
     depth = np.zeros(n + 2, np.int32)
@@ -251,7 +304,7 @@ def _u32(x: bytes | None) -> np.ndarray:
     return np.frombuffer(x, "<u4").astype(np.int64) if x else np.zeros(0, np.int64)
 
 
-def _step(docs: DataFrame, make: Callable[[tk.Piece, list[list[bytes | None]]], tuple[np.ndarray, np.ndarray, np.ndarray]], columns: list[str], buckets: int, ordered: bool) -> DataFrame:
+def _step(docs: DataFrame, make: Callable[[tk.Piece, list[list[bytes | None]]], tuple[np.ndarray, np.ndarray, np.ndarray]], columns: list[str], deal: Deal, ordered: bool) -> DataFrame:
     """Entries of all documents. ``make`` gives (keys, document, place) of a piece and its rows of ``columns``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +318,7 @@ def _step(docs: DataFrame, make: Callable[[tk.Piece, list[list[bytes | None]]],
                 keys.append(k)
                 at.append(place)
             if sum(map(len, keys)):
-                yield _table(_send(_docs(rows), np.concatenate(keys), np.concatenate(at), buckets, ordered))
+                yield _table(_send(_docs(rows), np.concatenate(keys), np.concatenate(at), deal, ordered))
 
     return docs.mapInArrow(run, ENTRY)
 
@@ -361,18 +414,15 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_bytes: bool = False)
     base = base.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit("second"), "text")})
     firsts = checkpointed(base.where(F.octet_length("text") >= length).groupBy("t1", "t2").agg(F.min("doc_id").alias("doc_id"), F.max(F.octet_length("text")).alias("n")).select("doc_id", "t1", "n"))
     total = firsts.agg(F.sum("n")).first()[0] or 0
-    buckets = max(4, int(total * len(COVER) / PERIOD / BUCKET_ENTRIES))
+    deal = Deal.of(total * len(COVER) // PERIOD)
     key = ["doc_id", "t1"]
     texts = base.select("doc_id", "t1", "text")
     unique = texts.join(firsts.select(*key), key).dropDuplicates(key)
-    named = _resolve(_step(unique, _names(length), [], buckets, ordered=False), ordered=False)
-    _release(named)
+    named = _resolve(_step(unique, _names(length), [], deal, ordered=False), deal, ordered=False)
     near = texts.join(named.withColumnRenamed("places", "near"), key).dropDuplicates(key)
-    settled = _resolve(_step(near, _surroundings(length), ["near"], buckets, ordered=True), ordered=True)
-    _release(settled)
+    settled = _resolve(_step(near, _surroundings(length), ["near"], deal, ordered=True), deal, ordered=True)
     open_ = near.join(settled.withColumnRenamed("places", "settled"), key, "left")
-    later = _resolve(_step(open_, _suffixes(length), ["near", "settled"], buckets, ordered=True), ordered=True)
-    _release(later)
+    later = _resolve(_step(open_, _suffixes(length), ["near", "settled"], deal, ordered=True), deal, ordered=True)
     marks = firsts.select(*key, F.lit(True).alias("first")).join(settled.withColumnRenamed("places", "settled"), key, "left").join(later.withColumnRenamed("places", "later"), key, "left")
     whole = base.select("orig", *key, "text").join(marks, key, "left").select(F.col("orig").alias("doc_id"), "text", "first", "settled", "later")
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep_bytes
