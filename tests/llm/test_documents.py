@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -66,7 +67,12 @@ def test_difference_cover_reaches_every_pair():
     assert all(any((i + s) % v in cover and (j + s) % v in cover for s in range(v)) for i in range(v) for j in range(v))
 
 
-def test_suffix_dedup(spark, sf_dir, odd):
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_suffix_dedup(spark, sf_dir, odd, rounds, monkeypatch):
+    if rounds == 2:  # ranges and meetings so small that entries are dealt twice
+        for name, value in (("BUCKET_ENTRIES", 1000), ("COARSE", 3), ("MEETING_BYTES", 20_000), ("UNIT", 1 << 15)):
+            monkeypatch.setattr(suffix_dedup, name, value)
+        assert suffix_dedup.Deal.of(60_000).fine > 1 and suffix_dedup.Deal.of(60_000).meetings > 1
     for docs in (odd, table(spark, sf_dir, "documents")):
         rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
         want = brute_repeats(rows)
@@ -156,8 +162,11 @@ def test_bands_reach_the_recall():
 
 def test_components(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
-    got = {r.node: r.label for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**{k: 1 for k in range(1, 41)}, 100: 100, 101: 100, 102: 100}
+    for small in (0, 1000):
+        got = {r.node: r.label for r in components.connected_components(spark.createDataFrame(edges, "a int, b int"), small).collect()}
+        assert got == {**{k: 1 for k in range(1, 41)}, 100: 100, 101: 100, 102: 100}
+        named = spark.createDataFrame([(f"n{a:03}", f"n{b:03}") for a, b in edges], "a string, b string").selectExpr("struct(1 as k, a) as a", "struct(1 as k, b) as b")
+        assert {(r.node.a, r.label.a) for r in components.connected_components(named, small).collect()} == {(f"n{a:03}", f"n{b:03}") for a, b in got.items()}
 
 
 def brute_lines(rows, least):
@@ -432,6 +441,128 @@ def test_mixing(spark, odd):
     assert {c for c in mixing.mixture(odd).columns} >= set(odd.columns)
 
 
+def brute_mixture(spark, docs, target):
+    """{(doc_id, epoch): rows} by bisecting the exponent and going through the last epoch document by document."""
+    rows = [(r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")), r.h) for r in docs.selectExpr("*", f"xxhash64({target.seed}, doc_id) as h").collect()]
+    tokens = Counter()
+    for _, source, n, _ in rows:
+        tokens[source] += n
+    tokens = {s: n for s, n in tokens.items() if n}
+    total = sum(tokens.values())
+    budget = target.budget if target.budget is not None else total
+
+    def weights(a):
+        raw = {s: (n / total) ** a for s, n in tokens.items()}
+        return {s: x / sum(raw.values()) for s, x in raw.items()}
+
+    entropy = lambda a: -sum(w * np.log(w) for w in weights(a).values())
+    often = lambda a: max(w * budget / tokens[s] for s, w in weights(a).items())
+
+    def bisect(good_low):
+        low, high = 0.0, 1.0
+        for _ in range(100):
+            mid = (low + high) / 2
+            low, high = (mid, high) if good_low(mid) else (low, mid)
+        return low
+
+    a = 1.0
+    if target.entropy is not None and entropy(1.0) < target.entropy * np.log(len(tokens)):
+        a = bisect(lambda x: entropy(x) >= target.entropy * np.log(len(tokens)))
+    if target.repeats is not None and often(a) > max(target.repeats, budget / total):
+        a = bisect(lambda x: often(x) > max(target.repeats, budget / total))
+    weight, out, shares = weights(a), Counter(), {}
+    for source, n in tokens.items():
+        whole, rest = divmod(int(weight[source] * budget + 1e-6), n)
+        shares[source] = (weight[source], weight[source] * budget)
+        own = [r for r in rows if r[1] == source]
+        block = {r[0]: (r[3] % 2**64) >> (64 - (target.blocks.bit_length() - 1)) for r in own}
+        keys = spark.createDataFrame([(source, whole + 1, b) for b in sorted(set(block.values()))], "source string, e int, b int")
+        key = {r.b: r.k for r in keys.selectExpr("b", f"xxhash64({target.seed}, source, e, b) as k").collect()}
+        by_doc = defaultdict(list)
+        for r in own:
+            by_doc[key[block[r[0]]], block[r[0]], r[3], r[0] is not None, r[0] or 0].append(r)
+        used, stop = 0, False
+        for _, group in sorted(by_doc.items()):
+            size = sum(r[2] for r in group)
+            stop |= used + size > rest or rest == 0
+            used += size
+            for r in group:
+                for epoch in range(1, whole + 1 + (not stop)):
+                    out[r[0], source, epoch] += 1
+    return out, shares
+
+
+def test_mixing_against_brute_force(spark):
+    rows = [(k if k % 97 else k // 2, "w " * (1 + k * 7 % 23), "hot" if k % 3 else f"s{k % 5}") for k in range(1, 900)] + [(None, "w w", None), (9001, None, "hot"), (9002, "", "none"), (9003, "w " * 40, "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for target in (mixing.Target(entropy=0.9, repeats=None, blocks=16), mixing.Target(entropy=0.99, repeats=2.0, blocks=4), mixing.Target(entropy=None, repeats=4.0, budget=5000, blocks=64), mixing.Target(entropy=0.5, repeats=1.0, seed=3)):
+        want, shares = brute_mixture(spark, docs, target)
+        got = mixing.mixture(docs, target).collect()
+        # The exponents agree to 1e-9, which can move a budget by a token, and so the last document of a source.
+        have = Counter((r.doc_id, r.source, r.epoch) for r in got)
+        assert all(abs(r.weight - shares[r.source][0]) < 1e-6 for r in got)
+        assert sum(((have - want) + (want - have)).values()) <= len(shares) and sum(want.values()) > 300
+
+
+def test_toxicity_model_against_counts(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    m = toxicity.fit(docs, labels)
+    label = {r.doc_id: r.toxic for r in labels.collect()}
+    rows = [(r.text, label[r.doc_id]) for r in docs.collect() if r.doc_id in label]
+
+    def features(word):
+        for k in (0, *toxicity.STEMS):
+            if k == 0 or len(word) > k:
+                h = textkernels.span_hashes(np.frombuffer(word, np.uint8), np.array([0]), np.array([k or len(word)])) + np.uint64(k)
+                yield k, int(textkernels.mix(h)[0] & np.uint64(toxicity.BUCKETS - 1))
+
+    known, counts = {}, (Counter(), Counter())
+    words_of = lambda t: re.findall(rb"[0-9A-Za-z\x80-\xff]+", (t or "").lower().encode())
+    for text, y in rows:
+        own = set(words_of(text))
+        for w in own - set(known):
+            known[w] = list(features(w))
+        counts[y].update(b for _, b in {x for w in own for x in known[w]})
+    n0, n1 = sum(counts[0].values()), sum(counts[1].values())
+    rate, s = n1 / (n0 + n1), m.settings
+    weight = {}
+    for b in set(counts[0]) | set(counts[1]):
+        x, y = counts[1][b] + s.prior * rate, counts[0][b] + s.prior * (1 - rate)
+        odds = math.log(x / y) - math.log(rate / (1 - rate))
+        weight[b] = math.copysign(max(abs(odds) - s.caution * math.sqrt(1 / x + 1 / y), 0), odds)
+    assert np.allclose([m.weights[b] for b in weight], list(weight.values()), atol=1e-5) and np.count_nonzero(m.weights) == sum(abs(v) > 1e-9 for v in weight.values())
+    # The scale of the law: clean tokens' scores, a word at a time.
+    score = lambda w: max((weight[b] for _, b in known[w]), key=abs) - s.drift
+    clean = [score(w) for t, y in rows if not y for w in words_of(t)]
+    assert abs(np.mean(np.exp(m.lam * np.array(clean))) - 1) < 0.02
+    for text, _ in rows[:60]:
+        scores = np.array([score(w) for w in words_of(text)])
+        found = toxicity.maximal_segments(scores)
+        level = [m.lam * x[2] - m.log_k - math.log(max(len(scores), 1)) for x in found]
+        best, sure, passages = toxicity.evidence(scores.astype(np.float32), m)
+        assert not found or abs(best - max(level)) < 1e-3
+        chance = 0.0
+        for r in range(1, len(level) + 1):
+            t = sum(sorted(level, reverse=True)[:r]) + math.lgamma(r + 1)
+            if t > 0:
+                chance = max(chance, t - (r - 1) * math.log(t) + math.lgamma(r + 1) + math.lgamma(r) - (r - 1) * math.log(2))
+        assert abs(chance - sure) < 1e-3 * max(1, sure) and len(passages) == sum(x >= -math.log(s.significance) for x in level)
+    seen = np.array([toxicity.score_texts(pa.array([t]), m)[0][0] for t, _ in rows])
+    y = np.array([b for _, b in rows])
+    q = 1 / (1 + np.exp(-(m.slope * seen + m.offset)))
+    assert abs((q - y).sum()) < 0.5 and m.slope > 0  # the calibration's own condition
+
+
+def test_toxicity_of_very_long_and_repeated_rows(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    m = toxicity.fit(docs, labels)
+    label = {r.doc_id: r.toxic for r in labels.collect()}
+    clean = next(r.text for r in docs.orderBy("doc_id").collect() if label.get(r.doc_id) == 0 and len(r.text) > 300)
+    long = clean * (3_000_000 // len(clean))
+    got = toxicity.score(spark.createDataFrame([(1, long), (1, clean), (1, clean)], "doc_id long, text string"), m).collect()
+    assert len(got) == 3 and {r.predicted for r in got} == {0} and got[1].score == got[2].score
+
+
 def test_chat_format(spark):
     turns = [
         (1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (3, 1, "assistant", "yo"), (3, 0, "user", "hi"), (3, 2, "user", "more"), (4, 0, "user", "hi"), (4, 1, "assistant", "no"),

@@ -4,7 +4,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline as P
-from tilewright.llm import ngram_join
+from tilewright.llm import decontam, line_dedup, ngram_join, toxicity
 from tilewright.session import table
 
 
@@ -44,3 +44,42 @@ def test_stages(spark, sf_dir, tmp_path):
 def test_run_gives_the_last_stage(spark, sf_dir):
     out = P.run(spark, sf_dir)
     assert {"doc_id", "text", "source", "epoch", "block_key", "weight"} <= set(out.columns) and out.count() > 0
+
+
+def awkward(spark, sf_dir):
+    """Some documents with null and repeated ids, null texts, exact copies of one id, and a passage of the benchmark without an id."""
+    docs = table(spark, sf_dir, "documents").orderBy("doc_id").limit(60)
+    item = table(spark, sf_dir, "benchmark").orderBy("item_id").first().text
+    words = lambda k: " ".join(f"p{k}q{i}" for i in range(80))
+    rows = [(None, None, "en", "s", 0), (None, words(1), "en", "s", 1), (None, words(1), "en", "s", 1), (7001, words(2), "en", "s", 1), (7001, words(2), "en", "s", 1), (7001, words(3), "de", "s", 1), (7002, words(3) + " end", "de", None, 1)]
+    rows += [(None, f"before {item} after", "en", "s", 1), (7003, f"before {item} after", "en", "s", 1), (7004, "", "en", "s", 0), (7004, "\n\n", "en", "s", 2)]
+    return docs.unionByName(spark.createDataFrame(rows, docs.schema))
+
+
+def test_stages_on_null_and_repeated_ids(spark, sf_dir):
+    docs = awkward(spark, sf_dir)
+    rows = lambda df: Counter((r.doc_id, r.text, r.lang, r.source) for r in df.collect())
+    all_rows = rows(docs)
+    stages = dict(P.STAGES)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    assert rows(stages["toxicity"](spark, docs, sf_dir)) == rows(toxicity.score(docs, model).where("predicted = 0"))
+    cut = stages["line_dedup"](spark, docs, sf_dir)
+    assert rows(cut) == rows(line_dedup.dedup_lines(docs)) and sum(rows(cut).values()) == sum(all_rows.values())
+    once = rows(stages["ngram_jaccard_join"](spark, docs, sf_dir))
+    assert once - all_rows == Counter() and all(n == 1 for (_, t, *_), n in once.items() if t and t.strip())
+    mine = {(i, t[:4]) for i, t, *_ in once if t and t[:2] in ("p1", "p2", "p3")}
+    assert mine == {(None, "p1q0"), (7001, "p2q0"), (7001, "p3q0")}
+    assert {t for i, t, *_ in once if i == 7004 or t is None} == {"", "\n\n", None}
+    item = table(spark, sf_dir, "benchmark").orderBy("item_id").first().text
+    left = rows(stages["benchmark_decontamination"](spark, docs, sf_dir))
+    assert not any(t and item in t for _, t, *_ in left)
+    found = {(r.doc_id) for r in decontam.find_contaminated(docs, table(spark, sf_dir, "benchmark")).collect()}
+    assert all_rows - left == Counter({k: n for k, n in all_rows.items() if k[0] in found and not (k[0] is None and (k[1] is None or item not in k[1]))})
+    assert sum(rows(stages["source_mixing"](spark, docs, sf_dir)).values()) > 0
+
+
+def test_stages_on_an_empty_table(spark, sf_dir):
+    none = table(spark, sf_dir, "documents").where("false")
+    for name, stage in P.STAGES:
+        got = stage(spark, none, sf_dir)
+        assert got.count() == 0 and (name == "source_mixing" or got.columns == none.columns)
