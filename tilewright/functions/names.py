@@ -20,9 +20,18 @@ def slide_name(path: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """A string that sorts names with their runs of digits in the order of the numbers."""
+    """A string that sorts names with their runs of digits in the order of the numbers, however long: a run goes
+    without leading zeros, behind its length."""
     parts = F.regexp_extract_all(name, F.lit(r"([0-9]+|[^0-9]+)"), 1)
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 12, "0")).otherwise(p)), "")
+    bare = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")
+    number = lambda p: F.concat(F.lpad(F.length(bare(p)).cast("string"), 6, "0"), bare(p))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), number(p)).otherwise(p)), "")
+
+
+def padded(names: list[str], side: str = "right") -> list[str]:
+    """Names filled up with blanks to the length of the longest."""
+    most = max(map(len, names), default=0)
+    return [n.ljust(most) if side == "right" else n.rjust(most) for n in names]
 
 
 def edit_distance(a: Column, b: Column) -> Column:

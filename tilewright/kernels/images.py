@@ -111,6 +111,21 @@ def invert_field(field: np.ndarray, rounds: int = 20) -> np.ndarray:
     return v
 
 
+def fill_smoothly(img: np.ndarray, gap: np.ndarray, there: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """An image of which the pixels of ``gap`` are the mean of their neighbours, as far as ``rounds`` of averaging take it."""
+    known = there & ~gap
+    if not gap.any() or not known.any():
+        return img
+    out, have = np.where(known, img, 0.0), known.astype(float)
+    for _ in range(rounds):
+        p, q = np.pad(out * have, 1), np.pad(have, 1)
+        total = p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:]
+        n = q[:-2, 1:-1] + q[2:, 1:-1] + q[1:-1, :-2] + q[1:-1, 2:]
+        out = np.where(gap & (n > 0), total / np.maximum(n, 1), out)
+        have = np.where(gap, n > 0, have).astype(float)
+    return out
+
+
 def dilate(mask: np.ndarray, radius: int) -> np.ndarray:
     """A mask grown by a disk."""
     padded = np.pad(mask, radius)
@@ -122,27 +137,6 @@ def dilate(mask: np.ndarray, radius: int) -> np.ndarray:
     return out
 
 
-def keep_outside_out(field: np.ndarray, m: np.ndarray, src_shape: tuple[int, int], radius: int = 3) -> np.ndarray:
-    """A field without the vectors that pull pixels from outside the image into it, and those around them."""
-    yy, xx = np.mgrid[: field.shape[1], : field.shape[2]].astype(float)
-    at = lambda x, y: (m[0, 0] * x + m[0, 1] * y + m[0, 2], m[1, 0] * x + m[1, 1] * y + m[1, 2])
-    inside = lambda p: (p[0] >= 0) & (p[1] >= 0) & (p[0] < src_shape[1]) & (p[1] < src_shape[0])
-    bad = dilate(~inside(at(xx, yy)) & inside(at(xx + field[0], yy + field[1])), radius)
-    return np.where(bad[None], 0.0, field)
-
-
-def white_tophat(img: np.ndarray, radius: int) -> np.ndarray:
-    """What of an image stands out above its opening with a disk."""
-    offsets = [(j, i) for j in range(-radius, radius + 1) for i in range(-radius, radius + 1) if i * i + j * j <= radius * radius]
-
-    def spread(a: np.ndarray, pick, fill: float) -> np.ndarray:  # noqa: ANN001
-        p = np.pad(a, radius, constant_values=fill)
-        return pick([p[radius + j : radius + j + a.shape[0], radius + i : radius + i + a.shape[1]] for j, i in offsets], axis=0)
-
-    low = spread(img.astype(float), np.min, np.inf)
-    return img - spread(low, np.max, -np.inf)
-
-
 def total_variation(img: np.ndarray, weight: float = 0.1, rounds: int = 100) -> np.ndarray:
     """A denoised image: dual projection steps on the total variation."""
     p = np.zeros((2, *img.shape))
@@ -162,6 +156,195 @@ def total_variation(img: np.ndarray, weight: float = 0.1, rounds: int = 100) ->
     return img - weight * divergence(p)
 
 
+def edge_strength(img: np.ndarray) -> np.ndarray:
+    """Length of the gradient, with the neighbours of a row weighted 3, 10, 3."""
+    p = np.pad(img.astype(float), 1, mode="edge")
+    mix = lambda a, b, c: (3 * a + 10 * b + 3 * c) / 16
+    dx = mix(p[:-2, 2:] - p[:-2, :-2], p[1:-1, 2:] - p[1:-1, :-2], p[2:, 2:] - p[2:, :-2])
+    dy = mix(p[2:, :-2] - p[:-2, :-2], p[2:, 1:-1] - p[:-2, 1:-1], p[2:, 2:] - p[:-2, 2:])
+    return np.sqrt(dx * dx + dy * dy) / 2
+
+
+def disk(radius: int) -> list[tuple[int, int]]:
+    """(dy, dx) of the pixels of a disk."""
+    r = range(-radius, radius + 1)
+    return [(j, i) for j in r for i in r if i * i + j * j <= radius * radius]
+
+
+def window_extreme(img: np.ndarray, offsets: list[tuple[int, int]], least: bool) -> np.ndarray:
+    """The least or greatest value among a pixel's neighbours at ``offsets``; what lies outside doesn't count."""
+    ry, rx = max(abs(j) for j, _ in offsets), max(abs(i) for _, i in offsets)
+    p = np.pad(img.astype(float), ((ry, ry), (rx, rx)), constant_values=np.inf if least else -np.inf)
+    out = None
+    for j, i in offsets:
+        part = p[ry + j : ry + j + img.shape[0], rx + i : rx + i + img.shape[1]]
+        out = part.copy() if out is None else (np.minimum if least else np.maximum)(out, part)
+    return out
+
+
+def opening(img: np.ndarray, offsets: list[tuple[int, int]]) -> np.ndarray:
+    return window_extreme(window_extreme(img, offsets, True), offsets, False)
+
+
+def local_entropy(img: np.ndarray, radius: int, there: np.ndarray | None = None) -> np.ndarray:
+    """Entropy, in bits, of the values of 0 to 255 in a disk around each pixel, of the pixels that are there."""
+    img = np.clip(img, 0, 255).astype(np.int64)
+    there = np.ones(img.shape, bool) if there is None else there
+    offsets = disk(radius)
+    p = np.pad(np.where(there, img, -1), radius, constant_values=-1)
+    stack = np.sort(np.stack([p[radius + j : radius + j + img.shape[0], radius + i : radius + i + img.shape[1]] for j, i in offsets]), axis=0)
+    n = (stack >= 0).sum(axis=0)
+    # Runs of equal values of the sorted neighbours: a run of k adds k ln k.
+    out, run = np.zeros(img.shape), np.zeros(img.shape)
+    for k in range(len(offsets)):
+        run = np.where((k > 0) & (stack[k] == stack[k - 1]), run + 1, 1)
+        ends = (stack[k] >= 0) & ((stack[k] != stack[k + 1]) if k + 1 < len(offsets) else True)
+        out += np.where(ends, run * np.log2(np.maximum(run, 1)), 0)
+    return np.where(n > 0, np.log2(np.maximum(n, 1)) - out / np.maximum(n, 1), 0)
+
+
+def distance_inside(mask: np.ndarray, most: int) -> np.ndarray:
+    """Distance of each pixel of a mask from the nearest one outside it, up to ``most``; the image's edge is no outside."""
+    big = float(most + 1)
+    gap = np.where(mask, big, 0.0)
+    for _ in range(2):
+        for k in range(1, gap.shape[1]):
+            gap[:, k] = np.minimum(gap[:, k], gap[:, k - 1] + 1)
+        gap = gap[:, ::-1]
+    out = np.full(mask.shape, big * big)
+    p = np.pad(gap, ((most, most), (0, 0)), constant_values=big)
+    for j in range(-most, most + 1):
+        out = np.minimum(out, p[most + j : most + j + mask.shape[0]] ** 2 + j * j)
+    return np.where(mask, np.minimum(np.sqrt(out), most), 0.0)
+
+
+def label(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
+    """Of each pixel of a mask the first pixel, row by row, that it is connected to (as y * width + x); -1 outside."""
+    h, w = mask.shape
+    up = np.where(mask, np.arange(h * w).reshape(h, w), -1).ravel()
+    index = np.arange(h * w).reshape(h, w)
+    a, b = [], []
+    for j, i in ((0, 1), (1, 0), *(((1, 1), (1, -1)) if diagonal else ())):
+        one, two = (slice(0, h - j), slice(max(-i, 0), w - max(i, 0))), (slice(j, h), slice(max(i, 0), w - max(-i, 0)))
+        both = mask[one] & mask[two]
+        a.append(index[one][both])
+        b.append(index[two][both])
+    a, b = np.concatenate(a), np.concatenate(b)
+    while len(a):
+        while True:  # to the roots
+            above = up[up]
+            above[up < 0] = -1
+            if (above == up).all():
+                break
+            up = above
+        a, b = up[a], up[b]
+        apart = a != b
+        a, b = np.maximum(a[apart], b[apart]), np.minimum(a[apart], b[apart])
+        np.minimum.at(up, a, b)
+    return up.reshape(h, w)
+
+
+def hull(xy: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull of points, counter-clockwise where y points up."""
+    p = np.unique(xy, axis=0)
+    if len(p) < 3:
+        return p
+
+    def half(points: np.ndarray) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for q in points:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(q)
+        return out[:-1]
+
+    return np.array(half(p) + half(p[::-1]))
+
+
+def fill_rows(corners: np.ndarray) -> np.ndarray:
+    """(y, first x, last x) of the whole pixels that a convex polygon covers, edges included."""
+    if len(corners) < 3:
+        x0, y0 = corners.min(axis=0)
+        x1, y1 = corners.max(axis=0)
+        ys = np.arange(int(np.ceil(y0)), int(np.floor(y1)) + 1)
+        at = x0 + (ys - y0) * ((x1 - x0) / (y1 - y0) if y1 > y0 else 0)
+        return np.array([[y, x0 if y1 == y0 else round(v), x1 if y1 == y0 else round(v)] for y, v in zip(ys, at, strict=True)], float).astype(int).reshape(-1, 3)
+    rows = []
+    for y in range(int(np.ceil(corners[:, 1].min())), int(np.floor(corners[:, 1].max())) + 1):
+        xs = []
+        for p, q in zip(corners, np.roll(corners, -1, axis=0), strict=True):
+            if min(p[1], q[1]) <= y <= max(p[1], q[1]):
+                xs += [p[0], q[0]] if p[1] == q[1] else [p[0] + (y - p[1]) * (q[0] - p[0]) / (q[1] - p[1])]
+        rows.append((y, int(np.ceil(min(xs) - 1e-9)), int(np.floor(max(xs) + 1e-9))))
+    return np.array(rows).reshape(-1, 3)
+
+
+def clip_convex(subject: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """The part of a convex polygon within another one; no corners if they don't meet."""
+
+    def area2(p: np.ndarray) -> float:
+        x, y = p[:, 0], p[:, 1]
+        return float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum())
+
+    out = list(map(tuple, subject))
+    window = window if area2(window) > 0 else window[::-1]
+    for p, q in zip(window, np.roll(window, -1, axis=0), strict=True):
+        side = [(q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0]) for r in out]
+        new = []
+        for k in range(len(out)):
+            a, b, s, t = out[k - 1], out[k], side[k - 1], side[k]
+            if (s < 0) != (t < 0):
+                f = s / (s - t)
+                new.append((a[0] + f * (b[0] - a[0]), a[1] + f * (b[1] - a[1])))
+            if t >= 0:
+                new.append(b)
+        out = new
+        if not out:
+            break
+    return np.array(out).reshape(-1, 2)
+
+
+def otsu(values: np.ndarray, counts: np.ndarray, classes: int = 2) -> list[float]:
+    """Thresholds (classes - 1 of them, 2 at most) that part a histogram with the largest variance between the parts."""
+    n, s = np.cumsum(counts, dtype=float), np.cumsum(values * counts, dtype=float)
+    if len(values) < classes:
+        return [float(values[0])] * (classes - 1) if len(values) else [0.0] * (classes - 1)
+
+    def part(n_: np.ndarray, s_: np.ndarray) -> np.ndarray:
+        return np.divide(s_ * s_, n_, out=np.zeros(np.broadcast(n_, s_).shape), where=n_ > 0)
+
+    if classes == 2:
+        return [float(values[(part(n, s) + part(n[-1] - n, s[-1] - s))[:-1].argmax()])]
+    i, j = np.triu_indices(len(values) - 1, 1)
+    best = (part(n[i], s[i]) + part(n[j] - n[i], s[j] - s[i]) + part(n[-1] - n[j], s[-1] - s[j])).argmax()
+    return [float(values[i[best]]), float(values[j[best]])]
+
+
+def li(values: np.ndarray, counts: np.ndarray, rounds: int = 100) -> float:
+    """The threshold of least cross entropy: it lies between the means of both sides as their logs say."""
+    low = float(values.min())
+    v = values - low
+    t = float((v * counts).sum() / max(counts.sum(), 1))
+    step = np.diff(np.unique(v)).min() / 2 if len(np.unique(v)) > 1 else 0.5
+    for _ in range(rounds):
+        above = v > t
+        if not counts[above].sum() or not counts[~above].sum():
+            break
+        m1, m0 = np.average(v[above], weights=counts[above]), np.average(v[~above], weights=counts[~above])
+        new = t if m0 <= 0 else float((m0 - m1) / (np.log(m0) - np.log(m1)))
+        if m0 <= 0 or abs(new - t) < step:
+            t = new
+            break
+        t = new
+    return t + low
+
+
+def noise(img: np.ndarray) -> float:
+    """Standard deviation of an image's noise, from the differences of each two by two pixels."""
+    d = img[:-1:2, :-1:2][: img.shape[0] // 2, : img.shape[1] // 2] - img[1::2, :-1:2] - img[:-1:2, 1::2] + img[1::2, 1::2] if min(img.shape) > 1 else np.zeros(1)
+    return float(np.median(np.abs(d)) / 2 / 0.6744897501960817)
+
+
 def gaussian_field(field: np.ndarray, sigma: float) -> np.ndarray:
     """Both parts of a field, smoothed."""
     return np.stack([gaussian(f, sigma) for f in field])

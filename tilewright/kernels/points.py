@@ -54,28 +54,69 @@ def ransac(src: np.ndarray, dst: np.ndarray, threshold: float = 7.0, rounds: int
 def leaf_order(d: np.ndarray) -> list[int]:
     """Order of leaves of a single-linkage tree so that the sum of distances of neighbours is least.
 
-    Merges go by least distance; for each cluster the best order for every pair of end leaves is kept.
+    Clusters join by the edges of a least spanning tree. A cluster knows the cost of its best order for each pair of end
+    leaves; that of two joined ones is a product of their tables with the distances between, in which sums take the place of
+    products and the least the place of sums, so a join costs the cube of its size at most.
     """
     n = len(d)
     if n < 2:
         return list(range(n))
-    clusters: dict[int, dict[tuple[int, int], tuple[float, list[int]]]] = {i: {(i, i): (0.0, [i])} for i in range(n)}
-    members = {i: [i] for i in range(n)}
-    while len(clusters) > 1:
-        a, b = min(((i, j) for i in clusters for j in clusters if i < j), key=lambda p: (min(d[x, y] for x in members[p[0]] for y in members[p[1]]), p))
-        both: dict[tuple[int, int], tuple[float, list[int]]] = {}
-        for (l1, r1), (c1, o1) in clusters[a].items():
-            for (l2, r2), (c2, o2) in clusters[b].items():
-                for left, r, o, l, right, p in ((l1, r1, o1, l2, r2, o2), (l2, r2, o2, l1, r1, o1)):  # noqa: E741
-                    cost = c1 + c2 + d[r, l]
-                    for key, order in (((left, right), o + p), ((right, left), (o + p)[::-1])):
-                        if key not in both or cost < both[key][0]:
-                            both[key] = (cost, order)
-        members[a] += members.pop(b)
-        clusters[a] = both
-        del clusters[b]
-    (final,) = clusters.values()
-    return min(final.values(), key=lambda x: (x[0], x[1]))[1]
+    near, via, left = d[0].astype(float).copy(), np.zeros(n, int), np.ones(n, bool)
+    left[0], edges = False, []
+    for _ in range(n - 1):
+        k = int(np.where(left, near, np.inf).argmin())
+        left[k] = False
+        edges.append((near[k], min(int(via[k]), k), max(int(via[k]), k)))
+        closer = left & (d[k] < near)
+        near[closer], via[closer] = d[k][closer], k
+    home = {i: i for i in range(n)}
+    trees: dict[int, dict] = {i: {"leaves": np.array([i]), "cost": np.zeros((1, 1))} for i in range(n)}
+
+    def least(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        value, place = np.empty((len(x), y.shape[1])), np.empty((len(x), y.shape[1]), int)
+        for i in range(len(x)):
+            sums = x[i][:, None] + y
+            place[i] = sums.argmin(axis=0)
+            value[i] = sums[place[i], np.arange(y.shape[1])]
+        return value, place
+
+    for _, i, j in sorted(edges):
+        a, b = sorted((home[i], home[j]))
+        p, q = trees.pop(a), trees.pop(b)
+        mid, out_of = least(p["cost"], d[np.ix_(p["leaves"], q["leaves"])].astype(float))
+        whole, into = least(mid, q["cost"])
+        k, m = len(p["leaves"]), len(q["leaves"])
+        cost = np.full((k + m, k + m), np.inf)
+        cost[:k, k:], cost[k:, :k] = whole, whole.T
+        trees[a] = {"leaves": np.concatenate([p["leaves"], q["leaves"]]), "cost": cost, "parts": (p, q), "out": out_of, "into": into}
+        for x in trees[a]["leaves"]:
+            home[int(x)] = a
+    (tree,) = trees.values()
+
+    def unroll(t: dict, first: int, last: int) -> list[int]:
+        """The leaves of a tree in the best order from one end to the other."""
+        stack, out = [(t, first, last)], []
+        while stack:
+            t, first, last = stack.pop()
+            if len(t["leaves"]) == 1:
+                out.append(int(t["leaves"][0]))
+                continue
+            p, q = t["parts"]
+            k = len(p["leaves"])
+            turned = first >= k
+            x, y = (last, first - k) if turned else (first, last - k)
+            enter = int(t["into"][x, y])
+            leave = int(t["out"][x, enter])
+            halves = [(p, x, leave), (q, enter, y)]
+            # A turned tree is read from its other end.
+            if turned:
+                halves = [(q, y, enter), (p, leave, x)]
+            stack += reversed(halves)
+        return out
+
+    best = np.argwhere(tree["cost"] == tree["cost"].min())
+    orders = [unroll(tree, int(i), int(j)) for i, j in best[:64]]
+    return min(orders)
 
 
 def akima(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -117,6 +158,19 @@ def weighted_kmeans(values: np.ndarray, weights: np.ndarray, k: int, rounds: int
     return centres
 
 
+def estimate_clusters(values: np.ndarray, weights: np.ndarray, most: int) -> int:
+    """A number of clusters up to ``most``: where the spread within clusters bends most from its chord."""
+    most = min(most, len(np.unique(values, axis=0)))
+    if most < 2:
+        return most
+    spread = []
+    for k in range(1, most + 1):
+        c = weighted_kmeans(values, weights, k)
+        spread.append(float((weights * ((values[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1)).sum()))
+    chord = np.interp(np.arange(most), [0, most - 1], [spread[0], spread[-1]])
+    return int((chord - np.array(spread)).argmax()) + 1 if most > 2 else most
+
+
 def sinkhorn(scores: np.ndarray, dustbin: float, rounds: int = 50) -> np.ndarray:
     """Log assignment of rows to columns with a bin for those without a partner, by alternate normalisation."""
     m, n = scores.shape
