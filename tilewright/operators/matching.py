@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewright.kernels.descriptors import match
+from tilewright.kernels.points import sinkhorn
+
 
 def distance(a: Column, b: Column, metric: str = "euclidean") -> Column:
     """Distance of two descriptors of equal length."""
@@ -41,6 +46,67 @@ def neighbour_pairs(keypoints: DataFrame) -> DataFrame:
     return images.select("image1", (F.col("image1") + 1).alias("image2")).join(images.select(F.col("image1").alias("image2")), "image2", "left_semi").select("image1", "image2")
 
 
+def all_pairs(keypoints: DataFrame) -> DataFrame:
+    """(image1, image2) of all images of a stack, each pair once, for stacks that are to be ordered: each image meets
+    the sorted list of the stack's images, and takes those behind it."""
+    images = keypoints.select(F.col("image").alias("image1")).distinct()
+    stack = images.agg(F.sort_array(F.collect_list("image1")).alias("all"))
+    return images.crossJoin(F.broadcast(stack)).select("image1", F.explode(F.filter("all", lambda x: x > F.col("image1"))).alias("image2"))
+
+
+def match_pairs(keypoints: DataFrame, pairs: DataFrame, metric: str = "euclidean", cross_check: bool = True, max_distance: float | None = None, max_ratio: float | None = None) -> DataFrame:
+    """(image1, image2, i, j, d): the nearest descriptor of each, ties to the lower index, see ``nearest``.
+
+    A pair of images is a task; its descriptors meet in blocks of a matrix product, so that what is made is bounded by the
+    images' keypoints, of which there are some thousands at most, and never a row for each two descriptors.
+    """
+    left, right = (keypoints.select(F.col("image").alias(f"image{k}"), F.col("kp").alias("kp"), F.col("descr")) for k in (1, 2))
+    both = left.join(pairs, "image1").select("image1", "image2", F.lit(0).alias("side"), "kp", "descr").unionByName(right.join(pairs, "image2").select("image1", "image2", F.lit(1).alias("side"), "kp", "descr"))
+
+    def run(t: pa.Table) -> pa.Table:
+        side, kp = t.column("side").to_numpy(), t.column("kp").to_numpy()
+        lists = t.column("descr").combine_chunks()
+        whole = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
+        one, two = (np.flatnonzero(side == k) for k in (0, 1))
+        one, two = one[np.argsort(kp[one], kind="stable")], two[np.argsort(kp[two], kind="stable")]
+        i, j, d = match(whole[one], whole[two], metric, cross_check, max_distance, max_ratio) if len(one) and len(two) else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        key = {c: pa.array([t.column(c)[0].as_py()] * len(i), t.schema.field(c).type) for c in ("image1", "image2")}
+        return pa.table({**key, "i": pa.array(kp[one][i], t.schema.field("kp").type), "j": pa.array(kp[two][j], t.schema.field("kp").type), "d": pa.array(d)})
+
+    image, kp = (keypoints.schema[c].dataType.simpleString() for c in ("image", "kp"))
+    return both.groupBy("image1", "image2").applyInArrow(run, f"image1 {image}, image2 {image}, i {kp}, j {kp}, d double")
+
+
+def assigned_pairs(keypoints: DataFrame, pairs: DataFrame, dustbin: float = 0.2, sharpness: float = 20.0, least: float = 0.2, rounds: int = 100) -> DataFrame:
+    """(image1, image2, i, j, score): descriptors of two images assigned to each other, each at most once.
+
+    Cosine similarities, times ``sharpness``, are normalised in turn by rows and by columns, with a bin of similarity ``dustbin`` for those
+    without a partner; pairs that are each other's best and score ``least`` or more are kept. A pair of images is a task.
+    """
+    left, right = (keypoints.select(F.col("image").alias(f"image{k}"), "kp", "descr") for k in (1, 2))
+    both = left.join(pairs, "image1").select("image1", "image2", F.lit(0).alias("side"), "kp", "descr").unionByName(right.join(pairs, "image2").select("image1", "image2", F.lit(1).alias("side"), "kp", "descr"))
+
+    def run(t: pa.Table) -> pa.Table:
+        side, kp = t.column("side").to_numpy(), t.column("kp").to_numpy()
+        lists = t.column("descr").combine_chunks()
+        whole = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1)
+        one, two = (np.flatnonzero(side == k) for k in (0, 1))
+        one, two = one[np.argsort(kp[one], kind="stable")], two[np.argsort(kp[two], kind="stable")]
+        i = j = np.zeros(0, int)
+        score = np.zeros(0)
+        if len(one) and len(two):
+            unit = whole / np.maximum(np.sqrt((whole * whole).sum(axis=1, keepdims=True)), 1e-12)
+            z = np.exp(sinkhorn(sharpness * unit[one] @ unit[two].T, sharpness * dustbin, rounds))[:-1, :-1]
+            best, back = z.argmax(axis=1), z.argmax(axis=0)
+            i = np.flatnonzero((back[best] == np.arange(len(one))) & (z.max(axis=1) >= least))
+            j, score = best[i], z[i, best[i]]
+        key = {c: pa.array([t.column(c)[0].as_py()] * len(i), t.schema.field(c).type) for c in ("image1", "image2")}
+        return pa.table({**key, "i": pa.array(kp[one][i], t.schema.field("kp").type), "j": pa.array(kp[two][j], t.schema.field("kp").type), "score": pa.array(score)})
+
+    image, kp = (keypoints.schema[c].dataType.simpleString() for c in ("image", "kp"))
+    return both.groupBy("image1", "image2").applyInArrow(run, f"image1 {image}, image2 {image}, i {kp}, j {kp}, score double")
+
+
 def nearest(distances: DataFrame, cross_check: bool = True, max_distance: float | None = None, max_ratio: float | None = None) -> DataFrame:
     """(image1, image2, i, j, d): the nearest descriptor of each, ties to the lower index.
 
@@ -48,9 +114,11 @@ def nearest(distances: DataFrame, cross_check: bool = True, max_distance: float
     matches of which the distance is below that part of the second nearest one's.
     """
     pair = ["image1", "image2"]
-    best = distances.groupBy(*pair, "i").agg(F.min(F.struct("d", "j")).alias("m"), F.sort_array(F.collect_list("d")).alias("all_d")) if max_ratio is not None else distances.groupBy(*pair, "i").agg(F.min(F.struct("d", "j")).alias("m"))
+    best = distances.groupBy(*pair, "i").agg(F.min(F.struct("d", "j")).alias("m"))
     if max_ratio is not None:
-        best = best.where((F.size("all_d") < 2) | (F.col("m.d") < max_ratio * F.get("all_d", F.lit(1)))).drop("all_d")
+        # The second nearest is the least of the others.
+        others = distances.join(best.select(*pair, "i", F.col("m.j").alias("j")), [*pair, "i", "j"], "left_anti").groupBy(*pair, "i").agg(F.min("d").alias("second"))
+        best = best.join(others, [*pair, "i"], "left").where(F.col("second").isNull() | (F.col("m.d") < max_ratio * F.col("second"))).drop("second")
     best = best.select(*pair, "i", F.col("m.j").alias("j"), F.col("m.d").alias("d"))
     if cross_check:
         back = distances.groupBy(*pair, "j").agg(F.min(F.struct("d", "i")).alias("m")).select(*pair, "j", F.col("m.i").alias("i"))
@@ -66,17 +134,17 @@ def with_points(matches: DataFrame, keypoints: DataFrame) -> DataFrame:
 
 
 def fit_similarity(matches: DataFrame) -> DataFrame:
-    """(image1, image2, n, a, b, tx, ty): least squares similarity from points 1 to points 2, in one pass of sums.
+    """(image1, image2, n, a, b, tx, ty): least squares similarity from points 1 to points 2, in one pass of covariances.
 
-    x2 = a x1 - b y1 + tx, y2 = b x1 + a y1 + ty.
+    x2 = a x1 - b y1 + tx, y2 = b x1 + a y1 + ty. a and b are null where all points 1 are one.
     """
-    s = matches.groupBy("image1", "image2").agg(
+    f = matches.groupBy("image1", "image2").agg(
         F.count(F.lit(1)).alias("n"),
         *[F.avg(c).alias(f"m_{c}") for c in ("x1", "y1", "x2", "y2")],
+        (F.covar_pop("x1", "x2") + F.covar_pop("y1", "y2")).alias("dot"),
+        (F.covar_pop("x1", "y2") - F.covar_pop("y1", "x2")).alias("cross"),
+        (F.var_pop("x1") + F.var_pop("y1")).alias("size"),
     )
-    m = matches.join(s, ["image1", "image2"])
-    x, y, u, v = (F.col(c) - F.col(f"m_{c}") for c in ("x1", "y1", "x2", "y2"))
-    f = m.groupBy("image1", "image2", "n", "m_x1", "m_y1", "m_x2", "m_y2").agg(F.sum(x * u + y * v).alias("dot"), F.sum(x * v - y * u).alias("cross"), F.sum(x * x + y * y).alias("size"))
     f = f.withColumns({"a": F.try_divide("dot", "size"), "b": F.try_divide("cross", "size")})
     return f.select("image1", "image2", "n", "a", "b", (F.col("m_x2") - F.col("a") * F.col("m_x1") + F.col("b") * F.col("m_y1")).alias("tx"), (F.col("m_y2") - F.col("b") * F.col("m_x1") - F.col("a") * F.col("m_y1")).alias("ty"))
 
@@ -107,7 +175,47 @@ def metric_matrix(summary: DataFrame) -> DataFrame:
     """(a, b, similarity, distance) of all image pairs both ways, with the diagonal, scaled by the largest value."""
     both = summary.select(F.col("image1").alias("a"), F.col("image2").alias("b"), "value").union(summary.select(F.col("image2").alias("a"), F.col("image1").alias("b"), "value"))
     most = both.agg(F.max("value").alias("most"))
-    scaled = both.join(F.broadcast(most)).select("a", "b", F.try_divide(F.col("value").cast("double"), F.col("most").cast("double")).alias("similarity"))
+    scaled = both.crossJoin(F.broadcast(most)).select("a", "b", F.try_divide(F.col("value").cast("double"), F.col("most").cast("double")).alias("similarity"))
     images = both.select(F.col("a")).distinct()
     diagonal = images.select("a", F.col("a").alias("b"), F.lit(1.0).alias("similarity"))
     return scaled.union(diagonal).withColumn("distance", 1 - F.col("similarity"))
+
+
+def neighbours_only(matches: DataFrame, order: DataFrame) -> DataFrame:
+    """Matches of images that are next to each other in ``order`` (image, place)."""
+    at = lambda k: order.select(F.col("image").alias(f"image{k}"), F.col("place").alias(f"__p{k}"))
+    return matches.join(at(1), "image1").join(at(2), "image2").where(F.abs(F.col("__p1") - F.col("__p2")) == 1).drop("__p1", "__p2")
+
+
+def both_ways(matches: DataFrame) -> DataFrame:
+    """Matches from the first image to the second, and from the second to the first."""
+    turn = {"image1": "image2", "image2": "image1", "i": "j", "j": "i", "x1": "x2", "x2": "x1", "y1": "y2", "y2": "y1"}
+    return matches.unionByName(matches.select(*[F.col(turn.get(c, c)).alias(c) for c in matches.columns]))
+
+
+def in_mask(matches: DataFrame, masks: DataFrame) -> DataFrame:
+    """Matches of which both points lie within their images' masks (image, x, y)."""
+    at = lambda x, y: (F.floor(F.col(x) + 0.5).cast("int"), F.floor(F.col(y) + 0.5).cast("int"))
+    out = matches
+    for k in (1, 2):
+        x, y = at(f"x{k}", f"y{k}")
+        own = masks.select(F.col("image").alias(f"image{k}"), F.col("x").cast("int").alias("__x"), F.col("y").cast("int").alias("__y"))
+        out = out.withColumns({"__x": x, "__y": y}).join(own, [f"image{k}", "__x", "__y"], "left_semi").drop("__x", "__y")
+    return out.select(*matches.columns)
+
+
+def cell_neighbours(matches: DataFrame, window: float) -> DataFrame:
+    """Matches of an image with one of its neighbours that lie in a cell, ``window`` pixels a side, in which the other
+    neighbour has matches as well. ``matches`` are both ways, see ``both_ways``."""
+    cells = matches.withColumns({"__cx": F.floor(F.col("x1") / window), "__cy": F.floor(F.col("y1") / window)})
+    hit = cells.groupBy("image1", "__cx", "__cy").agg(F.count_distinct("image2").alias("__k")).where("__k > 1").drop("__k")
+    return cells.join(hit, ["image1", "__cx", "__cy"], "left_semi").select(*matches.columns)
+
+
+def better_subset(matches: DataFrame, subset: DataFrame, least: int = 3) -> DataFrame:
+    """Per image pair ``subset``, if it has ``least`` matches or more and its fit leaves no larger median distance than that of all, or else all."""
+    pair = ["image1", "image2"]
+    score = lambda m, n: residuals(m, fit_similarity(m)).groupBy(*pair).agg(F.count(F.lit(1)).alias(f"{n}_n"), F.percentile("r", 0.5).alias(f"{n}_r"))
+    s = score(matches, "all").join(score(subset, "sub"), pair, "left")
+    good = s.where((F.col("sub_n") >= least) & (F.col("sub_r") <= F.col("all_r"))).select(*pair)
+    return subset.join(good, pair, "left_semi").unionByName(matches.join(good, pair, "left_anti"))
