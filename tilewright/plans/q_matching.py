@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import affine as A
@@ -10,6 +10,7 @@ from tilewright.operators import estimate as E
 from tilewright.operators import matching as M
 from tilewright.plans import views as V
 from tilewright.plans.registry import query
+from tilewright.session import checkpointed
 
 R = lambda c: F.round(F.col(c), 6).alias(c)
 
@@ -37,11 +38,11 @@ kept AS (SELECT res.* FROM res JOIN fence USING (image1, image2) WHERE r > q1 -
 
 def mutual(spark: SparkSession, d: str) -> DataFrame:
     kp = V.keypoints(spark, d)
-    return M.nearest(M.pair_distances(kp, M.neighbour_pairs(kp)))
+    return M.match_pairs(kp, M.neighbour_pairs(kp))
 
 
 def matched_points(spark: SparkSession, d: str) -> DataFrame:
-    return M.with_points(mutual(spark, d), V.keypoints(spark, d))
+    return checkpointed(M.with_points(mutual(spark, d), V.keypoints(spark, d)))
 
 
 @query(V.with_views("keypoints", "AND " + MUTUAL + " SELECT image1, image2, i, j, round(d, 6) AS d FROM mutual"))
@@ -52,7 +53,7 @@ def match_mutual_nearest(spark: SparkSession, d: str) -> DataFrame:
 @query(V.with_views("keypoints", "AND " + MUTUAL + " SELECT image1, image2, i, j, round(d, 6) AS d FROM fwd WHERE d < 1.2"))
 def match_within_distance(spark: SparkSession, d: str) -> DataFrame:
     kp = V.keypoints(spark, d)
-    return M.nearest(M.pair_distances(kp, M.neighbour_pairs(kp)), cross_check=False, max_distance=1.2).select("image1", "image2", "i", "j", R("d"))
+    return M.match_pairs(kp, M.neighbour_pairs(kp), cross_check=False, max_distance=1.2).select("image1", "image2", "i", "j", R("d"))
 
 
 @query(
@@ -64,7 +65,7 @@ SELECT image1, image2, i, j, round(d, 6) AS d FROM ranked WHERE k = 1 AND (secon
 )
 def match_ratio_test(spark: SparkSession, d: str) -> DataFrame:
     kp = V.keypoints(spark, d)
-    return M.nearest(M.pair_distances(kp, M.neighbour_pairs(kp)), cross_check=False, max_ratio=0.95).select("image1", "image2", "i", "j", R("d"))
+    return M.match_pairs(kp, M.neighbour_pairs(kp), cross_check=False, max_ratio=0.95).select("image1", "image2", "i", "j", R("d"))
 
 
 @query(
@@ -76,11 +77,13 @@ def match_ratio_test(spark: SparkSession, d: str) -> DataFrame:
     )
 )
 def match_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """The least distance of a pair's descriptors by other metrics."""
     kp = V.keypoints(spark, d)
-    left = kp.select(F.col("image").alias("image1"), F.col("descr").alias("p"))
-    right = kp.select(F.col("image").alias("image2"), F.col("descr").alias("q"))
-    each = left.join(M.neighbour_pairs(kp), "image1").join(right, "image2")
-    return each.groupBy("image1", "image2").agg(*[F.round(F.min(M.distance(F.col("p"), F.col("q"), m)), 6).alias(m) for m in ("manhattan", "chebyshev", "cosine", "hamming")])
+    pairs, out = M.neighbour_pairs(kp), None
+    for m in ("manhattan", "chebyshev", "cosine", "hamming"):
+        least = M.match_pairs(kp, pairs, m, cross_check=False).groupBy("image1", "image2").agg(F.round(F.min("d"), 6).alias(m))
+        out = least if out is None else out.join(least, ["image1", "image2"])
+    return out
 
 
 @query(V.with_views("keypoints", "AND " + MUTUAL + " SELECT image1, image2, count(*) AS n, round(avg(d), 6) AS mean_d, round(exp(-avg(d) / 64), 6) AS similarity, round(-ln(exp(-avg(d) / 64) + 2.220446049250313e-16) * 64, 6) AS distance FROM mutual GROUP BY ALL"))
@@ -178,9 +181,8 @@ def rigid_guard(spark: SparkSession, d: str) -> DataFrame:
     m = matched_points(spark, d)
     f = M.fit_similarity(m)
     gap = F.sqrt((F.col("x1") - F.col("x2")) * (F.col("x1") - F.col("x2")) + (F.col("y1") - F.col("y2")) * (F.col("y1") - F.col("y2")))
-    g = M.residuals(m, f).groupBy("image1", "image2").agg(F.avg(gap).alias("before"), F.avg("r").alias("after")).join(f, ["image1", "image2"])
-    worse = F.col("after") > F.col("before")
-    return g.select("image1", "image2", R("before"), R("after"), F.round(F.when(worse, 1.0).otherwise(F.col("a")), 6).alias("a"), F.round(F.when(worse, 0.0).otherwise(F.col("b")), 6).alias("b"))
+    both = M.residuals(m, f).groupBy("image1", "image2").agg(F.avg(gap).alias("before"), F.avg("r").alias("after"))
+    return both.join(E.guarded(m, f, max_scale=1e9), ["image1", "image2"]).select("image1", "image2", R("before"), R("after"), R("a"), R("b"))
 
 
 _REFLECT = FIT.split("pts AS", 1)
@@ -260,7 +262,7 @@ def weighted_median_error(spark: SparkSession, d: str) -> DataFrame:
 
 @query(V.with_views("keypoints", "AND " + FIT + " SELECT image1, image2, i, j FROM pts WHERE x1 >= 200 AND x1 < 320 AND y1 >= 200 AND y1 < 320 AND x2 >= 200 AND x2 < 320 AND y2 >= 200 AND y2 < 320"))
 def matches_inside_mask(spark: SparkSession, d: str) -> DataFrame:
-    """Matches of which both points are in the mask, here a box."""
+    """Matches of which both points are in the mask, here a polygon."""
     box = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((200, 200), (320, 200), (320, 320), (200, 320))])
     return matched_points(spark, d).where(A.point_in_polygon(F.col("x1"), F.col("y1"), box) & A.point_in_polygon(F.col("x2"), F.col("y2"), box)).select("image1", "image2", "i", "j")
 
@@ -279,7 +281,7 @@ JOIN own ON own.image1 = c.image1 AND own.image2 = c.image2 AND own.cx = c.cx AN
 def grid_motion_support(spark: SparkSession, d: str) -> DataFrame:
     """Support of cell-to-cell motions by the same motion of the eight cells around."""
     kp = V.keypoints(spark, d)
-    m = M.with_points(M.nearest(M.pair_distances(kp, M.neighbour_pairs(kp)), cross_check=False), kp)
+    m = M.with_points(M.match_pairs(kp, M.neighbour_pairs(kp), cross_check=False), kp)
     return E.grid_motion(m, 25.6, 6.0)
 
 
@@ -292,10 +294,8 @@ def rotation_and_scale(spark: SparkSession, d: str) -> DataFrame:
 
 @query(V.with_views("keypoints", "AND pair AS (SELECT a.image AS image1, b.image AS image2 FROM (SELECT DISTINCT image FROM keypoints) a JOIN (SELECT DISTINCT image FROM keypoints) b ON a.image < b.image) SELECT image1, image2, (image2 - image1 = 1) AS neighbours FROM pair"))
 def image_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs of images, and which are next to each other in the stack."""
-    images = V.keypoints(spark, d).select("image").distinct()
-    p = images.select(F.col("image").alias("image1")).join(images.select(F.col("image").alias("image2")), F.col("image1") < F.col("image2"))
-    return p.select("image1", "image2", (F.col("image2") - F.col("image1") == 1).alias("neighbours"))
+    """All pairs of images of a stack, as it is ordered by them, and which are next to each other."""
+    return M.all_pairs(V.keypoints(spark, d)).select("image1", "image2", (F.col("image2") - F.col("image1") == 1).alias("neighbours"))
 
 
 @query(V.with_views("keypoints", "SELECT image, ceil(greatest(w, h, (w + h) * sqrt(0.5)))::BIGINT AS canvas FROM (SELECT image, max(x) - min(x) AS w, max(y) - min(y) AS h FROM keypoints GROUP BY image)"))

@@ -2,27 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.operators import masks as Mk
 from tilewright.operators import raster as P
+from tilewright.operators import stain as S
 from tilewright.plans import views as V
 from tilewright.plans.registry import query
 
 R = lambda c, n=6: F.round(F.col(c), n).alias(c)
 
 
-def _by() -> WindowSpec:
-    return Window.partitionBy("image")
-
-
 LIMITS = "lim AS (SELECT image, min(v1) AS lo, max(v1) AS hi FROM pixels GROUP BY image)"
 
 
 @query(V.with_views("pixels", "AND " + LIMITS + " SELECT image, x, y, floor(coalesce((v1 - lo) * 255.0::DOUBLE / nullif(hi - lo, 0), 0))::INT AS v, 255 - floor(coalesce((v1 - lo) * 255.0::DOUBLE / nullif(hi - lo, 0), 0))::INT AS inverted FROM pixels JOIN lim USING (image)"))
 def channel_rescaled(spark: SparkSession, d: str) -> DataFrame:
-    v = F.floor(P.rescale(F.col("v1"), F.col("image"))).cast("int")
-    return V.pixels(spark, d).select("image", "x", "y", v.alias("v"), (255 - v).alias("inverted"))
+    p = S.stretched(V.pixels(spark, d).select("image", "x", "y", F.col("v1").alias("v")), "v")
+    return p.select("image", "x", "y", "v", (255 - F.col("v")).alias("inverted"))
 
 
 OD_SQL = "od AS (SELECT image, x, y, (greatest(-log10(v1 / 255.0::DOUBLE + 2.220446049250313e-16), 0) + greatest(-log10(v2 / 255.0::DOUBLE + 2.220446049250313e-16), 0)) / 2 AS od FROM pixels)"
@@ -31,15 +29,7 @@ OD_SQL = "od AS (SELECT image, x, y, (greatest(-log10(v1 / 255.0::DOUBLE + 2.220
 @query(V.with_views("pixels", "AND " + OD_SQL + ", p AS (SELECT image, quantile_cont(od, 0.95) AS p95 FROM od GROUP BY image) SELECT image, x, y, round(least(od, p95), 6) AS od FROM od JOIN p USING (image)"))
 def optical_density(spark: SparkSession, d: str) -> DataFrame:
     """Mean optical density of the bands, cut at the 95th percentile of the image."""
-    od = V.pixels(spark, d).select("image", "x", "y", ((P.optical_density(F.col("v1")) + P.optical_density(F.col("v2"))) / 2).alias("od"))
-    top = od.groupBy("image").agg(F.percentile("od", 0.95).alias("p95"))
-    return od.join(top, "image").select("image", "x", "y", F.round(F.least("od", "p95"), 6).alias("od"))
-
-
-@query(V.with_views("pixels", "SELECT image, x, y, round(0.2125::DOUBLE * v1 / 255 + 0.7154::DOUBLE * v2 / 255 + 0.0721::DOUBLE * ((v1 + v2) % 256) / 255, 6) AS gray FROM pixels"))
-def gray(spark: SparkSession, d: str) -> DataFrame:
-    v = F.lit(0.2125) * F.col("v1") / 255 + F.lit(0.7154) * F.col("v2") / 255 + F.lit(0.0721) * ((F.col("v1") + F.col("v2")) % 256) / 255
-    return V.pixels(spark, d).select("image", "x", "y", F.round(v, 6).alias("gray"))
+    return S.optical_density(V.pixels(spark, d), ["v1", "v2"]).select("image", "x", "y", R("od"))
 
 
 @query(
@@ -51,10 +41,9 @@ q AS (SELECT image, quantile_cont(j, 0.99) AS j0, quantile_cont(c, 0.01) AS c0 F
 )
 def background_distance(spark: SparkSession, d: str) -> DataFrame:
     """Distance of (lightness, colourfulness) from the background: their 99th and 1st percentile."""
-    unit = lambda c: F.try_divide((F.col(c) - F.min(c).over(_by())).cast("double"), (F.max(c).over(_by()) - F.min(c).over(_by())).cast("double"))
-    s = V.pixels(spark, d).select("image", "x", "y", unit("v1").alias("j"), unit("v2").alias("c"))
-    q = s.groupBy("image").agg(F.percentile("j", 0.99).alias("j0"), F.percentile("c", 0.01).alias("c0"))
-    dist = F.sqrt(F.pow(F.col("j") - F.col("j0"), 2) + F.pow(F.col("c") - F.col("c0"), 2))
+    s = S.stretched(S.stretched(V.pixels(spark, d), "v1", 0, 1, whole=False), "v2", 0, 1, whole=False)
+    q = s.groupBy("image").agg(F.percentile("v1", 0.99).alias("j0"), F.percentile("v2", 0.01).alias("c0"))
+    dist = F.sqrt(F.pow(F.col("v1") - F.col("j0"), 2) + F.pow(F.col("v2") - F.col("c0"), 2))
     return s.join(q, "image").select("image", "x", "y", F.round(dist, 6).alias("d"))
 
 
@@ -74,13 +63,6 @@ def bright_background_distance(spark: SparkSession, d: str) -> DataFrame:
     return p.join(bg, "image").select("image", "x", "y", F.round(dist, 6).alias("d"))
 
 
-@query(V.with_views("pixels", "AND " + OD_SQL.replace("od AS", "o AS").replace("/ 2 AS od", "/ 1 AS t").split(" FROM pixels")[0].replace("SELECT image, x, y,", "SELECT image, x, y, greatest(-log10(v1 / 255.0::DOUBLE + 2.220446049250313e-16), 0) AS o1, greatest(-log10(v2 / 255.0::DOUBLE + 2.220446049250313e-16), 0) AS o2,") + " FROM pixels) SELECT image, x, y, round(1.2 * o1 - 0.3 * o2, 6) + 0.0 AS stain1, round(0.9 * o2 - 0.4 * o1, 6) + 0.0 AS stain2 FROM o"))
-def stain_deconvolution(spark: SparkSession, d: str) -> DataFrame:
-    """Optical densities times a given unmixing matrix."""
-    o1, o2 = P.optical_density(F.col("v1")), P.optical_density(F.col("v2"))
-    return V.pixels(spark, d).select("image", "x", "y", (F.round(1.2 * o1 - 0.3 * o2, 6) + 0.0).alias("stain1"), (F.round(0.9 * o2 - 0.4 * o1, 6) + 0.0).alias("stain2"))
-
-
 A_SQL, B_SQL = "(SELECT image, x, y FROM pixels WHERE v1 > 60)", "(SELECT image, x, y FROM pixels WHERE v2 > 100)"
 
 
@@ -97,7 +79,7 @@ def masks_combined(spark: SparkSession, d: str) -> DataFrame:
 
 COMP_SQL = """m AS ({mask}), reach(image, x, y, cx, cy) AS (
   SELECT image, x, y, x, y FROM m UNION SELECT r.image, n.x, n.y, r.cx, r.cy FROM reach r JOIN m n ON n.image = r.image AND abs(n.x - r.x) <= 1 AND abs(n.y - r.y) <= 1),
-comp AS (SELECT image, x, y, min(cy::BIGINT * 1048576 + cx) AS comp FROM reach GROUP BY image, x, y)"""
+comp AS (SELECT image, x, y, min(cy::BIGINT * 4294967296 + cx) AS comp FROM reach GROUP BY image, x, y)"""
 
 
 def _recursive(body: str) -> str:
@@ -116,8 +98,8 @@ def mask_large_components(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_recursive(COMP_SQL.format(mask="SELECT image, x, y FROM pixels WHERE v1 > 60") + " SELECT image, comp, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM comp GROUP BY image, comp"))
 def mask_component_boxes(spark: SparkSession, d: str) -> DataFrame:
-    c = P.components(_masks(spark, d)[0])
-    return c.groupBy("image", "comp").agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"))
+    s = Mk.region_sizes(P.components(_masks(spark, d)[0]))
+    return s.select("image", "comp", F.col("x0").alias("x"), F.col("y0").alias("y"), (F.col("x1") - F.col("x0") + 1).alias("w"), (F.col("y1") - F.col("y0") + 1).alias("h"))
 
 
 @query(
@@ -135,36 +117,32 @@ def mask_hysteresis(spark: SparkSession, d: str) -> DataFrame:
 @query(V.with_views("pixels", "AND q AS (SELECT image, quantile_cont(v1, 0.01) AS q1, quantile_cont(v2, 0.01) AS q2 FROM pixels GROUP BY image) SELECT image, x, y, (v1 > q1 OR v2 > q2) AS tissue FROM pixels JOIN q USING (image)"))
 def tissue_mask_multichannel(spark: SparkSession, d: str) -> DataFrame:
     p = V.pixels(spark, d)
-    q = p.groupBy("image").agg(F.percentile("v1", 0.01).alias("q1"), F.percentile("v2", 0.01).alias("q2"))
-    return p.join(q, "image").select("image", "x", "y", ((F.col("v1") > F.col("q1")) | (F.col("v2") > F.col("q2"))).alias("tissue"))
+    mask = Mk.tissue_multichannel(p, ["v1", "v2"]).withColumn("tissue", F.lit(True))
+    return p.select("image", "x", "y").join(mask, ["image", "x", "y"], "left").fillna(False, ["tissue"])
 
 
-@query(V.with_views("pixels", "SELECT x, y, count(*) AS n_images, (count(*) = 10) AS in_all FROM pixels WHERE v1 > 5 GROUP BY x, y"))
+@query(V.with_views("pixels", "SELECT x, y, count(*) AS n_images, (count(*) = (SELECT count(DISTINCT image) FROM pixels WHERE v1 > 5)) AS in_all FROM pixels WHERE v1 > 5 GROUP BY x, y"))
 def crop_mask_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Of each pixel position, the number of images with tissue there, and whether all have."""
-    c = V.pixels(spark, d).where("v1 > 5").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n_images"))
-    return c.withColumn("in_all", F.col("n_images") == 10)
+    return P.coverage(V.pixels(spark, d).where("v1 > 5"))
 
 
 @query(V.with_views("pixels", "SELECT min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM (SELECT x, y FROM pixels WHERE v1 > 2 GROUP BY x, y HAVING count(*) >= 8)"))
 def non_rigid_region(spark: SparkSession, d: str) -> DataFrame:
     """Bounding box of the pixels that most images cover."""
-    c = V.pixels(spark, d).where("v1 > 2").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where("n >= 8")
-    return c.agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"))
+    return P.bounding_box(P.coverage(V.pixels(spark, d).where("v1 > 2")).where("n_images >= 8"))
 
 
 @query(V.with_views("pixels", "SELECT image, x, y, CASE WHEN v2 > 100 THEN v1 ELSE 0 END AS masked, CASE WHEN v1 > 0 AND v2 > 0 THEN 2 WHEN v1 > 0 OR v2 > 0 THEN 1 ELSE 0 END AS overlap FROM pixels"))
 def mask_applied(spark: SparkSession, d: str) -> DataFrame:
     p = V.pixels(spark, d)
-    inside = F.when(F.col("v2") > 100, F.col("v1")).otherwise(0)
-    return p.select("image", "x", "y", inside.alias("masked"), ((F.col("v1") > 0).cast("int") + (F.col("v2") > 0).cast("int")).alias("overlap"))
+    return p.select("image", "x", "y", P.applied_mask(F.col("v1"), F.col("v2") > 100).alias("masked"), P.overlap(F.col("v1") > 0, F.col("v2") > 0).alias("overlap"))
 
 
 @query(V.with_views("pixels", "SELECT image, count(*) AS n, min(v1) AS lo, max(v1) AS hi, (min(v1) = max(v1)) AS is_empty, max(x) + 1 AS w, max(y) + 1 AS h FROM pixels GROUP BY image"))
 def image_shapes(spark: SparkSession, d: str) -> DataFrame:
     """Sizes of images, and which are empty: of one value only."""
-    g = V.pixels(spark, d).groupBy("image").agg(F.count(F.lit(1)).alias("n"), F.min("v1").alias("lo"), F.max("v1").alias("hi"), (F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    return g.withColumn("is_empty", F.col("lo") == F.col("hi"))
+    return P.shapes(V.pixels(spark, d), "v1")
 
 
 HIST = "hist AS (SELECT image, v, n, sum(n) OVER (PARTITION BY image ORDER BY v)::DOUBLE / sum(n) OVER (PARTITION BY image) AS upto FROM (SELECT image, {0} AS v, count(*) AS n FROM pixels GROUP BY image, {0}))"
@@ -183,10 +161,7 @@ def histograms(spark: SparkSession, d: str) -> DataFrame:
 )
 def pooled_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Of the pooled histogram of all images, the number of levels up to given percentages, and the mean."""
-    h = V.pixels(spark, d).groupBy(F.col("v1").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy().orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(Window.partitionBy())
-    c = h.select("v", "n", upto.alias("upto")).select("*", F.explode(F.array(*[F.lit(q) for q in (1, 5, 95, 99)])).alias("percent"))
-    return c.groupBy("percent").agg(F.count_if(F.col("upto") <= F.col("percent") / 100.0).alias("levels"), F.round(F.sum(F.col("v") * F.col("n")) / F.sum("n"), 6).alias("mean"))
+    return P.pooled_statistics(V.pixels(spark, d), "v1").select("percent", "levels", R("mean"))
 
 
 @query(V.with_views("pixels", "AND " + HIST.format("v1") + ", " + HIST.format("v2").replace("hist AS", "ref AS", 1) + " SELECT s.image, s.v, (SELECT min(r.v) FROM ref r WHERE r.image = s.image AND r.upto >= s.upto) AS matched FROM hist s"))
@@ -216,15 +191,12 @@ def normalised_mutual_information(spark: SparkSession, d: str) -> DataFrame:
 @query(V.with_views("pixels", "AND t AS (SELECT image, floor((v1 - min(v1) OVER w)::DOUBLE / nullif(max(v1) OVER w - min(v1) OVER w, 0) * 16 * (1 - 1e-9))::INT AS p, floor((v2 - min(v2) OVER w)::DOUBLE / nullif(max(v2) OVER w - min(v2) OVER w, 0) * 16 * (1 - 1e-9))::INT AS q FROM pixels WINDOW w AS (PARTITION BY image)) SELECT image, p, q, count(*) AS n FROM t GROUP BY GROUPING SETS ((image, p, q), (image, p), (image, q))"))
 def joint_histogram(spark: SparkSession, d: str) -> DataFrame:
     """Joint histogram of two bands with both margins; the margins have a null for the other band."""
-    b = lambda c: F.floor(F.try_divide((F.col(c) - F.min(c).over(_by())).cast("double"), (F.max(c).over(_by()) - F.min(c).over(_by())).cast("double")) * 16 * (1 - 1e-9)).cast("int")
-    t = V.pixels(spark, d).select("image", b("v1").alias("p"), b("v2").alias("q"))
-    return t.groupingSets([["image", "p", "q"], ["image", "p"], ["image", "q"]], "image", "p", "q").agg(F.count(F.lit(1)).alias("n"))
+    return P.joint_histogram(V.pixels(spark, d), "v1", "v2", 16)
 
 
 @query(V.with_views("pixels", "SELECT image, round(avg((v1 - v2) * (v1 - v2)), 6) AS mse, round(avg((v1 - v2) * (v1 - v2)) FILTER (WHERE v2 > 100), 6) AS masked_mse FROM pixels GROUP BY image"))
 def mean_squared_error(spark: SparkSession, d: str) -> DataFrame:
-    e = (F.col("v1") - F.col("v2")) * (F.col("v1") - F.col("v2"))
-    return V.pixels(spark, d).groupBy("image").agg(F.round(F.avg(e), 6).alias("mse"), F.round(F.avg(F.when(F.col("v2") > 100, e)), 6).alias("masked_mse"))
+    return P.mean_squared_error(V.pixels(spark, d), "v1", "v2", F.col("v2") > 100).select("image", R("mse"), R("masked_mse"))
 
 
 @query(
@@ -236,13 +208,7 @@ e AS (SELECT image, v, round(c::DOUBLE * (tc - c) * pow(s::DOUBLE / c - (ts - s)
 )
 def otsu_threshold(spark: SparkSession, d: str) -> DataFrame:
     """The value that parts an image's histogram with the largest variance between both sides."""
-    h = V.pixels(spark, d).groupBy("image", F.col("v1").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    upto = _by().orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    vn = F.col("v") * F.col("n")
-    r = h.select("image", "v", F.sum("n").over(upto).alias("c"), F.sum(vn).over(upto).alias("s"), F.sum("n").over(_by()).alias("tc"), F.sum(vn).over(_by()).alias("ts")).where("tc > c")
-    gap = F.col("s") / F.col("c") - (F.col("ts") - F.col("s")) / (F.col("tc") - F.col("c"))
-    e = r.select("image", "v", F.round(F.col("c").cast("double") * (F.col("tc") - F.col("c")) * F.pow(gap, 2) / (F.col("tc").cast("double") * F.col("tc")), 6).alias("between_var"))
-    return e.groupBy("image").agg(F.max(F.struct("between_var", (-F.col("v")).alias("back"))).alias("m")).select("image", (-F.col("m.back")).alias("threshold"), F.col("m.between_var").alias("between_var"))
+    return P.otsu(V.pixels(spark, d), "v1")
 
 
 @query(
@@ -255,24 +221,17 @@ SELECT image, arg_max(v, (d, -v)) AS threshold, max(d) AS distance FROM e GROUP
 )
 def unimodal_threshold(spark: SparkSession, d: str) -> DataFrame:
     """The corner of a histogram: farthest from the line from its peak to its last value."""
-    h = V.pixels(spark, d).groupBy("image", F.col("v1").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    p = h.groupBy("image").agg(F.max(F.struct("n", (-F.col("v")).alias("b"))).alias("peak"), F.max(F.struct("v", "n")).alias("last"))
-    p = p.select("image", (-F.col("peak.b")).alias("v0"), F.col("peak.n").alias("n0"), F.col("last.v").alias("v9"), F.col("last.n").alias("n9"))
-    f = lambda c: F.col(c).cast("double")
-    gap = F.abs((f("n9") - f("n0")) * f("v") - (f("v9") - f("v0")) * f("n") + f("v9") * f("n0") - f("n9") * f("v0")) / F.sqrt(F.pow(f("n9") - f("n0"), 2) + F.pow(f("v9") - f("v0"), 2))
-    e = h.join(p, "image").where("v >= v0 AND v9 > v0").select("image", "v", F.round(gap, 6).alias("d"))
-    return e.groupBy("image").agg(F.max(F.struct("d", (-F.col("v")).alias("b"))).alias("m")).select("image", (-F.col("m.b")).alias("threshold"), F.col("m.d").alias("distance"))
+    return P.unimodal_threshold(V.pixels(spark, d), "v1")
 
 
 @query(V.with_views("pixels", "SELECT image, (x // 2)::INT AS x, (y // 2)::INT AS y, round(avg(v1), 6) AS v1, round(avg(v2), 6) AS v2 FROM pixels GROUP BY image, x // 2, y // 2"))
 def downsampled(spark: SparkSession, d: str) -> DataFrame:
-    g = V.pixels(spark, d).groupBy("image", F.expr("cast(x div 2 as int)").alias("x"), F.expr("cast(y div 2 as int)").alias("y"))
-    return g.agg(F.round(F.avg("v1"), 6).alias("v1"), F.round(F.avg("v2"), 6).alias("v2"))
+    return P.downsampled(V.pixels(spark, d), ["v1", "v2"]).select("image", "x", "y", R("v1"), R("v2"))
 
 
 @query(V.with_views("pixels", "SELECT image, x - 8 AS x, y - 2 AS y, v1 FROM pixels WHERE x >= 8 AND x < 24 AND y >= 2 AND y < 3 + 17"))
 def cropped(spark: SparkSession, d: str) -> DataFrame:
-    return V.pixels(spark, d).where("x >= 8 AND x < 24 AND y >= 2 AND y < 20").selectExpr("image", "x - 8 as x", "y - 2 as y", "v1")
+    return P.cropped(V.pixels(spark, d).select("image", "x", "y", "v1"), 8, 2, 16, 18)
 
 
 @query(
@@ -284,22 +243,17 @@ SELECT image, hue, n, row_number() OVER (PARTITION BY image ORDER BY n DESC, hue
 )
 def dominant_hues(spark: SparkSession, d: str) -> DataFrame:
     """Local peaks of an image's histogram of hues, the most frequent first."""
-    b = V.pixels(spark, d).groupBy("image", F.floor(F.col("v2") / 16).cast("int").alias("hue")).agg(F.count(F.lit(1)).alias("n"))
-    w = _by().orderBy("hue")
-    peaks = b.withColumns({"p": F.lag("n").over(w), "q": F.lead("n").over(w)}).where("n > coalesce(p, 0) AND n >= coalesce(q, 0)")
-    return peaks.select("image", "hue", "n", F.row_number().over(_by().orderBy(F.desc("n"), "hue")).alias("rank"))
+    return P.histogram_peaks(V.pixels(spark, d), "v2", 16)
 
 
 @query(V.with_views("pixels", "SELECT x, y, round(sum(v1 * r), 9) AS r, round(sum(v1 * g), 9) AS g FROM (SELECT x, y, v1, v1 / nullif(sum(v1) OVER (PARTITION BY x, y), 0) * (image % 3) AS r, v1 / nullif(sum(v1) OVER (PARTITION BY x, y), 0) * (image % 2) AS g FROM pixels) GROUP BY x, y"))
 def blended_colours(spark: SparkSession, d: str) -> DataFrame:
     """Colours of images laid over each other, each in proportion to its part of the pixel's sum."""
-    part = F.try_divide(F.col("v1").cast("double"), F.sum("v1").over(Window.partitionBy("x", "y")).cast("double"))
-    p = V.pixels(spark, d).select("x", "y", "v1", (part * (F.col("image") % 3)).alias("r"), (part * (F.col("image") % 2)).alias("g"))
-    return p.groupBy("x", "y").agg(F.round(F.sum(F.col("v1") * F.col("r")), 9).alias("r"), F.round(F.sum(F.col("v1") * F.col("g")), 9).alias("g"))
+    b = P.blended(V.pixels(spark, d), "v1", [F.col("image") % 3, F.col("image") % 2])
+    return b.select("x", "y", F.round("c0", 9).alias("r"), F.round("c1", 9).alias("g"))
 
 
 @query(V.with_views("pixels", "SELECT image, arg_min((x, y)::VARCHAR, (v1 + v2, y, x)) AS at, min(v1 + v2) AS darkest FROM pixels GROUP BY image"))
 def background_pixel(spark: SparkSession, d: str) -> DataFrame:
     """The pixel of least summed intensity, the first of equals."""
-    m = V.pixels(spark, d).groupBy("image").agg(F.min(F.struct((F.col("v1") + F.col("v2")).alias("s"), "y", "x")).alias("m"))
-    return m.select("image", F.format_string("(%d, %d)", "m.x", "m.y").alias("at"), F.col("m.s").alias("darkest"))
+    return P.background_pixel(V.pixels(spark, d), ["v1", "v2"]).select("image", F.format_string("(%d, %d)", "x", "y").alias("at"), "darkest")
\ No newline at end of file

@@ -40,9 +40,11 @@ def edit_distances(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", N.edit_distance(F.col("p_brand"), F.col("p_type")).alias("d"))
 
 
-@query("SELECT o_orderkey, round(CASE WHEN s < 60 THEN s WHEN s < 3600 THEN s / 60 ELSE s / 3600 END, 3) AS value, CASE WHEN s < 60 THEN 'seconds' WHEN s < 3600 THEN 'minutes' ELSE 'hours' END AS unit FROM (SELECT o_orderkey, o_orderkey % 7919 * 1.0::DOUBLE + 0.123 AS s FROM orders)")
+@query("SELECT user_id, round(CASE WHEN s < 60 THEN s WHEN s < 3600 THEN s / 60 ELSE s / 3600 END, 3) AS value, CASE WHEN s < 60 THEN 'seconds' WHEN s < 3600 THEN 'minutes' ELSE 'hours' END AS unit FROM (SELECT user_id, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0::DOUBLE AS s FROM events GROUP BY user_id)")
 def elapsed_times(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select("o_orderkey", N.elapsed((F.col("o_orderkey") % 7919) * F.lit(1.0) + 0.123).alias("e")).select("o_orderkey", "e.*")
+    """The time between a user's first and last event."""
+    s = table(spark, d, "events").groupBy("user_id").agg(((F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))) / 1e6).alias("s"))
+    return s.select("user_id", N.elapsed(F.col("s")).alias("e")).select("user_id", "e.*")
 
 
 @query("SELECT p_partkey, '#' || lpad(printf('%x', p_partkey * 7919 % 16777216), 6, '0') AS hex, (p_partkey * 7919 % 16777216 // 65536)::INT AS r, (p_partkey * 7919 % 65536 // 256)::INT AS g, (p_partkey * 7919 % 256)::INT AS b FROM part")
@@ -51,18 +53,11 @@ def hex_colours(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", code.alias("hex")).select("p_partkey", "hex", N.hex_to_rgb(F.col("hex")).alias("c")).select("p_partkey", "hex", "c.*")
 
 
-@query("SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey)::INT AS place FROM supplier WHERE s_suppkey < 60")
+@query("SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey)::INT AS place FROM supplier")
 def natural_order(spark: SparkSession, d: str) -> DataFrame:
     """Names of which the numbers aren't padded, in the order of the numbers."""
-    s = table(spark, d, "supplier").where("s_suppkey < 60").select("s_suppkey", N.natural_key(F.concat(F.lit("slide_"), F.col("s_suppkey").cast("string"), F.lit(".tif"))).alias("key"))
-    return s.select("s_suppkey", F.row_number().over(Window.orderBy("key")).alias("place"))
-
-
-@query("SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey)::INT AS place FROM supplier")
-def natural_order_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same over all names."""
     s = table(spark, d, "supplier").select("s_suppkey", N.natural_key(F.concat(F.lit("slide_"), F.col("s_suppkey").cast("string"), F.lit(".tif"))).alias("key"))
-    return s.select("s_suppkey", F.row_number().over(Window.orderBy("key")).alias("place"))
+    return T.ranked(s, "key").select("s_suppkey", (F.col("place") + 1).cast("int").alias("place"))
 
 
 @query("SELECT p_partkey, p_name || CASE WHEN n > 1 THEN '_' || lpad((k - 1)::VARCHAR, length(n::VARCHAR)::INT, '0') ELSE '' END AS name FROM (SELECT p_partkey, p_brand AS p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k, count(*) OVER (PARTITION BY p_brand) AS n FROM part)")
@@ -109,12 +104,7 @@ def level_for_size(spark: SparkSession, d: str) -> DataFrame:
 @query(V.with_views("slide_levels", "SELECT l.slide, l.level, round(0.25::DOUBLE * b.w / l.w, 9) AS px_x, round(0.25::DOUBLE * b.h / l.h, 9) AS px_y, round(100 * 1 / (0.25::DOUBLE * b.w / l.w), 9) AS px_per_100um, round(l.w::DOUBLE * l.h * 3 * 16 / 8 / 1073741824, 9) AS memory_gb FROM slide_levels l JOIN slide_levels b ON b.slide = l.slide AND b.level = 0"))
 def physical_sizes(spark: SparkSession, d: str) -> DataFrame:
     """Pixel sizes of all levels in micrometres, pixels of a length, and memory of three bands of 16 bits."""
-    s = V.slide_levels(spark, d)
-    base = s.where("level = 0").selectExpr("slide", "w as w0", "h as h0")
-    px = F.lit(0.25) * F.col("w0") / F.col("w")
-    return s.join(base, "slide").select(
-        "slide", "level", F.round(px, 9).alias("px_x"), F.round(F.lit(0.25) * F.col("h0") / F.col("h"), 9).alias("px_y"), F.round(100 * 1 / px, 9).alias("px_per_100um"), F.round(F.col("w").cast("double") * F.col("h") * 3 * 16 / 8 / 1073741824, 9).alias("memory_gb")
-    )
+    return T.sizes_at_levels(V.slide_levels(spark, d), F.lit(0.25), 3, 16).select("slide", "level", *[F.round(c, 9).alias(c) for c in ("px_x", "px_y", "px_per_100um", "memory_gb")])
 
 
 @query(
@@ -132,23 +122,23 @@ def flattened_pyramid(spark: SparkSession, d: str) -> DataFrame:
 @query(
     V.with_views(
         "slide_levels",
-        """AND s AS (SELECT slide, w, h, (w - 1) // 512 AS nx, (h - 1) // 512 AS ny FROM slide_levels WHERE level = 1), t AS (SELECT slide, w, h, nx, unnest(range(0, ny + 1))::INT AS ty FROM s), u AS (SELECT slide, w, h, ty, unnest(range(0, nx + 1))::INT AS tx FROM t)
-SELECT slide, tx, ty, tx * 512 AS x, ty * 512 AS y, least(512, w - tx * 512) AS w, least(512, h - ty * 512) AS h FROM u""",
+        """AND s AS (SELECT slide, level, w, h, (w - 1) // 512 AS nx, (h - 1) // 512 AS ny FROM slide_levels), t AS (SELECT slide, level, w, h, nx, unnest(range(0, ny + 1))::INT AS ty FROM s), u AS (SELECT slide, level, w, h, ty, unnest(range(0, nx + 1))::INT AS tx FROM t)
+SELECT slide, level, tx, ty, tx * 512 AS x, ty * 512 AS y, least(512, w - tx * 512) AS w, least(512, h - ty * 512) AS h FROM u""",
     )
 )
 def tile_grid(spark: SparkSession, d: str) -> DataFrame:
-    return T.grid_boxes(V.slide_levels(spark, d).where("level = 1"), 512, 512)
+    return T.grid_boxes(V.slide_levels(spark, d), 512, 512, keys=("slide", "level"))
 
 
 @query(
     V.with_views(
         "slide_levels",
-        """AND s AS (SELECT slide, w, h, (w - 1) // 512 - 1 AS nx, (h - 1) // 512 - 1 AS ny FROM slide_levels WHERE level = 1), t AS (SELECT slide, w, h, nx, unnest(range(0, ny + 1))::INT AS ty FROM s WHERE nx >= 0 AND ny >= 0), u AS (SELECT slide, w, h, ty, unnest(range(0, nx + 1))::INT AS tx FROM t)
-SELECT slide, tx, ty, tx * 512 AS x, ty * 512 AS y, least(512, w - tx * 512) AS w, least(512, h - ty * 512) AS h FROM u""",
+        """AND s AS (SELECT slide, level, w, h, (w - 1) // 512 - 1 AS nx, (h - 1) // 512 - 1 AS ny FROM slide_levels), t AS (SELECT slide, level, w, h, nx, unnest(range(0, ny + 1))::INT AS ty FROM s WHERE nx >= 0 AND ny >= 0), u AS (SELECT slide, level, w, h, ty, unnest(range(0, nx + 1))::INT AS tx FROM t)
+SELECT slide, level, tx, ty, tx * 512 AS x, ty * 512 AS y, least(512, w - tx * 512) AS w, least(512, h - ty * 512) AS h FROM u""",
     )
 )
 def tile_grid_exclusive(spark: SparkSession, d: str) -> DataFrame:
-    return T.grid_boxes(V.slide_levels(spark, d).where("level = 1"), 512, 512, inclusive=False)
+    return T.grid_boxes(V.slide_levels(spark, d), 512, 512, inclusive=False, keys=("slide", "level"))
 
 
 @query(V.with_views("slide_levels", "AND p AS (SELECT slide, level, w, unnest([16, 32, 64, 128, 256, 512]) AS t FROM slide_levels) SELECT slide, level, CASE WHEN any_value(w) >= 512 THEN 512 ELSE arg_min(t, (ceil(w / t::DOUBLE) * t - w, -t)) END::INT AS tile FROM p GROUP BY slide, level"))
@@ -164,17 +154,14 @@ def merged_channels(spark: SparkSession, d: str) -> DataFrame:
 @query(V.with_views("channels", "SELECT slide, pos, CASE WHEN name IS NULL OR name IN ('None', 'red') THEN 'C' || (pos + 1) ELSE name END AS name FROM channels"))
 def channel_names(spark: SparkSession, d: str) -> DataFrame:
     """Names of channels, with default ones in place of those that say nothing."""
-    c = V.channels(spark, d)
-    bare = F.col("name").isNull() | F.col("name").isin("None", "red")
-    return c.select("slide", "pos", F.when(bare, F.concat(F.lit("C"), (F.col("pos") + 1).cast("string"))).otherwise(F.col("name")).alias("name"))
+    return T.named_channels(V.channels(spark, d), F.col("name").isin("None", "red")).select("slide", "pos", "name")
 
 
-@query(V.with_views("channels", "SELECT slide, count(*) AS n, (count(*) FILTER (WHERE name NOT IN ('red', 'green', 'blue', 'ivory')))::BIGINT AS missing, (count(*) FILTER (WHERE name NOT IN ('red', 'green', 'blue', 'ivory'))) = 0 AS coloured FROM channels GROUP BY slide"))
+@query(V.with_views("channels", "AND colours AS (SELECT DISTINCT name FROM channels WHERE length(name) <= 6) SELECT slide, count(*) AS n, (count(*) FILTER (WHERE name NOT IN (SELECT name FROM colours)))::BIGINT AS missing, (count(*) FILTER (WHERE name NOT IN (SELECT name FROM colours))) = 0 AS coloured FROM channels GROUP BY slide"))
 def colormap_check(spark: SparkSession, d: str) -> DataFrame:
-    """Whether a map of colours has all channels of a slide; one without goes uncoloured."""
-    known = F.col("name").isin("red", "green", "blue", "ivory")
-    c = V.channels(spark, d).groupBy("slide").agg(F.count(F.lit(1)).alias("n"), F.count_if(~known).alias("missing"))
-    return c.withColumn("coloured", F.col("missing") == 0)
+    """Whether a map of colours, here of the short names, has all channels of a slide; one without goes uncoloured."""
+    c = V.channels(spark, d)
+    return T.check_colours(c, c.where(F.length("name") <= 6).select("name"))
 
 
 TYPES = "(VALUES ('uint8', 'short', 8), ('int8', 'byte', 8), ('uint16', 'int', 16), ('int16', 'short', 16), ('uint32', 'long', 32), ('int32', 'int', 32), ('float', 'float', 32), ('double', 'double', 64)) t(pixel, spark_type, bits)"
@@ -194,15 +181,13 @@ def processors(spark: SparkSession, d: str) -> DataFrame:
     """The processor of each image: one asked for by name, or its type's."""
     rgb = F.col("p_size") % 2 == 0
     asked = F.when(F.col("p_partkey") % 5 == 0, "custom")
-    return table(spark, d, "part").select("p_partkey", rgb.alias("is_rgb"), F.when(rgb, "brightfield").otherwise("fluorescence").alias("image_type"), F.coalesce(asked, F.when(rgb, "od").otherwise("channel")).alias("processor"))
+    return table(spark, d, "part").select("p_partkey", rgb.alias("is_rgb"), T.image_type(rgb).alias("image_type"), T.processor_for(rgb, asked).alias("processor"))
 
 
 @query(V.with_views("slide_levels", "SELECT slide, level, w, h, (min(greatest(w, h)) OVER (PARTITION BY level))::INT AS most, greatest(1, round(w * (min(greatest(w, h)) OVER (PARTITION BY level))::DOUBLE / greatest(w, h)))::INT AS new_w FROM slide_levels"))
 def common_size(spark: SparkSession, d: str) -> DataFrame:
     """Images shrunk to the smallest of their largest sides."""
-    side = F.greatest("w", "h")
-    least = F.min(side).over(Window.partitionBy("level"))
-    return V.slide_levels(spark, d).select("slide", "level", "w", "h", least.alias("most"), F.greatest(F.lit(1), F.round(F.col("w") * least.cast("double") / side).cast("int")).alias("new_w"))
+    return T.common_size(V.slide_levels(spark, d)).drop("new_h")
 
 
 @query(V.with_views("slide_levels", "SELECT slide, level, (h // 2 * w + w // 3)::BIGINT AS flat, ((h // 2 * w + w // 3) // w)::INT AS row, ((h // 2 * w + w // 3) % w)::INT AS col FROM slide_levels"))
@@ -211,19 +196,6 @@ def flat_index(spark: SparkSession, d: str) -> DataFrame:
     return s.selectExpr("slide", "level", "flat", "cast(flat div w as int) as row", "cast(flat % w as int) as col")
 
 
-@query(
-    V.with_views(
-        "pixels",
-        """AND t AS (SELECT image, tile, 12 * tile AS tx, 16 AS tw, x, y, v1 + tile AS v FROM pixels, (VALUES (0), (1)) k(tile) WHERE x >= 12 * tile AND x < 12 * tile + 16 AND y < 20)
-SELECT image, x, y, round(sum(least(least(x - tx, tx + tw - 1 - x) + 1, least(y, 19 - y) + 1) * v) / sum(least(least(x - tx, tx + tw - 1 - x) + 1, least(y, 19 - y) + 1)), 6) AS v FROM t GROUP BY image, x, y""",
-    )
-)
-def stitched_tiles(spark: SparkSession, d: str) -> DataFrame:
-    p = V.pixels(spark, d).where("y < 20").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("tile")).withColumn("tx", 12 * F.col("tile")).where("x >= tx AND x < tx + 16")
-    t = p.select("image", "tile", "tx", F.lit(0).alias("ty"), F.lit(16).alias("tw"), F.lit(20).alias("th"), "x", "y", (F.col("v1") + F.col("tile")).alias("v"))
-    return T.stitch(t).select("image", "x", "y", F.round("v", 6).alias("v"))
-
-
 @query(
     V.with_views(
         "pixels",
@@ -235,7 +207,7 @@ g AS (SELECT image, x, y, v, least(least(px, tw - 1 - px), least(py, th - 1 - py
 SELECT image, x, y, round(sum(weight * v) / sum(weight), 6) AS v FROM g GROUP BY image, x, y""",
     )
 )
-def stitched_tiles_all(spark: SparkSession, d: str) -> DataFrame:
+def stitched_tiles(spark: SparkSession, d: str) -> DataFrame:
     """Whole images from tiles of 16 x 20 pixels that share 4 with the next; the last ones end with the image."""
     p = V.pixels(spark, d)
     p = p.join(F.broadcast(p.groupBy("image").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))), "image")
@@ -248,9 +220,5 @@ def stitched_tiles_all(spark: SparkSession, d: str) -> DataFrame:
 @query(V.with_views("transforms", "AND v AS (SELECT slide, k, a * k AS x, b * k * k AS y FROM transforms, (SELECT unnest(range(0, 12)) AS k)), s AS (SELECT slide, k // 4 AS win, k, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py FROM v WINDOW w AS (PARTITION BY slide, k // 4 ORDER BY k)), g AS (SELECT slide, win, sum(sqrt(pow(x - px, 2) + pow(y - py, 2))) AS len, sqrt(pow(arg_max(x, k) - arg_min(x, k), 2) + pow(arg_max(y, k) - arg_min(y, k), 2)) AS chord FROM s GROUP BY ALL) SELECT slide, round((count(*) - 1) / sum(len) * sum(len / chord - 1), 6) AS tortuosity FROM g GROUP BY slide"))
 def polygon_tortuosity(spark: SparkSession, d: str) -> DataFrame:
     """How much longer a line is than the chords of its windows of four vertices."""
-    v = V.transforms(spark, d).selectExpr("slide", "a", "b", "explode(sequence(0, 11)) as k").selectExpr("slide", "k", "k div 4 as win", "a * k as x", "b * k * k as y")
-    w = Window.partitionBy("slide", "win").orderBy("k")
-    step = F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("y") - F.lag("y").over(w), 2))
-    g = v.withColumn("step", step).groupBy("slide", "win").agg(F.sum("step").alias("len"), F.min_by(F.struct("x", "y"), "k").alias("p"), F.max_by(F.struct("x", "y"), "k").alias("q"))
-    chord = F.sqrt(F.pow(F.col("q.x") - F.col("p.x"), 2) + F.pow(F.col("q.y") - F.col("p.y"), 2))
-    return g.groupBy("slide").agg(F.round((F.count(F.lit(1)) - 1) / F.sum("len") * F.sum(F.col("len") / chord - 1), 6).alias("tortuosity"))
+    v = V.transforms(spark, d).selectExpr("slide", "a", "b", "explode(sequence(0, 11)) as k").selectExpr("slide", "k", "a * k as x", "b * k * k as y")
+    return T.tortuosity(v).select("slide", F.round("tortuosity", 6).alias("tortuosity"))
\ No newline at end of file

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import affine as A
+from tilewright.operators import fields as D
+from tilewright.operators import tiles as T
 from tilewright.operators import warp as W
 from tilewright.plans import views as V
 from tilewright.plans.registry import ORACLE_SQL, QUERIES, Query, query
@@ -120,26 +122,15 @@ def warped_area(spark: SparkSession, d: str, transforms: Query = V.transforms) -
 @query(
     V.with_views(
         "transforms slide_levels",
-        f"""AND c AS (SELECT slide, a, b, tx, ty, unnest([0, w, w, 0])::DOUBLE AS x, unnest([0, 0, h, h])::DOUBLE AS y FROM slide_levels JOIN transforms USING (slide) WHERE level = 0),
-q AS (SELECT slide, {INV[0]} AS px, {INV[1]} AS py FROM c)
-SELECT slide, ceil(round(greatest(max(px), 0) - least(min(px), 0), 6))::BIGINT AS out_w, ceil(round(greatest(max(py), 0) - least(min(py), 0), 6))::BIGINT AS out_h FROM q GROUP BY slide""",
+        f"""AND c AS (SELECT slide, level, a, b, tx, ty, unnest([0, w, w, 0])::DOUBLE AS x, unnest([0, 0, h, h])::DOUBLE AS y FROM slide_levels JOIN transforms USING (slide)),
+q AS (SELECT slide, level, {INV[0]} AS px, {INV[1]} AS py FROM c)
+SELECT slide, level, ceil(round(greatest(max(px), 0) - least(min(px), 0), 6))::BIGINT AS out_w, ceil(round(greatest(max(py), 0) - least(min(py), 0), 6))::BIGINT AS out_h FROM q GROUP BY slide, level""",
     )
 )
 def warped_canvas(spark: SparkSession, d: str, transforms: Query = V.transforms) -> DataFrame:
-    s = V.slide_levels(spark, d).where("level = 0").join(transforms(spark, d).select("slide", "m"), "slide")
-    return W.warped_canvas(s)
-
-
-@query(
-    V.with_views(
-        "pixels",
-        """AND img AS (SELECT DISTINCT image FROM pixels), g AS (SELECT image, x, y, floor(cos(0.1::DOUBLE)*x - sin(0.1::DOUBLE)*y + 1.5 + 0.5)::INT AS sx, floor(sin(0.1::DOUBLE)*x + cos(0.1::DOUBLE)*y - 0.75 + 0.5)::INT AS sy
-  FROM img, (SELECT unnest(range(0, 32))::INT AS x), (SELECT unnest(range(0, 24))::INT AS y))
-SELECT g.image, g.x, g.y, coalesce(p.v1, 0) AS v1, coalesce(p.v2, 0) AS v2 FROM g LEFT JOIN pixels p ON p.image = g.image AND p.x = g.sx AND p.y = g.sy""",
-    )
-)
-def warp_raster_nearest(spark: SparkSession, d: str) -> DataFrame:
-    return W.warp_raster_nearest(V.pixels(spark, d), A.similarity(F.lit(0.1), F.lit(1.0), F.lit(1.5), F.lit(-0.75)), 32, 24, ["v1", "v2"])
+    """The frames that the slides' levels need."""
+    s = V.slide_levels(spark, d).join(transforms(spark, d).select("slide", "m"), "slide")
+    return W.warped_canvas(s, ("slide", "level"))
 
 
 @query(
@@ -186,24 +177,23 @@ def points_in_regions(spark: SparkSession, d: str) -> DataFrame:
 )
 def point_bounds(spark: SparkSession, d: str) -> DataFrame:
     """Bounding boxes of points, clipped, and grown by a margin within an image 1000 wide."""
-    b = V.points(spark, d).groupBy("slide").agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"), F.max(F.least(F.greatest("x", F.lit(0.0)), F.lit(300.0))).alias("clipped_x"))
-    gx = F.greatest(F.col("x") - 10, F.lit(0.0))
-    return b.select("slide", R("x"), R("y"), R("w"), R("h"), R("clipped_x"), F.round(gx, 6).alias("grown_x"), F.round(F.least(F.col("w") + 20, 1000 - gx), 6).alias("grown_w"))
+    p = V.points(spark, d).withColumn("c", T.clipped(F.col("x"), F.col("y"), F.lit(300.0), F.lit(300.0)))
+    b = p.groupBy("slide").agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"), F.max("c.x").alias("clipped_x"))
+    b = b.withColumn("g", T.expanded_box(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.lit(10), F.lit(1000), F.lit(1000)))
+    return b.select("slide", R("x"), R("y"), R("w"), R("h"), R("clipped_x"), F.round("g.x", 6).alias("grown_x"), F.round("g.w", 6).alias("grown_w"))
 
 
 @query(V.with_views("transforms", "AND " + FIELD + " SELECT slide, gx * 2 + ox AS gx, gy * 2 + oy AS gy, round(dx * 2, 6) AS dx, round(dy * 2, 6) AS dy FROM field, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(ox, oy)"))
 def field_resized(spark: SparkSession, d: str) -> DataFrame:
     """A displacement field at twice the size: nearest values, with vectors scaled alike."""
-    o = F.explode(F.array(*[F.struct(F.lit(a).alias("ox"), F.lit(b).alias("oy")) for a in (0, 1) for b in (0, 1)])).alias("o")
-    return field(spark, d).select("slide", "gx", "gy", "dx", "dy", o).select("slide", (F.col("gx") * 2 + F.col("o.ox")).alias("gx"), (F.col("gy") * 2 + F.col("o.oy")).alias("gy"), F.round(F.col("dx") * 2, 6).alias("dx"), F.round(F.col("dy") * 2, 6).alias("dy"))
+    return D.scale(field(spark, d), 2, 2).select("slide", "gx", "gy", R("dx"), R("dy"))
 
 
 @query(V.with_views("transforms", "AND " + FIELD + " SELECT t.slide, x::INT AS gx, y::INT AS gy, round(coalesce(dx, 0), 6) AS dx, round(coalesce(dy, 0), 6) AS dy FROM transforms t, (SELECT unnest(range(0, 16)) AS x), (SELECT unnest(range(0, 14)) AS y) LEFT JOIN field f ON f.slide = t.slide AND f.gx = x - 3 AND f.gy = y - 2"))
 def field_padded(spark: SparkSession, d: str) -> DataFrame:
     """A field of a part of the frame in the whole frame, with zeros around."""
-    frame = V.transforms(spark, d).selectExpr("slide", "explode(sequence(0, 15)) as gx").selectExpr("slide", "gx", "explode(sequence(0, 13)) as gy")
-    own = field(spark, d).select("slide", (F.col("gx") + 3).alias("gx"), (F.col("gy") + 2).alias("gy"), "dx", "dy")
-    return frame.join(own, ["slide", "gx", "gy"], "left").select("slide", "gx", "gy", F.round(F.coalesce("dx", F.lit(0.0)), 6).alias("dx"), F.round(F.coalesce("dy", F.lit(0.0)), 6).alias("dy"))
+    frame = V.transforms(spark, d).select("slide", F.lit(16).alias("w"), F.lit(14).alias("h"), F.lit(3).alias("x"), F.lit(2).alias("y"))
+    return D.pad(field(spark, d), frame).select("slide", "gx", "gy", R("dx"), R("dy"))
 
 
 @query(V.with_views("transforms", "AND " + FIELD + " SELECT slide, round(avg(sqrt(dx*dx+dy*dy)), 6) AS mean_length, round(max(sqrt(dx*dx+dy*dy)), 6) AS max_length FROM field GROUP BY slide"))
@@ -222,10 +212,8 @@ def field_magnitude(spark: SparkSession, d: str) -> DataFrame:
 def crop_boxes(spark: SparkSession, d: str) -> DataFrame:
     """The part of a slide's frame that its crop policy keeps."""
     kind = F.expr("case slide % 3 when 0 then 'reference' when 1 then 'overlap' else 'all' end")
-    pick = lambda a, b, c: F.when(F.col("crop") == "reference", a).when(F.col("crop") == "overlap", b).otherwise(c).cast("int")
-    s = V.slide_levels(spark, d).withColumn("crop", kind)
-    side = lambda k: pick(F.col(k), F.expr(f"ceil({k} * 0.8)"), F.expr(f"ceil({k} * 1.25)")).alias(k)
-    return s.select("slide", "level", "crop", pick(F.lit(0), F.expr("floor(w * 0.1)"), F.lit(0)).alias("x"), side("w"), side("h"))
+    s = V.slide_levels(spark, d).withColumn("crop", kind).withColumn("b", T.crop_box(F.col("crop"), F.col("w"), F.col("h")))
+    return s.select("slide", "level", "crop", "b.x", "b.w", "b.h")
 
 
 @query(
@@ -236,7 +224,7 @@ g AS (SELECT image, x, y, floor(cos(0.1::DOUBLE)*x - sin(0.1::DOUBLE)*y + 1.5 +
 SELECT g.image, g.x, g.y, coalesce(p.v1, 0) AS v1, coalesce(p.v2, 0) AS v2 FROM g LEFT JOIN pixels p ON p.image = g.image AND p.x = g.sx AND p.y = g.sy""",
     )
 )
-def warp_raster_nearest_all(spark: SparkSession, d: str) -> DataFrame:
+def warp_raster_nearest(spark: SparkSession, d: str) -> DataFrame:
     """Whole images, in frames of their own size."""
     return W.warp_raster_nearest(V.pixels(spark, d), A.similarity(F.lit(0.1), F.lit(1.0), F.lit(1.5), F.lit(-0.75)), None, None, ["v1", "v2"])
 

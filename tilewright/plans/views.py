@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tilewright.operators.tiles import ranked
 from tilewright.session import table
 
 
@@ -22,19 +23,20 @@ def keypoints(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pixels(spark: SparkSession, d: str) -> DataFrame:
-    """(image, x, y, v1, v2): two bands of ten images 32 wide."""
+    """(image, x, y, v1, v2, v3): three bands of ten images 32 wide."""
     return table(spark, d, "events").select(
         (F.col("event_id") % 10).cast("int").alias("image"),
         F.expr("cast((event_id div 10) % 32 as int)").alias("x"),
         F.expr("cast((event_id div 10) div 32 as int)").alias("y"),
         F.expr("cast(floor(value) as int) % 256").alias("v1"),
         F.expr("cast(user_id % 256 as int)").alias("v2"),
+        F.expr("cast(cast(regexp_extract(props, '([0-9]+)', 1) as bigint) * 37 % 256 as int)").alias("v3"),
     )
 
 
 def transforms(spark: SparkSession, d: str) -> DataFrame:
-    """(slide, a, b, tx, ty, m): similarity transforms of eight slides."""
-    t = table(spark, d, "supplier").where("s_suppkey < 8").selectExpr(
+    """(slide, a, b, tx, ty, m): a similarity transform of each slide, as suppliers are."""
+    t = table(spark, d, "supplier").selectExpr(
         "cast(s_suppkey as int) as slide",
         "cos(0.1 * s_suppkey) * (1 + s_nationkey / 100.0D) as a",
         "sin(0.1 * s_suppkey) * (1 + s_nationkey / 100.0D) as b",
@@ -46,10 +48,10 @@ def transforms(spark: SparkSession, d: str) -> DataFrame:
 
 def all_transforms(spark: SparkSession, d: str) -> DataFrame:
     """(slide, a, b, tx, ty, m): a similarity transform of every slide of ``slide_levels``, by the suppliers in turn."""
-    s = table(spark, d, "supplier").select(F.row_number().over(Window.orderBy("s_suppkey")).alias("turn"), "s_suppkey", "s_nationkey", "s_acctbal")
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("slide"))
-    n = table(spark, d, "supplier").agg(F.count(F.lit(1)).alias("n"))
-    t = p.crossJoin(F.broadcast(n)).withColumn("turn", F.col("slide") % F.col("n") + 1).drop("n").join(s, "turn").selectExpr(
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("turn"), "s_suppkey", "s_nationkey", "s_acctbal")  # keys are dense from 0
+    n = s.count()
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("slide"), (F.col("p_partkey") % n).alias("turn"))
+    t = p.join(s, "turn").selectExpr(
         "slide",
         "cos(0.1 * s_suppkey) * (1 + s_nationkey / 100.0D) as a",
         "sin(0.1 * s_suppkey) * (1 + s_nationkey / 100.0D) as b",
@@ -61,7 +63,7 @@ def all_transforms(spark: SparkSession, d: str) -> DataFrame:
 
 def points(spark: SparkSession, d: str) -> DataFrame:
     """(slide, x, y): points on slides."""
-    return table(spark, d, "lineitem").selectExpr("cast(l_suppkey % 8 as int) as slide", "l_extendedprice / 100 as x", "20 * l_quantity as y")
+    return table(spark, d, "lineitem").selectExpr("cast(l_suppkey as int) as slide", "l_extendedprice / 100 as x", "20 * l_quantity as y")
 
 
 def slide_levels(spark: SparkSession, d: str) -> DataFrame:
@@ -72,8 +74,7 @@ def slide_levels(spark: SparkSession, d: str) -> DataFrame:
 
 def channels(spark: SparkSession, d: str) -> DataFrame:
     """(slide, stack_idx, pos, name): channels of slides, which share names."""
-    w = Window.orderBy("s_nationkey", "s_suppkey")
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("slide"), (F.row_number().over(w) - 1).alias("stack_idx"))
+    s = ranked(table(spark, d, "supplier").select("s_nationkey", "s_suppkey"), "s_nationkey", "s_suppkey").select(F.col("s_suppkey").alias("slide"), F.col("place").cast("int").alias("stack_idx"))
     p = table(spark, d, "part").selectExpr("p_partkey as slide", "posexplode(split(p_name, ' ')) as (pos, name)")
     return s.join(p, "slide").select("slide", "stack_idx", "pos", "name")
 
@@ -83,13 +84,13 @@ SQL = {
     "keypoints": """keypoints AS (SELECT label AS image, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INT AS kp,
       256 * (1 + embedding[1]::DOUBLE) AS x, 256 * (1 + embedding[2]::DOUBLE) AS y, embedding[3]::DOUBLE AS response, embedding::DOUBLE[] AS descr FROM embeddings)""",
     "pixels": """pixels AS (SELECT (event_id % 10)::INT AS image, ((event_id // 10) % 32)::INT AS x, ((event_id // 10) // 32)::INT AS y,
-      floor(value)::INT % 256 AS v1, (user_id % 256)::INT AS v2 FROM events)""",
+      floor(value)::INT % 256 AS v1, (user_id % 256)::INT AS v2, (regexp_extract(props, '([0-9]+)', 1)::BIGINT * 37 % 256)::INT AS v3 FROM events)""",
     "transforms": """transforms AS (SELECT s_suppkey::INT AS slide, cos(0.1 * s_suppkey) * (1 + s_nationkey / 100.0::DOUBLE) AS a,
-      sin(0.1 * s_suppkey) * (1 + s_nationkey / 100.0::DOUBLE) AS b, s_acctbal / 100 AS tx, 10.0::DOUBLE * s_nationkey AS ty FROM supplier WHERE s_suppkey < 8)""",
+      sin(0.1 * s_suppkey) * (1 + s_nationkey / 100.0::DOUBLE) AS b, s_acctbal / 100 AS tx, 10.0::DOUBLE * s_nationkey AS ty FROM supplier)""",
     "all_transforms": """transforms AS (SELECT p_partkey AS slide, cos(0.1 * s_suppkey) * (1 + s_nationkey / 100.0::DOUBLE) AS a,
       sin(0.1 * s_suppkey) * (1 + s_nationkey / 100.0::DOUBLE) AS b, s_acctbal / 100 AS tx, 10.0::DOUBLE * s_nationkey AS ty
       FROM part JOIN (SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS turn FROM supplier) ON turn = p_partkey % (SELECT count(*) FROM supplier))""",
-    "points": "points AS (SELECT (l_suppkey % 8)::INT AS slide, l_extendedprice / 100 AS x, 20 * l_quantity AS y FROM lineitem)",
+    "points": "points AS (SELECT l_suppkey::INT AS slide, l_extendedprice / 100 AS x, 20 * l_quantity AS y FROM lineitem)",
     "slide_levels": """slide_levels AS (SELECT slide, level, floor(w0 / pow(2, level))::INT AS w, floor(h0 / pow(2, level))::INT AS h FROM
       (SELECT p_partkey AS slide, 1000 + 100 * p_size AS w0, (1000 + p_partkey % 3000)::INT AS h0, unnest(range(0, 5))::INT AS level FROM part))""",
     "channels": """channels AS (SELECT s.slide, s.stack_idx, p.pos, p.name FROM
