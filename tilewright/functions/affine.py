@@ -49,9 +49,8 @@ def warp_rigid(m: Column, x: Column, y: Column) -> Column:
 
 def scaled(m: Column, sx: Column, sy: Column) -> Column:
     """S m S^-1: the matrix of the same motion of an image scaled by sx and sy."""
-    one, zero = F.lit(1.0), F.lit(0.0)
-    s = F.array(sx, zero, zero, zero, sy, zero, zero, zero, one)
-    return matmul(matmul(s, m), inverse(s))
+    at = lambda r, c: _at(m, r, c)
+    return F.array(at(0, 0), at(0, 1) * sx / sy, at(0, 2) * sx, at(1, 0) * sy / sx, at(1, 1), at(1, 2) * sy, at(2, 0) / sx, at(2, 1) / sy, at(2, 2))
 
 
 def similarity(rotation: Column, scale: Column, tx: Column, ty: Column) -> Column:
@@ -78,10 +77,8 @@ def reflection(flip_x: Column, flip_y: Column, w: Column, h: Column) -> Column:
 
 def rotation_about_centre(angle: Column, w: Column, h: Column) -> Column:
     """Rotation about the middle pixel."""
-    cx, cy = w / 2 - 0.5, h / 2 - 0.5
-    there, back = matrix(1, 0, cx, 0, 1, cy, 0, 0, 1), matrix(1, 0, -cx, 0, 1, -cy, 0, 0, 1)
-    turn = matrix(F.cos(angle), -F.sin(angle), 0, F.sin(angle), F.cos(angle), 0, 0, 0, 1)
-    return matmul(matmul(there, turn), back)
+    cx, cy, c, s = w / 2 - 0.5, h / 2 - 0.5, F.cos(angle), F.sin(angle)
+    return matrix(c, -s, cx - c * cx + s * cy, s, c, cy - s * cx - c * cy, 0, 0, 1)
 
 
 def decompose(m: Column) -> Column:

@@ -18,16 +18,21 @@ def _dot(row: object, values: list[Column]) -> Column:
 
 
 def _steps(df: DataFrame, steps: list, out: list[str], values: list[Column]) -> DataFrame:
-    """The columns of ``df`` and those named ``out``: ``values`` taken through ``steps``, functions of lists of columns to lists of columns."""
+    """The columns of ``df`` and those named ``out``: ``values`` taken through ``steps``, functions of lists of columns to lists of columns.
+
+    The last step goes through a generator of one row: a filter on a colour would otherwise be pushed below all steps, with
+    the terms of each repeated in the next one's.
+    """
     keep = [F.col(f"`{c}`") for c in df.columns if c not in out]
     made = [v.alias(f"__s0_{i}") for i, v in enumerate(values)]
     df = df.select(*keep, *made)
     for k, step in enumerate(steps):
-        last = k == len(steps) - 1
         now = step([F.col(f"__s{k}_{i}") for i in range(len(made))])
-        made = [v.alias(out[i] if last else f"__s{k + 1}_{i}") for i, v in enumerate(now)]
+        if k == len(steps) - 1:
+            return df.select(*keep, F.inline(F.array(F.struct(*[v.alias(n) for v, n in zip(now, out, strict=True)]))))
+        made = [v.alias(f"__s{k + 1}_{i}") for i, v in enumerate(now)]
         df = df.select(*keep, *made)
-    return df
+    raise ValueError("a conversion has a step at least")
 
 
 def linear(v: Column) -> Column:
