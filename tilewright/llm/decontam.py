@@ -113,10 +113,27 @@ class Matcher:
         for i, h in enumerate(self.hashes):
             by_size.setdefault(window_words(len(h), s), []).append(i)
         self.indexes = [self._index(n, items) for n, items in sorted(by_size.items())]
-        pairs = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_pairs(h) for h in self.hashes)]))
-        self.shift = np.uint64(64 - min(max(int(len(pairs) * 16).bit_length(), 16), 26))
-        self.known = np.zeros(1 << (64 - int(self.shift)), bool)
-        self.known[(pairs >> self.shift).astype(np.int64)] = True
+        self.total = np.array([n.sum() for _, n in self.shingles], np.int64)
+        self.words = np.array([len(h) for h in self.hashes], np.int64)
+        self.pairs = self._table([_pairs(h) for h in self.hashes])
+        self.known_shingles = self._table([x for x, _ in self.shingles])
+
+    @staticmethod
+    def _table(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.uint64]:
+        """Flags by the first bits of some hashes, sixteen or more for each, and the shift that leaves these bits."""
+        all_ = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]))
+        shift = np.uint64(64 - min(max(int(len(all_) * 16).bit_length(), 16), 26))
+        flags = np.zeros(1 << (64 - int(shift)), bool)
+        flags[(all_ >> shift).astype(np.int64)] = True
+        return flags, shift
+
+    @staticmethod
+    def _sums(table: tuple[np.ndarray, np.uint64], hashes: np.ndarray, n: int) -> np.ndarray:
+        """How many of the first k hashes are in a table, for k of 0 to ``n``."""
+        out = np.zeros(n + 1, np.int32)
+        np.cumsum(table[0][(hashes >> table[1]).astype(np.int64)], out=out[1 : len(hashes) + 1])
+        out[len(hashes) + 1 :] = out[len(hashes)]
+        return out
 
     def _shingles(self, h: np.ndarray) -> np.ndarray:
         return tk.shingles(h, np.array([0, len(h)]), self.s.width)[0]
@@ -171,9 +188,8 @@ class Matcher:
         best: dict[tuple[int, int], tuple[float, int]] = {}
         if not len(h) or not self.indexes:
             return best
-        known = np.zeros(len(h) + 1, np.int32)
-        np.cumsum(self.known[(_pairs(h) >> self.shift).astype(np.int64)], out=known[1 : len(h)])
-        known[len(h)] = known[max(len(h) - 1, 0)]
+        known = self._sums(self.pairs, _pairs(h), len(h))
+        width, shared = self.s.width, None
         doc_of = np.repeat(np.arange(len(first) - 1), np.diff(first)).astype(np.int32)
         tried: set[tuple[int, int, int]] = set()
         for ix in self.indexes:
@@ -190,12 +206,17 @@ class Matcher:
                 prints = fingerprints(h[run[0] : run[-1] + ix.size], ix.size)[run - run[0]]
                 i, j = self._near(prints, ix)
                 i = run[i]
-                begin = i - ix.offset[j]
-                for d, start, item in zip(doc_of[i].tolist(), begin.tolist(), ix.item[j].tolist(), strict=True):
+                item, begin = ix.item[j], i - ix.offset[j]
+                lo, hi = np.maximum(begin, first[doc_of[i]]), np.minimum(begin + self.words[item], first[doc_of[i] + 1])
+                if shared is None:
+                    shared = self._sums(self.known_shingles, self._shingles(h) if len(h) >= width else np.zeros(0, np.uint64), len(h))
+                # A span can't have more in common with its item than it has shingles that any item has.
+                most = shared[np.maximum(hi - width + 1, lo)] - shared[lo]
+                likely = (hi - lo < width) | (most >= self.s.similarity * self.total[item] - 1e-9)
+                for d, start, item, lo, hi in zip(*(x[likely].tolist() for x in (doc_of[i], begin, item, lo, hi)), strict=True):
                     if (d, item, start) in tried:
                         continue
                     tried.add((d, item, start))
-                    lo, hi = max(start, int(first[d])), min(start + len(self.hashes[item]), int(first[d + 1]))
                     x = self.similarity(item, h[lo:hi]) if hi > lo else 0.0
                     old = best.get((d, item), (0.0, 0))
                     if x >= self.s.similarity - 1e-12 and (x, -(lo - int(first[d]))) > (old[0], -old[1]):

@@ -52,8 +52,8 @@ def _metrics(body: Column, words: Column) -> dict[str, Column]:
     stops = sorted({w for ws in STOP_WORDS.values() for w in ws})
     return {
         "n_words": F.size(words).cast("long"),
-        "word_chars": F.length(F.regexp_replace(body, SPACE + "+", "")).cast("long"),
-        "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
+        "n_symbols": F.regexp_count(body, F.lit(f"[{SYMBOLS}]")).cast("long"),
         "n_lines": _let(with_word, lambda x: F.size(x)).cast("long"),
         "n_dup_lines": _let(with_word, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_stop_words": F.size(F.filter(words, lambda w: F.btrim(F.lower(w), F.lit(".,;:!?\"'()")).isin(stops))).cast("long"),
