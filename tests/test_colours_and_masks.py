@@ -237,3 +237,24 @@ def test_outlines_close_at_edges(spark):
     frame = spark.createDataFrame([(0, 30, 30)], "image int, w int, h int")
     got = mask_array(Mk.filled_outlines(mask_table(spark, m), frame, 1), m.shape)
     assert got[2, 10] and not got[20, 20]
+
+
+def test_adaptive_equalising(spark):
+    rng = np.random.default_rng(11)
+    img = np.clip(rng.normal(90, 20, (41, 53)) + np.linspace(0, 60, 53), 0, 255).astype(int)
+    got = array(P.equalise_adaptive(table(spark, img, ["v"]), "v", regions=4, clip=0.02), "v", img.shape)
+    rh, rw = 11, 14
+    maps = {}
+    for j in range(4):
+        for i in range(4):
+            n = np.bincount(img[j * rh : (j + 1) * rh, i * rw : (i + 1) * rw].ravel(), minlength=256).astype(float)
+            limit = max(0.02 * n.sum(), 1)
+            n = np.minimum(n, limit) + np.maximum(n - limit, 0).sum() / 256
+            maps[i, j] = np.cumsum(n) / n.sum() * 255
+    for y, x in ((0, 0), (5, 7), (20, 30), (40, 52), (11, 13), (33, 3)):
+        gx, gy = (x + 0.5) / rw - 0.5, (y + 0.5) / rh - 0.5
+        i, j = int(np.floor(gx)), int(np.floor(gy))
+        at = lambda a, b: maps[min(max(a, 0), 3), min(max(b, 0), 3)][img[y, x]]  # noqa: E731, B023
+        want = (at(i, j) * (1 - gx + i) + at(i + 1, j) * (gx - i)) * (1 - gy + j) + (at(i, j + 1) * (1 - gx + i) + at(i + 1, j + 1) * (gx - i)) * (gy - j)
+        assert abs(got[y, x] - want) < 1e-9
+    assert np.isfinite(got).all() and got.std() > img.std()

@@ -180,6 +180,12 @@ def test_costs_and_alignment(spark):
         m, before, after = O.align(fixed, moving, cost=cost)
         corner = np.array([[10, 10, 1], [80, 15, 1], [40, 80, 1.0]]).T
         assert after < before and np.abs((m - true) @ corner).max() < 1.5, cost
+    h = O.partial_volume(fixed, moving, true, 16)
+    assert h.sum() <= fixed.size + 1e-6 and O.entropy((h / h.sum()).ravel()) < O.entropy((O.partial_volume(fixed, moving, np.eye(3), 16) / fixed.size).ravel())
+    exact = O.partial_volume(fixed, fixed, np.eye(3), 16)
+    assert np.allclose(exact, np.diag(np.diag(exact))) and exact.sum() == fixed.size
+    x, y, v = O.off_grid(fixed, 3.0)
+    assert np.allclose(v, I.sample_bilinear(fixed, x, y)) and len(v) == 32 * 32
     same, before, after = O.align(fixed, fixed, cost="mse")
     assert np.allclose(same, np.eye(3)) and before == after
     p = stack_pixels(spark, [fixed, moving])
@@ -269,6 +275,20 @@ def test_detection_by_tiles(spark):
     assert masked and all(r.x < 50 for r in masked)
 
 
+def test_corners_on_circles_and_bits(spark):
+    img = np.zeros((60, 60))
+    img[20:40, 15:45] = 100
+    xy, r = I.fast_corners(img, 4)
+    assert {(round(x / 29.5), round(y / 29.5)) for x, y in xy} <= {(0, 1), (1, 1), (2, 1), (1, 0), (1, 2), (0, 0), (2, 2)} and len(xy) == 4 and (np.diff(r) <= 0).all()
+    assert all(min(abs(x - a) + abs(y - b) for a in (15, 44) for b in (20, 39)) <= 2 for x, y in xy) and not len(I.fast_corners(np.zeros((5, 5)))[0])
+    base = picture(100, 110, 6)
+    p = stack_pixels(spark, [base, I.warp(base, matrix(1, 0, 3, 2), base.shape, fill=float(base.mean()))])
+    kp = G.detect(p, "v", 150, corners="fast", descriptor="binary")
+    m = M.with_points(M.match_pairs(kp, M.neighbour_pairs(kp), "hamming", max_distance=0.2), kp)
+    shift = m.selectExpr("percentile(x1 - x2, 0.5) dx", "percentile(y1 - y2, 0.5) dy").first()
+    assert m.count() > 20 and (round(shift.dx), round(shift.dy)) == (3, 2)
+
+
 @pytest.fixture(scope="module")
 def planted_stack(spark):
     """Five pictures, each turned, shifted and bent a little more than the one before."""
@@ -304,6 +324,17 @@ def test_a_whole_stack(spark, planted_stack, tmp_path):
     channels = spark.createDataFrame([(k, k, 0, f"c{k}") for k in range(5)], "slide int, stack_idx int, pos int, name string")
     merged = r.merge_tiles(tiles, channels, "float64").first()
     assert merged.bands == 5
+    one = r.slide(0)
+    assert one.warp_xy(pts.select("x", "y")).first().wx == pytest.approx(whole.wx) and one.fixed == 1 and r.slide(2).fixed is None and len(one.m) == 9
+    assert one.warp_xy_from_to(pts.select("x", "y"), r.slide(0)).first().wx == pytest.approx(back.wx)
+    assert r.slide(2).warp_tiles(tiles).first().data == tiles.where("slide = 2").first().data and one.warp_tiles(tiles).count() == 1
+    from tilewright.sources import images as SI
+
+    saved = r.warp_and_save(RS.pack(planted_stack, ["v"], "uint8"), str(tmp_path / "out"), levels=2, side=64).collect()
+    assert len(saved) == 5 and {x.level for x in SI.read_images(spark, str(tmp_path / "out")).select("level").collect()} == {0, 1}
+    (x,) = r.merge_and_save(RS.pack(planted_stack, ["v"], "uint8"), channels, str(tmp_path / "all"), levels=1, side=64).collect()
+    seen = SI.probe(spark.read.format("binaryFile").load(x.path).select("path", "content")).first()
+    assert (seen.bands, seen.w, seen.h, seen.is_ome) == (5, 140, 120, True)
 
 
 def test_order_reference_and_refinement(spark, planted_stack):

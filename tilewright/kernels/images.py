@@ -69,6 +69,41 @@ def harris(img: np.ndarray, n: int = 500, sigma: float = 1.5, k: float = 0.05, a
     return np.stack([x[order], y[order]], axis=1).astype(float), r[y, x][order]
 
 
+#: The sixteen pixels of a circle of radius 3, in turn.
+CIRCLE = ((-3, 0), (-3, 1), (-2, 2), (-1, 3), (0, 3), (1, 3), (2, 2), (3, 1), (3, 0), (3, -1), (2, -2), (1, -3), (0, -3), (-1, -3), (-2, -2), (-3, -1))
+
+
+def fast_corners(img: np.ndarray, n: int = 500, threshold: float = 10.0, arc: int = 9) -> tuple[np.ndarray, np.ndarray]:
+    """(points xy, responses) of pixels with ``arc`` neighbours in a row on a circle that are all brighter, or all darker, by more than
+    ``threshold``, strongest first, each the largest among the eight around it."""
+    img = img.astype(float)
+    if min(img.shape) < 7:
+        return np.zeros((0, 2)), np.zeros(0)
+    core = img[3:-3, 3:-3]
+    ring = np.stack([img[3 + j : img.shape[0] - 3 + j, 3 + i : img.shape[1] - 3 + i] - core for j, i in CIRCLE])
+    response = np.zeros(img.shape)
+    for beyond in (ring > threshold, ring < -threshold):
+        row = np.zeros(core.shape, bool)
+        for k in range(16):
+            row |= np.take(beyond, np.arange(k, k + arc) % 16, axis=0).all(axis=0)
+        strength = np.where(beyond, np.abs(ring) - threshold, 0).sum(axis=0)
+        response[3:-3, 3:-3] = np.maximum(response[3:-3, 3:-3], np.where(row, strength, 0))
+    y, x = np.nonzero((response > 0) & (response >= window_extreme(response, [(j, i) for j in (-1, 0, 1) for i in (-1, 0, 1)], False)))
+    order = np.lexsort((x, y, -response[y, x]))[:n]
+    return np.stack([x[order], y[order]], axis=1).astype(float), response[y, x][order]
+
+
+def binary_descriptors(img: np.ndarray, xy: np.ndarray, bits: int = 256, radius: float = 12.0) -> np.ndarray:
+    """Descriptors of 0 and 1: which of two places around a point is darker, for ``bits`` pairs of places that are the same for all points."""
+    rng = np.random.default_rng(0)
+    pairs = np.clip(rng.normal(0, radius / 2.5, (bits, 4)), -radius, radius)
+    smooth = gaussian(img.astype(float), 2.0)
+    mean = float(smooth.mean())
+    a = sample_bilinear(smooth, xy[:, :1] + pairs[None, :, 0], xy[:, 1:] + pairs[None, :, 1], mean)
+    b = sample_bilinear(smooth, xy[:, :1] + pairs[None, :, 2], xy[:, 1:] + pairs[None, :, 3], mean)
+    return (a < b).astype(float)
+
+
 def patch_descriptors(img: np.ndarray, xy: np.ndarray, side: int = 8, step: float = 2.0) -> np.ndarray:
     """Unit-length patches around points, without their mean."""
     o = (np.arange(side) - (side - 1) / 2) * step

@@ -41,8 +41,13 @@ def dense(t: pd.DataFrame, value: str) -> np.ndarray:
     return out
 
 
-def detect(pixels: DataFrame, value: str, n: int = 500, tile: int = 512, mask: DataFrame | None = None) -> DataFrame:
-    """(image, kp, x, y, response, descr): an image's ``n`` strongest corners with patch descriptors.
+#: Corners (image, n -> places and responses) and descriptors (image, places -> rows) by name.
+CORNERS = {"harris": I.harris, "fast": I.fast_corners}
+DESCRIPTORS = {"patch": I.patch_descriptors, "binary": I.binary_descriptors}
+
+
+def detect(pixels: DataFrame, value: str, n: int = 500, tile: int = 512, mask: DataFrame | None = None, corners: str = "harris", descriptor: str = "patch") -> DataFrame:
+    """(image, kp, x, y, response, descr): an image's ``n`` strongest corners with descriptors: patches, or bits to be compared by the metric 'hamming'.
 
     Corners are found and described tile by tile, with as wide a margin as smoothing, comparison with neighbours and
     patches need; then they are ranked over the image. With a ``mask`` (image, x, y), only those within it.
@@ -56,12 +61,12 @@ def detect(pixels: DataFrame, value: str, n: int = 500, tile: int = 512, mask: D
         none = pd.DataFrame({"image": [], "x": [], "y": [], "response": [], "descr": pd.Series([], dtype=object)})
         if min(img.shape) < 2:
             return none
-        xy, r = I.harris(img, img.size)
+        xy, r = CORNERS[corners](img, img.size)
         own = ((xy[:, 0] + x0) // tile == tx) & ((xy[:, 1] + y0) // tile == ty)
         xy, r = xy[own][:n], r[own][:n]  # no more of a tile can be among the image's strongest
         if not len(xy):
             return none
-        return pd.DataFrame({"image": t["image"].iloc[0], "x": xy[:, 0] + x0, "y": xy[:, 1] + y0, "response": r, "descr": list(I.patch_descriptors(img, xy))})
+        return pd.DataFrame({"image": t["image"].iloc[0], "x": xy[:, 0] + x0, "y": xy[:, 1] + y0, "response": r, "descr": list(DESCRIPTORS[descriptor](img, xy))})
 
     image = pixels.schema["image"].dataType.simpleString()
     found = src.groupBy("image", "tx", "ty").applyInPandas(run, f"image {image}, x double, y double, response double, descr array<double>")

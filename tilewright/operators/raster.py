@@ -295,3 +295,41 @@ def outline(mask: DataFrame) -> DataFrame:
     near = m.select("image", "x", "y", steps).select("image", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"))
     full = near.groupBy("image", "x", "y").agg(F.count(F.lit(1)).alias("k")).where("k = 4")
     return m.join(full, ["image", "x", "y"], "left_anti")
+
+
+def equalise_adaptive(pixels: DataFrame, value: str, regions: int = 8, clip: float = 0.01, bins: int = 256) -> DataFrame:
+    """(image, x, y, v): values of 0 to 255 equalised by the histograms of their surroundings.
+
+    Each image is a grid of ``regions`` a side. A region's histogram is cut at the part ``clip`` of its pixels (one at least), what is cut off
+    goes to all bins alike, and its running sum maps values to 0 to 255. A pixel's value is mapped by the four regions whose middles
+    are around it, each as near as it is. Histograms are aggregates; maps and pixels meet by the cells between regions' middles.
+    """
+    frame = pixels.groupBy("image").agg(F.ceil((F.max("x") + 1) / regions).alias("__rw"), F.ceil((F.max("y") + 1) / regions).alias("__rh"))
+    bin_of = F.least(F.greatest(F.floor(F.col(value) * bins / 256.0), F.lit(0)), F.lit(bins - 1)).cast("int")
+    p = pixels.select("image", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), bin_of.alias("bin")).join(frame, "image")
+    h = p.groupBy("image", F.floor(F.col("x") / F.col("__rw")).cast("int").alias("i"), F.floor(F.col("y") / F.col("__rh")).cast("int").alias("j"), "bin").agg(F.count(F.lit(1)).alias("n"))
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        n = np.bincount(t["bin"], t["n"], bins).astype(float)
+        limit = max(clip * n.sum(), 1.0)
+        over = np.maximum(n - limit, 0).sum()
+        n = np.minimum(n, limit) + over / bins
+        return pd.DataFrame({"image": [t["image"].iloc[0]], "i": [t["i"].iloc[0]], "j": [t["j"].iloc[0]], "map": [(np.cumsum(n) / n.sum() * 255).tolist()]})
+
+    image = pixels.schema["image"].dataType.simpleString()
+    maps = checkpointed(h.groupBy("image", "i", "j").applyInPandas(run, f"image {image}, i int, j int, map array<double>"))
+    ends = maps.groupBy("image").agg(F.max("i").alias("__i"), F.max("j").alias("__j"))
+    # A cell lies between four middles; beyond the outermost ones the nearest counts for both.
+    at = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])).alias("o")
+    cells = ends.select("image", "__i", "__j", F.explode(F.sequence(F.lit(-1), F.col("__i"))).alias("ci")).select("*", F.explode(F.sequence(F.lit(-1), F.col("__j"))).alias("cj")).select("*", at)
+    near = lambda c, o, last: F.least(F.greatest(F.col(c) + F.col(o), F.lit(0)), F.col(last)).cast("int")
+    cells = cells.select("image", "ci", "cj", "o.a", "o.b", near("ci", "o.a", "__i").alias("i"), near("cj", "o.b", "__j").alias("j")).join(maps, ["image", "i", "j"])
+    pick = lambda a, b: F.first(F.when((F.col("a") == a) & (F.col("b") == b), F.col("map")), ignorenulls=True).alias(f"m{a}{b}")
+    cells = checkpointed(cells.groupBy("image", "ci", "cj").agg(*[pick(a, b) for a in (0, 1) for b in (0, 1)]))
+    place = {"gx": (F.col("x") + 0.5) / F.col("__rw") - 0.5, "gy": (F.col("y") + 0.5) / F.col("__rh") - 0.5}
+    p = p.withColumns(place).withColumns({"ci": F.floor("gx").cast("int"), "cj": F.floor("gy").cast("int")})
+    j = p.join(cells, ["image", "ci", "cj"])
+    fx, fy = F.col("gx") - F.col("ci"), F.col("gy") - F.col("cj")
+    of = lambda a, b: F.get(F.col(f"m{a}{b}"), F.col("bin"))
+    mixed = (of(0, 0) * (1 - fx) + of(1, 0) * fx) * (1 - fy) + (of(0, 1) * (1 - fx) + of(1, 1) * fx) * fy
+    return j.select("image", "x", "y", mixed.alias("v"))
