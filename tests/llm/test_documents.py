@@ -70,7 +70,7 @@ def test_difference_cover_reaches_every_pair():
 @pytest.mark.parametrize("rounds", [1, 2])
 def test_suffix_dedup(spark, sf_dir, odd, rounds, monkeypatch):
     if rounds == 2:  # ranges and meetings so small that entries are dealt twice
-        for name, value in (("BUCKET_ENTRIES", 1000), ("COARSE", 3), ("MEETING_BYTES", 20_000), ("UNIT", 1 << 15)):
+        for name, value in (("BUCKET_ENTRIES", 1000), ("SINGLE", 4), ("COARSE", 3), ("MEETING_BYTES", 20_000), ("UNIT", 1 << 15)):
             monkeypatch.setattr(suffix_dedup, name, value)
         assert suffix_dedup.Deal.of(60_000).fine > 1 and suffix_dedup.Deal.of(60_000).meetings > 1
     for docs in (odd, table(spark, sf_dir, "documents")):

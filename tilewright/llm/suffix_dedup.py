@@ -13,8 +13,8 @@ one round of names is enough:
    neighbours compared.
 
 What is shuffled are blocks of packed hashes, dealt out by hash; no task gets more than its range of them,
-and a task sends each of its own repeated hashes once. A unit of text writes ``COARSE`` blocks at most. A corpus
-that needs more ranges than that is dealt in two rounds: the blocks of a coarse range and of a bounded number of units
+and a task sends each of its own repeated hashes once. A unit of text writes ``SINGLE`` blocks at most. A corpus
+that needs more ranges than that is dealt in two rounds, of ``COARSE`` ranges first: the blocks of a coarse range and of a bounded number of units
 meet first, tell what repeats among them, and go on as larger blocks of fine ranges; so a string that all
 units hold goes on once for each such meeting.
 """
@@ -39,6 +39,9 @@ COVER = (0, 1, 3, 13, 32, 36, 43, 52)
 OTHER_BASE = 0xD1342543DE82EF95
 UNIT = 4 << 20
 BUCKET_ENTRIES = 500_000
+#: Up to so many ranges, entries are dealt in one round: a unit's rows then still hold some forty entries each.
+SINGLE = 1 << 14
+#: Beyond, a first round has so many ranges.
 COARSE = 512
 MEETING_BYTES = 64 << 20
 
@@ -78,7 +81,7 @@ class Deal:
     @classmethod
     def of(cls, entries: int) -> Deal:
         buckets = max(4, entries // BUCKET_ENTRIES)
-        if buckets <= COARSE:
+        if buckets <= SINGLE:
             return cls(buckets)
         return cls(COARSE, -(-buckets // COARSE), -(-entries * (KEY.itemsize + AT.itemsize) // (COARSE * MEETING_BYTES)))
 
