@@ -164,29 +164,29 @@ def image_pyramid(spark: SparkSession, d: str) -> DataFrame:
     return P.pyramid(V.pixels(spark, d), ["v1"], 3).select("image", "level", "x", "y", R("v1"))
 
 
-@query(V.with_views("slide_levels", "AND s AS (SELECT slide, w, h FROM slide_levels WHERE level = 4), r AS (SELECT slide, w, h, unnest(range(0, (h - 1) // 50 + 1)) AS row FROM s), g AS (SELECT slide, w, h, row, unnest(range(0, (w - 1) // 50 + 1)) AS col FROM r) SELECT slide, row::INT AS row, col::INT AS col, (col * 50)::INT AS x, (row * 50)::INT AS y FROM g"))
+@query(V.with_views("slide_levels", "AND r AS (SELECT slide, level, w, h, unnest(range(0, (h - 1) // 500 + 1)) AS row FROM slide_levels), g AS (SELECT slide, level, w, h, row, unnest(range(0, (w - 1) // 500 + 1)) AS col FROM r) SELECT slide, level, row::INT AS row, col::INT AS col, (col * 500)::INT AS x, (row * 500)::INT AS y FROM g"))
 def mesh(spark: SparkSession, d: str) -> DataFrame:
-    """Points every 50 pixels of each slide's last level."""
-    return T.mesh(V.slide_levels(spark, d).where("level = 4"), 50)
+    """Points every 500 pixels of all levels of slides."""
+    return T.mesh(V.slide_levels(spark, d), 500, keys=("slide", "level"))
 
 
 @query(
     V.with_views(
         "slide_levels",
-        """AND s AS (SELECT slide, w, h FROM slide_levels WHERE level = 4), r AS (SELECT slide, w, h, unnest(range(0, (h - 1) // 50)) AS row FROM s), g AS (SELECT slide, row::INT AS row, unnest(range(0, (w - 1) // 50))::INT AS col FROM r),
+        """AND r AS (SELECT slide, level, w, h, unnest(range(0, (h - 1) // 500)) AS row FROM slide_levels), g AS (SELECT slide, level, row::INT AS row, unnest(range(0, (w - 1) // 500))::INT AS col FROM r),
 t(side, ax, ay, bx, by_) AS (VALUES ('top', 0, 0, 1, 0), ('right', 1, 0, 1, 1), ('bottom', 1, 1, 0, 1), ('left', 0, 1, 0, 0))
-SELECT slide, row, col, side, ((col + ax) * 50)::BIGINT AS ax, ((row + ay) * 50)::BIGINT AS ay, ((col + bx) * 50)::BIGINT AS bx, ((row + by_) * 50)::BIGINT AS by, (col * 50 + 25)::DOUBLE AS cx, (row * 50 + 25)::DOUBLE AS cy FROM g, t""",
+SELECT slide, level, row, col, side, ((col + ax) * 500)::BIGINT AS ax, ((row + ay) * 500)::BIGINT AS ay, ((col + bx) * 500)::BIGINT AS bx, ((row + by_) * 500)::BIGINT AS by, (col * 500 + 250)::DOUBLE AS cx, (row * 500 + 250)::DOUBLE AS cy FROM g, t""",
     )
 )
 def mesh_triangles(spark: SparkSession, d: str) -> DataFrame:
-    return T.triangles(mesh(spark, d))
+    return T.triangles(mesh(spark, d), ("slide", "level"))
 
 
-@query(V.with_views("slide_levels", "AND s AS (SELECT slide, w, h FROM slide_levels WHERE level = 2), r AS (SELECT slide, w, h, unnest(range(0, greatest(h - 2, 0) // least(200, h) + 1)) AS ty FROM s), g AS (SELECT slide, w, h, ty, unnest(range(0, greatest(w - 2, 0) // least(200, w) + 1)) AS tx FROM r) SELECT slide, tx::INT AS tx, ty::INT AS ty, (10 + tx * least(200, w))::INT AS x, (20 + ty * least(200, h))::INT AS y, least(200, w - tx * least(200, w))::INT AS w, least(200, h - ty * least(200, h))::INT AS h FROM g"))
+@query(V.with_views("slide_levels", "AND r AS (SELECT slide * 10 + level AS slide, w, h, unnest(range(0, greatest(h - 2, 0) // least(800, h) + 1)) AS ty FROM slide_levels), g AS (SELECT slide, w, h, ty, unnest(range(0, greatest(w - 2, 0) // least(800, w) + 1)) AS tx FROM r) SELECT slide, tx::INT AS tx, ty::INT AS ty, (10 + tx * least(800, w))::INT AS x, (20 + ty * least(800, h))::INT AS y, least(800, w - tx * least(800, w))::INT AS w, least(800, h - ty * least(800, h))::INT AS h FROM g"))
 def roi_tiles(spark: SparkSession, d: str) -> DataFrame:
-    """Tiles of a region of each slide."""
-    b = V.slide_levels(spark, d).where("level = 2").select("slide", F.lit(10).alias("x"), F.lit(20).alias("y"), "w", "h")
-    return N.roi_tiles(b, 200).select("slide", "tx", "ty", "x", "y", F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"))
+    """Tiles of a region of each level of slides, which goes by ten times the slide and the level."""
+    b = V.slide_levels(spark, d).select((F.col("slide") * 10 + F.col("level")).alias("slide"), F.lit(10).alias("x"), F.lit(20).alias("y"), "w", "h")
+    return N.roi_tiles(b, 800).select("slide", "tx", "ty", "x", "y", F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"))
 
 
 BOXES = "boxes AS (SELECT (p_partkey % 7)::INT AS slide, p_partkey::INT AS id, (p_partkey * 37 % 2000)::DOUBLE AS x, (p_partkey * 91 % 1500)::DOUBLE AS y, 10.0::DOUBLE + p_size AS w, 12.0::DOUBLE + p_size % 9 AS h FROM part)"
@@ -353,7 +353,7 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def pairs_optimised(spark: SparkSession, d: str) -> DataFrame:
     """Matrices of neighbouring images by their mutual information."""
-    return N.optimise_pairs(V.pixels(spark, d).where("y < 64"), "v1", _pairs(spark, d), "nmi", 2)
+    return N.optimise_pairs(V.pixels(spark, d), "v1", _pairs(spark, d), "nmi", 2)
 
 
 @query()
@@ -363,7 +363,7 @@ def fields_to_reference(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fields_serial(spark: SparkSession, d: str) -> DataFrame:
-    steps = E.alignment_schedule(V.pixels(spark, d).select("image")).where("step < 2")
+    steps = E.alignment_schedule(V.pixels(spark, d).select("image"))
     return N.register_serial(V.pixels(spark, d), steps, "v1", lambda t: G.flow(t, "fixed", "moving", 64, 8))
 
 
