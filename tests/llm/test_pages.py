@@ -194,3 +194,76 @@ def test_whole_tables_against_brute_force(spark):
     assert sum(want[k] != plain[k] for k in range(len(rows))) > 50
     with_article = [k for k, (_, _, h) in enumerate(rows) if h and "<article" in h]
     assert any(want[k] != plain[k] for k in with_article) and any(want[k] == plain[k] for k in with_article)
+
+
+def page_rows(bodies):
+    return [(k, f"http://h.example/{k}", f"<body>{b}</body>") for k, b in enumerate(bodies)]
+
+
+def test_runs_of_articles_are_counted_over_all_pages(spark):
+    notice = "Our shop sells very many things at low prices every day of the week"
+    plain = [f"<article><p>{own(k)}</p></article>" for k in range(1500)]
+    noted = [f"<article><p>{own(k)}</p><p>{notice}</p></article>" for k in range(1500)]
+    # The pages with the notice are those that a draw of 256 by their hash would leave out, up to 1,000.
+    hashes = spark.createDataFrame(page_rows(noted), "page_id long, url string, html string").selectExpr("page_id", f"pmod(xxhash64(page_id, html), {1 << 20}) < {(256 << 20) / 1500} AS drawn")
+    left = sorted(r.page_id for r in hashes.where("NOT drawn").collect())[:1000]
+    assert len(left) == 1000
+    got = extracted(spark, [noted[k] if k in set(left) else plain[k] for k in range(1500)])
+    assert got == {k: own(k) for k in range(1500)}
+
+
+def test_runs_that_under_half_of_the_articles_have_stay_outside(spark):
+    notice = "Our shop sells very many things at low prices every day of the week"
+    bodies = [f"<article><p>{own(k)}</p>{f'<p>{notice}</p>' if k < 20 else ''}</article>{f'<div>{notice}</div>' if k == 59 else ''}" for k in range(60)]
+    got = extracted(spark, bodies)
+    assert got[59] == f"{own(59)}\n{notice}" and all(got[k] == (f"{own(k)}\n{notice}" if k < 20 else own(k)) for k in range(59))
+
+
+def test_small_arrays_and_copies_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    common = [own(1000 + i, 14) for i in range(8)]
+    bodies = []
+    for k in range(160):
+        # Common paragraph i is on about 36 to 64 % of the pages, inside articles or outside; the first two mostly on late pages.
+        some = [c for i, c in enumerate(common) if rng.random() < (0.36 + 0.04 * i if i > 1 else (0.05, 0.95)[k >= 78 - 4 * i])]
+        inside, outside = [c for c in some if rng.random() < 0.9], [c for c in some if rng.random() < 0.1]
+        bodies.append(f"<article><p>{own(k, 90)}</p>{''.join(f'<p>{c}</p>' for c in inside)}</article>{''.join(f'<div>{c}</div>' for c in outside)}")
+    rows = page_rows(bodies)
+    # Copies of pages without a paragraph do not outweigh it.
+    rows += [(1000 + j, f"http://h.example/c{j}", rows[j % 40][2]) for j in range(600)]
+    rows += [(5000 + k, f"http://g{k % 30}.example/", f"<article><p>{own(2000 + k)}</p><p>{common[0]}</p></article>") for k in range(400)]
+    want = brute_texts(rows)
+    plain = ["\n".join(t for z, t in X.blocks_of(h) if z != X.FRAME) for _, _, h in rows]
+    assert 0 < sum(want[k] != plain[k] for k in range(160)) and any(c in want[k] for k in range(160) for c in common)
+    for size, parts in ((16, 3), (1, 2), (1024, 1)):
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        got = {r.page_id: r.text for r in X.extract(pages, X.Settings(pages=size)).collect()}
+        assert [got[i] for i, _, _ in rows] == [want[k] for k in range(len(rows))]
+
+
+def test_runs_that_reach_into_an_article_without_common_runs(spark):
+    words = [f"z{i}" for i in range(8)]
+    bodies = [f"<div>{own(k)}</div><div>{' '.join(words)}</div>" for k in range(30)] + [f"<div>{' '.join(words[:7])}</div><article>{words[7]} {own(30)}</article>"]
+    bodies += [f"<div>{own(k)}</div>" for k in range(31, 80)]
+    want = brute_texts(page_rows(bodies))
+    assert extracted(spark, bodies) == want and want[30] == f"{words[7]} {own(30)}"
+
+
+def test_thinned_counts_lose_no_run_of_half_the_pages():
+    rng = np.random.default_rng(3)
+    common = own(0, 8)
+    s = X.Settings(enough=2)
+    for _ in range(60):
+        n = int(rng.integers(20, 120))
+        some = int(rng.integers(n // 2 + 1, n + 1))
+        each = [int(x) for x in rng.integers(1, 6, n)]
+        parsed = [[(X.ARTICLE, own(1 + k, 30) + (" " + common if k < some else ""))] for k in range(n)]
+        deal = [k for k in range(n) for _ in range(each[k])]
+        if rng.random() < 0.5:
+            rng.shuffle(deal)
+        size = int(rng.integers(1, 60))
+        slices = [deal[at : at + size] for at in range(0, len(deal), size)]
+        packed = [x for part in slices for x in X._pack([parsed[k] for k in part], np.zeros(len(part), np.int64), np.full(len(part), n), s, 1, np.full(len(part), len(deal)))]
+        name = X.Runs([[(X.ARTICLE, common)]], np.zeros(1, np.int64), 8).names[0]
+        found = X._count(packed, s, False)
+        assert name in found["name"][found["mostly"]]

@@ -49,14 +49,13 @@ class Settings:
     half of all have it. Pages of which the SimHashes differ in ``near`` bits at most count as one."""
 
     shared: int = 8  # a power of two
-    pages: int = 1024  # of one suffix array
+    pages: int = 1024  # of one suffix array, 32,768 at most
     link_share: float = 0.6
     alone: int = 2
     share: float = 0.1
     least: int = 3
     enough: int = 10
     near: int = 6
-    sample: int = 256  # pages of a host that tell which runs of its articles are counted over all of it
     listed: int = 1 << 22  # runs that go to each worker at once
 
 
@@ -165,6 +164,15 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
     return out
 
 
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of each key among the different ones, and a place of each of those."""
+    order = np.argsort(key)
+    fresh = np.diff(key[order], prepend=key[order[:1]] - 1) != 0
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(fresh) - 1
+    return rank, order[fresh]
+
+
 def run_ranks(rank: np.ndarray, page: np.ndarray, k: int) -> np.ndarray:
     """A suffix array's ranks at depth ``k``: equal for equal runs of ``k`` words.
 
@@ -178,10 +186,7 @@ def run_ranks(rank: np.ndarray, page: np.ndarray, k: int) -> np.ndarray:
         inside = page[depth:] == page[:-depth]
         pair[:-depth][inside] = rank[depth:][inside]
         pair[pair < 0] = -1 - np.flatnonzero(pair < 0)  # a suffix that ends is unlike all others
-        order = np.lexsort((pair, rank))
-        new = np.concatenate([[0], np.cumsum((np.diff(rank[order]) != 0) | (np.diff(pair[order]) != 0))])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
+        rank, _ = _ranked(rank * (2 * n) + (pair + n))
         depth *= 2
     return rank
 
@@ -212,31 +217,24 @@ class Runs:
     """The words of some pages, and their runs of ``k`` by one suffix array.
 
     ``which`` and ``page`` tell the distinct run (index into ``names``) and the page from word ``start``
-    on; ``names`` are 48-bit hashes of a host and a run, the same in all arrays. Articles of pages not
-    in ``within`` are left out, as a break.
+    on; ``names`` are 48-bit hashes of a host and a run, the same in all arrays.
     """
 
-    def __init__(self, pages: list[list[tuple[int, str]]], host: np.ndarray, within: np.ndarray, k: int) -> None:
+    def __init__(self, pages: list[list[tuple[int, str]]], host: np.ndarray, k: int) -> None:
         self.words: list[str] = []
         self.spans: list[tuple[int, int, int, int]] = []  # page, block, first and last word
-        zones, part, stretch, cut = [], [], [], 0
+        zones, part = [], []
         for i, blocks in enumerate(pages):
-            cut += 1
             for j, (zone, text) in enumerate(blocks):
-                if zone == ARTICLE and not within[i]:
-                    cut += 1
-                    continue
                 own = text.split()
                 self.spans.append((i, j, len(self.words), len(self.words) + len(own)))
                 self.words += own
                 zones += [zone] * len(own)
                 part += [i] * len(own)
-                stretch += [cut] * len(own)
         n = len(self.words)
-        self.zone, page, stretches = np.array(zones, np.int8), np.array(part, np.int64), np.array(stretch, np.int64)
+        self.zone, self.owner = np.array(zones, np.int8), np.array(part, np.int64)
         self.start = self.which = self.page = np.zeros(0, np.int64)
         self.names = self.hashes = np.zeros(0, np.uint64)
-        self.owner = page
         if not n:
             return
         coded = pa.array(self.words, pa.large_string()).dictionary_encode()
@@ -245,31 +243,44 @@ class Runs:
         self.hashes = tk.span_hashes(entries.data, entries.starts[:-1], entries.starts[1:])[code]
         if n < k:
             return
-        rank = run_ranks(code, stretches, k)
-        self.start = np.flatnonzero(stretches[k - 1 :] == stretches[: n - k + 1])
-        self.page = page[self.start]
+        rank = run_ranks(code, self.owner, k)
+        self.start = np.flatnonzero(self.owner[k - 1 :] == self.owner[: n - k + 1])
+        self.page = self.owner[self.start]
         hosts, index = np.unique(host, return_inverse=True)
-        _, first, self.which = np.unique(rank[self.start] * len(hosts) + index[self.page], return_index=True, return_inverse=True)
+        self.which, first = _ranked(rank[self.start] * len(hosts) + index[self.page])
         at = self.start[first]
         name = np.zeros(len(at), np.uint64)
         for j in range(k):
             name += self.hashes[at + j] * np.uint64(pow(tk.BASE, j + 1, 1 << 64))
         self.names = tk.mix(name ^ tk.mix(host[self.page[first]].view(np.uint64))) >> np.uint64(16)
 
+    def sketches(self, n: int) -> np.ndarray:
+        """A 64-bit SimHash of the pairs of neighbouring words outside frames of each of the ``n`` pages."""
+        out = np.zeros(n, np.uint64)
+        shown = self.zone != FRAME
+        owner, h = self.owner[shown], self.hashes[shown]
+        if not len(h):
+            return out
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        count = np.diff(first, append=len(h))
+        before = np.concatenate([[np.uint64(0)], h[:-1]])
+        before[first] = 0
+        pair = tk.mix(before * np.uint64(tk.BASE) + h)
+        # The bits of 255 words at most are added up in the bytes of a number, eight bits of a hash at a time.
+        chunk = np.flatnonzero((np.arange(len(h)) - np.repeat(first, count)) % 255 == 0)
+        of_page = np.searchsorted(chunk, first)
+        for bit in range(8):
+            lanes = np.add.reduceat((pair >> np.uint64(bit)) & np.uint64(0x0101010101010101), chunk)
+            total = np.add.reduceat(lanes.astype("<u8").view(np.uint8).reshape(-1, 8), of_page, axis=0, dtype=np.int64)
+            most = (2 * total > count[:, None]).astype(np.uint64)
+            for byte in range(8):
+                out[owner[first]] |= most[:, byte] << np.uint64(8 * byte + bit)
+        return out
+
 
 def sketches(pages: list[list[tuple[int, str]]]) -> np.ndarray:
     """A 64-bit SimHash of each page's pairs of neighbouring words outside frames."""
-    r = Runs([[b for b in blocks if b[0] != FRAME] for blocks in pages], np.zeros(len(pages), np.int64), np.ones(len(pages), bool), 1 << 30)
-    out = np.zeros(len(pages), np.uint64)
-    if len(r.words):
-        before = np.concatenate([[np.uint64(0)], r.hashes[:-1]])
-        before[np.flatnonzero(np.diff(r.owner, prepend=-1))] = 0
-        first = np.flatnonzero(np.diff(r.owner, prepend=-1))
-        bits = np.unpackbits(tk.mix(before * np.uint64(tk.BASE) + r.hashes).view(np.uint8).reshape(-1, 8), axis=1)
-        total = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-        most = 2 * total > np.diff(first, append=len(r.words))[:, None]
-        out[r.owner[first]] = np.packbits(most, axis=1).view(np.uint64).ravel()
-    return out
+    return Runs(pages, np.zeros(len(pages), np.int64), 1 << 30).sketches(len(pages))
 
 
 def distinct_pages(sketch: np.ndarray, near: int, enough: int) -> int:
@@ -288,16 +299,16 @@ def _listed(names: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[np.minimum(np.searchsorted(among, names), len(among) - 1)] == names
 
 
-def _clean(pages: list[list[tuple[int, str]]], host: np.ndarray, often: np.ndarray, mostly: np.ndarray, within: np.ndarray, s: Settings) -> list[str]:
+def _clean(pages: list[list[tuple[int, str]]], host: np.ndarray, often: np.ndarray, mostly: np.ndarray, s: Settings) -> list[str]:
     """Main texts of pages: blocks outside frames, in order, without the runs of ``often``, or in articles
     those of ``mostly`` (names of runs, sorted). A run that only reaches into a block, by fewer words
     than it needs and less than half of the block, takes nothing from it, and from an article's block
     no run takes more than half of the article."""
     out: list[dict[int, str]] = [{j: text for j, (zone, text) in enumerate(blocks) if zone != FRAME} for blocks in pages]
-    judged = [i for i, blocks in enumerate(pages) if within[i] or any(zone == OPEN for zone, _ in blocks)]
+    judged = [i for i, blocks in enumerate(pages) if len(mostly) or any(zone == OPEN for zone, _ in blocks)]
     if not judged or not len(often):
         return ["\n".join(x.values()) for x in out]
-    r = Runs([pages[i] for i in judged], host[judged], within[judged], s.shared)
+    r = Runs([pages[i] for i in judged], host[judged], s.shared)
     n = len(r.words)
     covered = _covered(r.start[_listed(r.names, often)[r.which]], n, s.shared) & (r.zone == OPEN)
     inside = _covered(r.start[_listed(r.names, mostly)[r.which]], n, s.shared) & (r.zone == ARTICLE)
@@ -324,66 +335,86 @@ def _clean(pages: list[list[tuple[int, str]]], host: np.ndarray, often: np.ndarr
 def _main_texts(pages: list[list[tuple[int, str]]], s: Settings) -> list[str]:
     """Main texts of pages of one host, which are all that there are of it."""
     host, rows = np.zeros(len(pages), np.int64), np.full(len(pages), len(set(map(tuple, pages))))
-    found = _count(_pack(pages, host, rows, np.zeros(0, np.uint64), True, 1, s), s)
-    often, mostly = (np.sort(found["name"][found[c]]) for c in ("often", "mostly"))
-    return _clean(pages, host, often, mostly, np.full(len(pages), len(mostly) > 0), s)
+    found = _count(_pack(pages, host, rows, s), s)
+    often, mostly = np.sort(found["name"]), np.sort(found["name"][found["mostly"]])
+    return _clean(pages, host, often, mostly, s)
 
 
-#: A run of a page as it is shuffled: its name, and an index into the pages of its row.
+#: A run of a page as it is shuffled: its name, and twice an index into the pages of its row, plus 1 if it is outside articles.
 RUN = np.dtype([("low", "<u4"), ("high", "<u2"), ("page", "<u2")])
 PAGE = np.dtype([("host", "<i8"), ("rows", "<i8"), ("sketch", "<u8")])
 
 
-def _pack(pages: list[list[tuple[int, str]]], host: np.ndarray, rows: np.ndarray, within: np.ndarray, articles: bool, buckets: int, s: Settings) -> list[tuple[int, bytes, bytes]]:
-    """(bucket, pages, runs): the distinct runs of each page, without those in articles that are not in ``within`` unless ``articles``."""
-    known = np.full(len(pages), articles or len(within) > 0)
-    r = Runs(pages, host, known, s.shared)
+def _pack(
+    pages: list[list[tuple[int, str]]], host: np.ndarray, rows: np.ndarray, s: Settings, buckets: int = 1, copies: np.ndarray | None = None, among: np.ndarray | None = None
+) -> list[tuple[int, bytes, bytes]]:
+    """(bucket, pages, runs): the distinct runs of each page, or those of them that are ``among`` some names.
+
+    With ``copies``, the number of rows of each page's host as ``rows`` is that of its different pages, runs of
+    articles that few of these pages have are left out: those on ``n * rows / (4 * copies)`` at most, of a host's
+    ``n`` pages here. Over all arrays the ``n`` add up to ``copies``, so a run never loses more than ``rows / 4``.
+    """
+    r = Runs(pages, host, s.shared)
     if not len(r.start):
         return []
-    keep = np.ones(len(r.start), bool)
-    if not articles:
-        article = np.concatenate([[0], np.cumsum(r.zone == ARTICLE)])
-        keep = (article[r.start + s.shared] == article[r.start]) | _listed(r.names, within)[r.which]
-    pair = np.unique(r.which[keep] * len(pages) + r.page[keep])
-    name, page = r.names[pair // len(pages)], pair % len(pages)
+    sketch = r.sketches(len(pages))
+    _, first, index = np.unique(np.stack([host.view(np.uint64), sketch], 1), axis=0, return_index=True, return_inverse=True)
+    alike = first[index.ravel()]  # pages that count as one wherever they are counted
+    article = np.concatenate([[0], np.cumsum(r.zone == ARTICLE)])
+    bound = article[r.start + s.shared] != article[r.start]
+    pair = np.unique((r.which * len(pages) + alike[r.page]) * 2 + bound)
+    pair = pair[np.diff(pair >> 1, prepend=-1) != 0]
+    which, page, free = pair // (2 * len(pages)), (pair >> 1) % len(pages), pair % 2 == 0
+    if among is not None:
+        keep = _listed(r.names, among)[which]
+    elif copies is not None:
+        _, index, here = np.unique(host, return_inverse=True, return_counts=True)
+        inside = np.bincount(which[~free], minlength=len(r.names))[which]
+        keep = free | (rows >= s.enough)[page] & (4 * inside * copies[page] > (here[index] * rows)[page])
+    else:
+        keep = np.ones(len(pair), bool)
+    name, page, free = r.names[which[keep]], page[keep], free[keep]
     bucket = (name % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    sketch, out = sketches(pages), []
+    out = []
     for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
         if not len(part):
             continue
         used, index = np.unique(page[part], return_inverse=True)
         head, runs = np.empty(len(used), PAGE), np.empty(len(part), RUN)
         head["host"], head["rows"], head["sketch"] = host[used], rows[used], sketch[used]
-        runs["low"], runs["high"], runs["page"] = name[part] & np.uint64(0xFFFFFFFF), name[part] >> np.uint64(32), index
+        runs["low"], runs["high"], runs["page"] = name[part] & np.uint64(0xFFFFFFFF), name[part] >> np.uint64(32), 2 * index + free[part]
         out.append((int(bucket[part[0]]), head.tobytes(), runs.tobytes()))
     return out
 
 
-def _count(packed: list[tuple[int, bytes, bytes]], s: Settings, part: float = 1.0) -> dict[str, np.ndarray]:
-    """The runs that are boilerplate: host, name, and whether they are so outside articles and within.
-
-    ``part`` is what the share within articles is lowered to, of itself, where pages are a sample."""
+def _count(packed: list[tuple[int, bytes, bytes]], s: Settings, whole: bool = True) -> dict[str, np.ndarray]:
+    """The runs that are boilerplate: host, name, and whether they are so by the pages that have them outside
+    articles, or by all. If not ``whole``, runs of articles may have lost a fourth of the host's pages, and
+    ``mostly`` are all that can be on over half of them."""
     heads, runs = [np.frombuffer(h, PAGE) for _, h, _ in packed], [np.frombuffer(x, RUN) for _, _, x in packed]
     empty = {"host": np.zeros(0, np.int64), "name": np.zeros(0, np.uint64), "often": np.zeros(0, bool), "mostly": np.zeros(0, bool)}
     if not runs:
         return empty
-    head = np.concatenate([h[x["page"]] for h, x in zip(heads, runs, strict=True)])
+    head = np.concatenate([h[x["page"] >> 1] for h, x in zip(heads, runs, strict=True)])
     run = np.concatenate(runs)
     name = run["low"].astype(np.uint64) | run["high"].astype(np.uint64) << np.uint64(32)
     order = np.lexsort((head["sketch"], name))
     name, head = name[order], head[order]
-    fresh = np.concatenate([[True], (np.diff(name) != 0) | (np.diff(head["sketch"]) != 0)])
+    fresh = np.flatnonzero(np.concatenate([[True], (np.diff(name) != 0) | (np.diff(head["sketch"]) != 0)]))
+    free = np.maximum.reduceat(run["page"][order] & 1, fresh) > 0
     name, head = name[fresh], head[fresh]
     first = np.concatenate([[0], np.flatnonzero(np.diff(name)) + 1])
-    pages = np.diff(first, append=len(name))
-    rows = head["rows"][first]
-    need = np.clip(np.ceil(s.share * rows - 1e-9), s.least, s.enough if part == 1 else s.least)
-    likely = np.flatnonzero(pages >= need)
-    got = np.array([distinct_pages(head["sketch"][first[g] : first[g] + pages[g]], s.near, s.enough) for g in likely], np.int64)
-    likely, got = likely[got >= need[likely]], got[got >= need[likely]]
-    mostly = ((got >= s.enough) | (part < 1)) & (2 * pages[likely] > part * rows[likely])
-    return {"host": head["host"][first[likely]], "name": name[first[likely]], "often": np.ones(len(likely), bool), "mostly": mostly}
+    pages, rows = np.diff(first, append=len(name)), head["rows"][first]
+    need = np.clip(np.ceil(s.share * rows - 1e-9), s.least, s.enough).astype(np.int64)
+    often, mostly = np.add.reduceat(free, first, dtype=np.int64) >= need, (rows >= s.enough) & ((2 if whole else 4) * pages > rows)
+    for g in np.flatnonzero(often):
+        at = slice(first[g], first[g] + pages[g])
+        often[g] = distinct_pages(head["sketch"][at][free[at]], s.near, s.enough) >= need[g]
+    for g in np.flatnonzero(mostly) if whole else ():
+        mostly[g] = distinct_pages(head["sketch"][first[g] : first[g] + pages[g]], s.near, s.enough) >= s.enough
+    found = often | mostly
+    return {"host": head["host"][first[found]], "name": name[first[found]], "often": often[found], "mostly": mostly[found]}
 
 
 def extract(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
@@ -395,13 +426,13 @@ def extract(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:  #
 
     Suffix arrays of ``settings.pages`` pages name the runs of words; the names are counted over whole
     hosts, however the pages of a host are dealt, and what is boilerplate goes to all arrays. Runs of
-    articles are counted if a fourth of a sample of their host has them: one that over half of
-    all pages have is hardly ever rarer there.
+    articles are counted twice: without those that few pages of an array have, which leaves each run that
+    over half of all pages of a host have on over a fourth of them (see ``_pack``), and in whole where that is so.
     """
     s = settings
     name = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
     src = pages.select("page_id", "url", "html", F.xxhash64(name).alias("host"))
-    sizes = src.groupBy("host").agg(F.count_distinct(F.xxhash64(F.coalesce("html", F.lit("")))).alias("rows"))
+    sizes = src.groupBy("host").agg(F.count_distinct(F.xxhash64(F.coalesce("html", F.lit("")))).alias("rows"), F.count("*").alias("copies"))
     total = max(src.count(), 1)
     # Hosts are few; their number is checked before they are broadcast, and more are joined by a shuffle.
     known = src.join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, "host")
@@ -415,21 +446,22 @@ def extract(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:  #
                 b = whole.slice(at, s.pages)
                 yield b, [blocks_of(x or "") for x in b.column("html").to_pylist()], b.column("host").to_numpy()
 
-    def counted(some: DataFrame, n: int, articles: bool, part: float, within: np.ndarray | None = None) -> DataFrame:
-        """(host, name, often, mostly) of the boilerplate of ``some`` pages, ``n`` about."""
-        buckets = max(32, n // 16_000)
-        shared = spark.sparkContext.broadcast(np.zeros(0, np.uint64) if within is None else within)
+    def counted(some: DataFrame, among: np.ndarray | None = None) -> DataFrame:
+        """(host, name, often, mostly) of the boilerplate of ``some`` pages: of all runs, with those that may be
+        ``mostly``, or of those ``among`` some, in whole."""
+        buckets, whole = max(32, total // 16_000), among is not None
+        shared = spark.sparkContext.broadcast(among)
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b, parsed, host in slices(batches):
-                rows = _pack(parsed, host, b.column("rows").to_numpy(), shared.value, articles, buckets, s)
+                rows = _pack(parsed, host, b.column("rows").to_numpy(), s, buckets, b.column("copies").to_numpy(), shared.value)
                 yield pa.record_batch({"bucket": pa.array([x[0] for x in rows], pa.int64()), "pages": pa.array([x[1] for x in rows], pa.binary()), "runs": pa.array([x[2] for x in rows], pa.binary())})
 
         def reduce(t: pa.Table) -> pa.Table:
-            got = _count(list(zip(*(t.column(c).to_pylist() for c in ("bucket", "pages", "runs")), strict=True)), s, part)
+            got = _count(list(zip(*(t.column(c).to_pylist() for c in ("bucket", "pages", "runs")), strict=True)), s, whole)
             return pa.table(got | {"name": got["name"].view(np.int64)})
 
-        packed = some.select("html", "host", "rows").mapInArrow(emit, "bucket long, pages binary, runs binary")
+        packed = some.select("html", "host", "rows", "copies").mapInArrow(emit, "bucket long, pages binary, runs binary")
         return packed.groupBy("bucket").applyInArrow(reduce, "host long, name long, often boolean, mostly boolean")
 
     def in_parts(found: DataFrame, use: Callable[[pa.Table, DataFrame], DataFrame], of: DataFrame) -> DataFrame:
@@ -442,10 +474,10 @@ def extract(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:  #
     def names(t: pa.Table) -> np.ndarray:
         return np.sort(t.column("name").to_numpy().view(np.uint64))
 
-    draw = F.pmod(F.xxhash64("page_id", "html"), F.lit(1 << 20)) < F.lit(float(s.sample << 20)) / F.col("rows")
-    sample = known.where(draw).withColumn("rows", F.least("rows", F.lit(s.sample)))
-    within = counted(sample, total, True, 0.5).where("mostly")
-    found = in_parts(within, lambda t, some: counted(some, total, False, 1.0, names(t)), known)
+    first = checkpointed(counted(known))
+    found, likely = first.where("often").withColumn("mostly", F.lit(False)), first.where("mostly")
+    if not likely.isEmpty():
+        found = found.unionByName(in_parts(likely, lambda t, some: counted(some, names(t)), known).where("mostly"))
 
     def cleaned(t: pa.Table, some: DataFrame) -> DataFrame:
         lists = spark.sparkContext.broadcast((names(t), names(t.filter(t.column("mostly")))))
@@ -453,7 +485,7 @@ def extract(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:  #
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             often, mostly = lists.value
             for b, parsed, host in slices(batches):
-                texts = _clean(parsed, host, often, mostly, np.full(len(parsed), len(mostly) > 0), s)
+                texts = _clean(parsed, host, often, mostly, s)
                 yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
         return some.mapInArrow(run, schema)
