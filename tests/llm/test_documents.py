@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from tilewright.llm import chat_format, decontam, langid, line_dedup, mixing, ngram_join, quality, queries, suffix_dedup, textkernels, toxicity
@@ -84,6 +85,20 @@ def test_suffix_dedup(spark, sf_dir, odd, rounds, monkeypatch):
     assert suffix_dedup.remove_repeats(empty(odd)).count() == 0
 
 
+def test_suffix_dedup_tells_a_place_once():
+    """A name that a unit of text has twice, and another unit as well: the unit and the name's range both tell of its first place."""
+    deal, told = suffix_dedup.Deal(1), []
+    for k, names in ((1, [9, 9, 5]), (2, [9, 7])):
+        docs, at = np.array([(k, k)], suffix_dedup.DOC), np.zeros(len(names), suffix_dedup.AT)
+        at["at"] = 10 * np.arange(len(names))
+        told += suffix_dedup._send(docs, np.array(names, np.uint64), at, deal, ordered=False)
+    found = pa.concat_tables([suffix_dedup._told(pa.Table.from_batches([suffix_dedup._table([r for r in told if (r[0] < 0) == alone])]), False, False) for alone in (True, False)])
+    for k, want in ((1, [0, 10]), (2, [0])):
+        unit = next(r[1] for r in told if r[0] < 0 and np.frombuffer(r[2], suffix_dedup.DOC)["id"][0] == k)
+        (row,) = suffix_dedup._by_document(found.filter(pc.equal(found.column("unit"), unit))).to_pylist()
+        assert row["doc_id"] == k and np.frombuffer(row["places"], "<u4").tolist() == want
+
+
 def brute_classes(rows):
     """Of each row: (rep_id, class_id, n_copies, n_links, class), with a class of its own for a text without a word."""
     texts = defaultdict(list)

@@ -276,10 +276,12 @@ def _meet(t: pa.Table, ordered: bool, deal: Deal) -> pa.Table:
 
 
 def _by_document(t: pa.Table) -> pa.Table:
-    """The flagged places of one unit, by document."""
+    """The flagged places of one unit, by document. A name that a unit has twice, and others have too, tells its first place
+    twice, which has to stay one place: a second one would count as a later string."""
     table = np.frombuffer(next(x for x in t.column("docs").to_pylist() if x), DOC)
     places = np.concatenate([unpack(x) for x in t.column("at").to_pylist()])
     places = places[np.lexsort((places["at"], places["doc"]))]
+    places = places[np.concatenate([[True], (places["at"][1:] != places["at"][:-1]) | (places["doc"][1:] != places["doc"][:-1])])[: len(places)]]
     used, first = np.unique(places["doc"], return_index=True)
     parts = [x["at"].tobytes() for x in np.split(places, first[1:])] if len(used) else []
     return pa.table({"doc_id": pa.array(table["id"][used], pa.int64()), "t1": pa.array(table["t1"][used], pa.int64()), "places": pa.array(parts, pa.binary())})
