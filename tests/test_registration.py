@@ -17,6 +17,7 @@ from tilewright.operators import grouped as G
 from tilewright.operators import matching as M
 from tilewright.operators import register as N
 from tilewright.operators import tiles as T
+from tilewright.plans import q_register, q_warp
 from tilewright.plans.registrar import REGISTRY, Registrar, register_function
 
 
@@ -396,3 +397,14 @@ def test_noise_and_levels(spark):
     box = spark.createDataFrame([(1, 2, 3)], "slide int, x int, y int")
     assert T.uncropped(spark.createDataFrame([(1, 1.0, 1.0)], "slide int, x double, y double"), box).first()[1:] == (3.0, 4.0)
     assert A is not None
+
+
+def joins(df):
+    """The kinds of a plan's joins."""
+    return [line.split("[")[0].strip(" +-:*()0123456789") for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+
+
+def test_fields_of_many_slides_are_not_broadcast(spark, sf_dir):
+    """Spark's estimate of a field is that of its slides before they are exploded, so it would send all values to the driver."""
+    for query, n in ((q_warp.warp_points_non_rigid, 1), (q_register.warp_points_full, 1), (q_register.unwarp_points_full, 1), (q_register.warp_points_between_fields, 2)):
+        assert sum(k.startswith("SortMergeJoin") for k in joins(query(spark, sf_dir))) >= n, query.__name__

@@ -136,7 +136,8 @@ def displace(points: DataFrame, field: DataFrame, cell: float, order: int = 1) -
     corner = cells.groupBy("slide", "__gx", "__gy").agg(F.count(F.lit(1)).alias("__n"), *[at(v, a, b).alias(f"__{v}{a}{b}") for v in ("dx", "dy") for a in (0, 1) for b in (0, 1)]).where("__n = 4").drop("__n")
     fx, fy = F.col("__fx"), F.col("__fy")
     mixed = lambda v: (F.col(f"__{v}00") * (1 - fx) + F.col(f"__{v}10") * fx) * (1 - fy) + (F.col(f"__{v}01") * (1 - fx) + F.col(f"__{v}11") * fx) * fy
-    j = p.join(corner, ["slide", "__gx", "__gy"], "left")
+    # Values are as many as cells of all fields, of which Spark's estimate, that of the slides before they are exploded, knows nothing.
+    j = p.join(corner.hint("merge"), ["slide", "__gx", "__gy"], "left")
     return j.select(*points.columns, (F.col("x") + F.coalesce(mixed("dx"), F.lit(0.0))).alias("wx"), (F.col("y") + F.coalesce(mixed("dy"), F.lit(0.0))).alias("wy"))
 
 
