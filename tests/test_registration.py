@@ -18,6 +18,7 @@ from tilewright.operators import matching as M
 from tilewright.operators import register as N
 from tilewright.operators import tiles as T
 from tilewright.plans import q_register, q_warp
+from tilewright.plans import views as V
 from tilewright.plans.registrar import REGISTRY, Registrar, register_function
 
 
@@ -408,3 +409,9 @@ def test_fields_of_many_slides_are_not_broadcast(spark, sf_dir):
     """Spark's estimate of a field is that of its slides before they are exploded, so it would send all values to the driver."""
     for query, n in ((q_warp.warp_points_non_rigid, 1), (q_register.warp_points_full, 1), (q_register.unwarp_points_full, 1), (q_register.warp_points_between_fields, 2)):
         assert sum(k.startswith("SortMergeJoin") for k in joins(query(spark, sf_dir))) >= n, query.__name__
+
+
+def test_matrices_of_all_slides_are_not_broadcast(spark, sf_dir):
+    for query in (q_warp.warped_canvas, q_warp.warped_area):
+        kinds = joins(query(spark, sf_dir, transforms=V.all_transforms))
+        assert kinds[0].startswith("SortMergeJoin") and len(kinds) == 2, kinds

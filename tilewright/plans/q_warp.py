@@ -111,10 +111,15 @@ def affine_builders(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _levels_with_transforms(spark: SparkSession, d: str, transforms: Query) -> DataFrame:
+    """Levels of slides with the slides' matrices. There may be as many matrices as slides, so neither side is broadcast."""
+    return V.slide_levels(spark, d).join(transforms(spark, d).select("slide", "m").hint("merge"), "slide")
+
+
 @query(V.with_views("transforms slide_levels", "SELECT slide, level, round((w::DOUBLE * h) / (a*a+b*b), 3) AS area FROM slide_levels JOIN transforms USING (slide)"))
 def warped_area(spark: SparkSession, d: str, transforms: Query = V.transforms) -> DataFrame:
     """Area of a slide's outline in the registered frame."""
-    s = V.slide_levels(spark, d).join(transforms(spark, d).select("slide", "m"), "slide")
+    s = _levels_with_transforms(spark, d, transforms)
     area = A.polygon_area(A.let(A.inverse(F.col("m")), lambda inv: F.transform(A.corners(F.col("w"), F.col("h")), lambda p: A.apply_xy(inv, p["x"], p["y"]))))
     return s.select("slide", "level", F.round(area, 3).alias("area"))
 
@@ -129,7 +134,7 @@ SELECT slide, level, ceil(round(greatest(max(px), 0) - least(min(px), 0), 6))::B
 )
 def warped_canvas(spark: SparkSession, d: str, transforms: Query = V.transforms) -> DataFrame:
     """The frames that the slides' levels need."""
-    s = V.slide_levels(spark, d).join(transforms(spark, d).select("slide", "m"), "slide")
+    s = _levels_with_transforms(spark, d, transforms)
     return W.warped_canvas(s, ("slide", "level"))
 
 
