@@ -415,3 +415,14 @@ def test_matrices_of_all_slides_are_not_broadcast(spark, sf_dir):
     for query in (q_warp.warped_canvas, q_warp.warped_area):
         kinds = joins(query(spark, sf_dir, transforms=V.all_transforms))
         assert kinds[0].startswith("SortMergeJoin") and len(kinds) == 2, kinds
+
+
+@pytest.mark.parametrize("how", [{}, {"cross_check": False, "max_ratio": 0.95}, {"cross_check": False, "max_distance": 1.3}])
+def test_matches_are_the_same_in_blocks(spark, how):
+    """Blocks of keypoints, with equal descriptors in several of them, against images that are a block each."""
+    rng = np.random.default_rng(3)
+    rows = [(int(k), int(n), [float(x) for x in v]) for k in range(3) for n, v in enumerate(rng.integers(0, 4, (60 + 9 * k, 5)) + 0.1 * (rng.random((60 + 9 * k, 1)) < 0.5))]
+    kp = spark.createDataFrame(rows, "image int, kp int, descr array<double>")
+    one, some = (M.match_pairs(kp, M.neighbour_pairs(kp), block=b, **how).collect() for b in (1000, 13))
+    assert len(one) > 10 and sorted(map(tuple, one)) == sorted(map(tuple, some))
+    assert M._blocks(kp, M.neighbour_pairs(kp), 13).groupBy("image1", "image2", "b1", "b2", "side").count().agg(F.max("count")).first()[0] < 40
