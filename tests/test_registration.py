@@ -426,3 +426,15 @@ def test_matches_are_the_same_in_blocks(spark, how):
     one, some = (M.match_pairs(kp, M.neighbour_pairs(kp), block=b, **how).collect() for b in (1000, 13))
     assert len(one) > 10 and sorted(map(tuple, one)) == sorted(map(tuple, some))
     assert M._blocks(kp, M.neighbour_pairs(kp), 13).groupBy("image1", "image2", "b1", "b2", "side").count().agg(F.max("count")).first()[0] < 40
+
+
+@pytest.mark.parametrize(("m", "n", "sharpness", "dustbin"), [(50, 60, 5.0, 0.0), (33, 20, 20.0, 0.2)])
+def test_assignment_by_blocks(m, n, sharpness, dustbin):
+    """Weights from blocks of similarities, kept or not, against the whole matrix."""
+    rng = np.random.default_rng(0)
+    a, b = (x / np.linalg.norm(x, axis=1)[:, None] for x in (rng.normal(size=(m, 16)), rng.normal(size=(n, 16))))
+    z = np.exp(K.sinkhorn(sharpness * a @ b.T, sharpness * dustbin, 100))[:-1, :-1]
+    for held in (1 << 24, 8 * n * 7):
+        best, score, back, reverse = K.assigned(a, b, sharpness, dustbin, 100, held)
+        assert (best == z.argmax(axis=1)).all() and (back == z.argmax(axis=0)).all()
+        assert np.allclose(score, z.max(axis=1), rtol=1e-12) and np.allclose(reverse, z.max(axis=0), rtol=1e-12)

@@ -186,3 +186,37 @@ def sinkhorn(scores: np.ndarray, dustbin: float, rounds: int = 50) -> np.ndarray
         u = mu - lse(z + v[None], 1)
         v = nu - lse(z + u[:, None], 0)
     return z + u[:, None] + v[None] - norm
+
+
+def assigned(a: np.ndarray, b: np.ndarray, sharpness: float, dustbin: float, rounds: int, held: int = 1 << 24) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(best column, its score, best row of each column, its score) of what ``sinkhorn`` makes of ``sharpness`` times the products of
+    the rows of ``a`` and of ``b``, unit vectors all.
+
+    Weights of rows are worked out block by block, and those of columns from the same blocks, so a round takes one pass; of more
+    than ``held`` products none are kept between passes, and memory is that of a block.
+    """
+    m, n = len(a), len(b)
+    most = sharpness  # no product is larger, so that none of the powers is above 1
+    bin_ = np.exp(sharpness * dustbin - most)
+    step = max(1, min(m, (held >> 3) // max(n, 1)))
+    power = lambda lo: np.exp(sharpness * (a[lo : lo + step] @ b.T) - most)
+    kept = [power(lo) for lo in range(0, m, step)] if m * n <= held else None
+    blocks = lambda: ((lo, kept[k] if kept else power(lo)) for k, lo in enumerate(range(0, m, step)))
+    u, v, un, vm = np.zeros(m), np.ones(n), 0.0, 1.0  # of the rows, the columns and the bins
+    for _ in range(rounds):
+        total = np.zeros(n)
+        for lo, k in blocks():
+            u[lo : lo + step] = 1 / (k @ v + bin_ * vm)
+            total += u[lo : lo + step] @ k
+        un = n / (bin_ * (v.sum() + vm))
+        old, v, vm = v, 1 / (total + bin_ * un), m / (bin_ * (u.sum() + un))
+        if np.allclose(v, old, rtol=1e-15, atol=0):
+            break
+    best, score, back, reverse = np.zeros(m, np.int64), np.zeros(m), np.zeros(n, np.int64), np.full(n, -1.0)
+    for lo, k in blocks():
+        z = u[lo : lo + step, None] * k * v[None]
+        best[lo : lo + step], score[lo : lo + step] = z.argmax(axis=1), z.max(axis=1)
+        top, value = z.argmax(axis=0), z.max(axis=0)
+        more = value > reverse
+        back[more], reverse[more] = lo + top[more], value[more]
+    return best, score, back, reverse

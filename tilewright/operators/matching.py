@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.kernels.descriptors import two_nearest
-from tilewright.kernels.points import sinkhorn
+from tilewright.kernels.points import assigned
 
 
 def distance(a: Column, b: Column, metric: str = "euclidean") -> Column:
@@ -123,7 +123,8 @@ def assigned_pairs(keypoints: DataFrame, pairs: DataFrame, dustbin: float = 0.2,
     """(image1, image2, i, j, score): descriptors of two images assigned to each other, each at most once.
 
     Cosine similarities, times ``sharpness``, are normalised in turn by rows and by columns, with a bin of similarity ``dustbin`` for those
-    without a partner; pairs that are each other's best and score ``least`` or more are kept. A pair of images is a task.
+    without a partner; pairs that are each other's best and score ``least`` or more are kept. A pair of images is a task, which
+    holds its descriptors and a block of their similarities.
     """
     left, right = (keypoints.select(F.col("image").alias(f"image{k}"), "kp", "descr") for k in (1, 2))
     both = left.join(pairs, "image1").select("image1", "image2", F.lit(0).alias("side"), "kp", "descr").unionByName(right.join(pairs, "image2").select("image1", "image2", F.lit(1).alias("side"), "kp", "descr"))
@@ -138,10 +139,9 @@ def assigned_pairs(keypoints: DataFrame, pairs: DataFrame, dustbin: float = 0.2,
         score = np.zeros(0)
         if len(one) and len(two):
             unit = whole / np.maximum(np.sqrt((whole * whole).sum(axis=1, keepdims=True)), 1e-12)
-            z = np.exp(sinkhorn(sharpness * unit[one] @ unit[two].T, sharpness * dustbin, rounds))[:-1, :-1]
-            best, back = z.argmax(axis=1), z.argmax(axis=0)
-            i = np.flatnonzero((back[best] == np.arange(len(one))) & (z.max(axis=1) >= least))
-            j, score = best[i], z[i, best[i]]
+            best, most, back, _ = assigned(unit[one], unit[two], sharpness, dustbin, rounds)
+            i = np.flatnonzero((back[best] == np.arange(len(one))) & (most >= least))
+            j, score = best[i], most[i]
         key = {c: pa.array([t.column(c)[0].as_py()] * len(i), t.schema.field(c).type) for c in ("image1", "image2")}
         return pa.table({**key, "i": pa.array(kp[one][i], t.schema.field("kp").type), "j": pa.array(kp[two][j], t.schema.field("kp").type), "score": pa.array(score)})
 
