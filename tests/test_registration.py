@@ -438,3 +438,12 @@ def test_assignment_by_blocks(m, n, sharpness, dustbin):
         best, score, back, reverse = K.assigned(a, b, sharpness, dustbin, 100, held)
         assert (best == z.argmax(axis=1)).all() and (back == z.argmax(axis=0)).all()
         assert np.allclose(score, z.max(axis=1), rtol=1e-12) and np.allclose(reverse, z.max(axis=0), rtol=1e-12)
+
+
+def test_rematch_decision_of_means_that_differ_by_rounding(spark):
+    """The same distances, added in another order, and one that is nearer indeed."""
+    rows = [(0, 1, 0.1), (0, 1, 0.2), (0, 1, 0.3), (1, 2, 0.5), (1, 2, 0.5)]
+    old = spark.createDataFrame(rows, "image1 int, image2 int, r double").coalesce(1)
+    new = spark.createDataFrame([*rows[2::-1], (1, 2, 0.5), (1, 2, 0.4)], "image1 int, image2 int, r double").coalesce(1)
+    assert (0.3 + 0.2) + 0.1 < (0.1 + 0.2) + 0.3
+    assert {r.image1: r.decision for r in E.rematch_decision(old, new).collect()} == {0: "keep", 1: "merge"}

@@ -158,10 +158,11 @@ def best_reflection(matches: DataFrame, w: float, h: float) -> DataFrame:
 
 
 def rematch_decision(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Per pair: 'replace' if the new matches are more and nearer, 'keep' if neither, 'merge' otherwise."""
+    """Per pair: 'replace' if the new matches are more and nearer, 'keep' if neither, 'merge' otherwise. A mean that is less by its
+    last digits only is not nearer: the same matches have it where they are added in another order."""
     s = lambda t, k: t.groupBy(*PAIR).agg(F.count(F.lit(1)).alias(f"n_{k}"), F.avg("r").alias(f"d_{k}"))
     both = s(old, "old").join(s(new, "new"), PAIR)
-    nearer, more = F.col("d_new") < F.col("d_old"), F.col("n_new") > F.col("n_old")
+    nearer, more = F.col("d_new") < F.col("d_old") * (1 - 1e-9), F.col("n_new") > F.col("n_old")
     return both.select(*PAIR, "n_old", "n_new", F.when(nearer & more, "replace").when(~nearer & ~more, "keep").otherwise("merge").alias("decision"))
 
 
