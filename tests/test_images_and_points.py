@@ -350,3 +350,23 @@ def test_thumbnails_and_merging(spark):
         out[x.y0 : x.y0 + x.h, x.x0 : x.x0 + x.w] = np.frombuffer(x.data, x.dtype).reshape(x.h, x.w, x.bands)
     want = K.cast(np.stack([img[..., 0], img[..., 1], img[..., 0]], -1), "uint8")
     assert (out == want).all()
+
+
+def test_tiles_of_one_batch_and_of_several(spark):
+    """Small tiles that share a batch of rows, and tiles of more rows than a batch has, for keys that may be null."""
+    from tilewright.operators.tiled import by_tile
+
+    rows = [(k, x, y, float(x * 7 + y * 3 + n)) for n, k in enumerate(("a", "b", None)) for x in range(9 + n) for y in range(8)]
+    pixels = spark.createDataFrame(rows, "image string, x int, y int, v double")
+    run = lambda a, there: {"s": np.where(there, a["v"] + there.sum(), 0)}
+    want = by_tile(pixels, ["v"], run, {"s": "double"}, 4).collect()
+    size = {}
+    for k, x, y, _ in rows:
+        size[k, x // 4, y // 4] = size.get((k, x // 4, y // 4), 0) + 1
+    assert sorted(map(str, want)) == sorted(str(type(want[0])(image=k, x=x, y=y, s=v + size[k, x // 4, y // 4])) for k, x, y, v in rows)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        assert sorted(map(str, by_tile(pixels, ["v"], run, {"s": "double"}, 4).collect())) == sorted(map(str, want))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

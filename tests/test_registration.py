@@ -447,3 +447,7 @@ def test_rematch_decision_of_means_that_differ_by_rounding(spark):
     new = spark.createDataFrame([*rows[2::-1], (1, 2, 0.5), (1, 2, 0.4)], "image1 int, image2 int, r double").coalesce(1)
     assert (0.3 + 0.2) + 0.1 < (0.1 + 0.2) + 0.3
     assert {r.image1: r.decision for r in E.rematch_decision(old, new).collect()} == {0: "keep", 1: "merge"}
+
+
+def test_composed_fields_are_not_broadcast(spark, sf_dir):
+    assert joins(q_register.fields_composed(spark, sf_dir))[0].startswith("SortMergeJoin")
